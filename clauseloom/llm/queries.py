@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .packing import pack_documents
 from .simhash import simhash_components
 
 
@@ -17,8 +18,14 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2,048 tokens and their places in as few sequences as found."""
+    return pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_best_fit_packing": op6_best_fit_packing,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
     }
 
