@@ -7,11 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, toxicity
 from .common import table
 from .packing import pack_documents
 from .simhash import simhash_components
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; learned from rows not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return toxicity.score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document; learned from rows not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = langid.train(docs.where(~held_out))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
     out = simhash_components(table(spark, sf_dir, "documents"), words=3, distance=2)
@@ -25,6 +42,8 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": op2_toxicity,
+        "op10_language_id": op10_language_id,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
     }
