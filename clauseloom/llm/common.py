@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +73,36 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         labels = step.select("node", "component")
         if step.where("moved").isEmpty():
             return labels
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Regroup batches of rows sorted by ``keys`` so that no group is cut; only the last group waits."""
+    rest: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        last = np.ones(len(pdf), bool)
+        for k in keys:
+            last &= (pdf[k] == pdf[k].iloc[-1]).to_numpy()
+        cut = len(pdf) - int(last[::-1].argmin()) if not last.all() else 0
+        same = bool(rest) and all(rest[-1][k].iloc[-1] == pdf[k].iloc[0] for k in keys)
+        if cut or not same:
+            whole = [*rest, pdf.iloc[:cut]] if cut else rest
+            rest = [pdf.iloc[cut:]]
+            if whole:
+                yield pd.concat(whole, ignore_index=True)
+        else:
+            rest.append(pdf)
+    if rest:
+        yield pd.concat(rest, ignore_index=True)
+
+
+def group_bounds(pdf: pd.DataFrame, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the groups of rows sorted by ``keys``."""
+    new = np.zeros(len(pdf), bool)
+    new[:1] = True
+    for k in keys:
+        v = pdf[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    start = np.flatnonzero(new)
+    return start, np.diff(np.append(start, len(pdf)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import langid, toxicity
 from .common import table
+from .embeddings import near_duplicates
 from .packing import pack_documents
 from .simhash import simhash_components
 
@@ -21,6 +22,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every vector, linked at cosine 0.98 or more."""
+    return near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; learned from rows not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -42,6 +48,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_embedding_near_dedup": op7_embedding_near_dedup,
         "op2_toxicity": op2_toxicity,
         "op10_language_id": op10_language_id,
         "op6_best_fit_packing": op6_best_fit_packing,
