@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from . import fingerprints, langid, toxicity
 from .common import table
 from .embeddings import near_duplicates
 from .packing import pack_documents
@@ -27,6 +27,11 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edit by the next one, and their likenesses."""
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; learned from rows not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -48,6 +53,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_document_fingerprints": op3_document_fingerprints,
         "op7_embedding_near_dedup": op7_embedding_near_dedup,
         "op2_toxicity": op2_toxicity,
         "op10_language_id": op10_language_id,
