@@ -55,8 +55,8 @@ class WordEncoder:
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def _learn(self, known: dict[str, bytes | None], words: set[str], lead: str) -> None:
-        if len(known) > _KEEP:
-            known.clear()
+        if not words:
+            return
         stems = {w: w.rstrip(_MARKS) for w in words}
         plain = [s for s in {s for w, s in stems.items() if s and s[-1].isalpha()} if s not in known]
         known.update(zip(plain, self._ids([lead + s for s in plain]), strict=True))
@@ -76,22 +76,29 @@ class WordEncoder:
         known.update(zip(odd, self._ids([lead + w for w in odd]), strict=True))
 
     def encode(self, text: str) -> bytes:
-        first, *later = text.split(" ")
-        if max(map(len, (first, *later))) > 200:
-            return self._ids([text])[0]
-        if first and first not in self.first:
-            self._learn(self.first, {first}, "")
-        try:
-            rest = list(map(self.later.__getitem__, later))
-        except KeyError:
-            self._learn(self.later, set(later) - self.later.keys(), " ")
-            if any(w not in self.later for w in later):  # the table was emptied meanwhile
-                self._learn(self.later, set(later) - self.later.keys(), " ")
-            rest = list(map(self.later.__getitem__, later))
-        head = self.first[first] if first else b""
-        if head is None or None in rest:
-            return self._ids([text])[0]
-        return head + b"".join(rest)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        cut = [t.split(" ") for t in texts]
+        whole = {k for k, words in enumerate(cut) if max(map(len, words)) > 200}
+        if len(self.later) > _KEEP:
+            self.later.clear()
+        if len(self.first) > _KEEP:
+            self.first.clear()
+        fine = [words for k, words in enumerate(cut) if k not in whole]
+        self._learn(self.first, {w[0] for w in fine if w[0] and w[0] not in self.first}, "")
+        known = self.later
+        self._learn(known, {x for w in fine for x in w[1:] if x not in known}, " ")
+        out = []
+        for k, (text, words) in enumerate(zip(texts, cut, strict=True)):
+            if k not in whole:
+                rest = list(map(known.__getitem__, words[1:]))
+                head = self.first[words[0]] if words[0] else b""
+                if head is not None and None not in rest:
+                    out.append(head + b"".join(rest))
+                    continue
+            out.append(self._ids([text])[0])
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -116,13 +123,15 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
         of = encoder(path)
         for pdf in batches:
             rows = []
-            for i, text in zip(pdf["i"], pdf["t"], strict=True):
-                ids = of.encode(text or "") + b"\0\0\0\0"
-                n, start, piece = len(ids) // 4, 0, 0
-                while start < n:
-                    size = (n - start) % capacity or capacity
-                    rows.append((i, piece, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)])))
-                    start, piece = start + size, piece + 1
+            for k in range(0, len(pdf), 256):
+                part = pdf.iloc[k : k + 256]
+                for i, ids in zip(part["i"], of.encode_all([t or "" for t in part["t"]]), strict=True):
+                    ids += b"\0\0\0\0"
+                    n, start, piece = len(ids) // 4, 0, 0
+                    while start < n:
+                        size = (n - start) % capacity or capacity
+                        rows.append((i, piece, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)])))
+                        start, piece = start + size, piece + 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = dict(docs.dtypes)[id_col]
