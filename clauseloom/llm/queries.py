@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import fingerprints, langid, toxicity
 from .common import table
 from .embeddings import near_duplicates
+from .passages import repeated_passages
 from .packing import pack_documents
 from .simhash import simhash_components
 
@@ -32,6 +33,11 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each passage of 50 words or more that an earlier document has: where, and which."""
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; learned from rows not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -53,6 +59,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_substring_dedup": op5_substring_dedup,
         "op3_document_fingerprints": op3_document_fingerprints,
         "op7_embedding_near_dedup": op7_embedding_near_dedup,
         "op2_toxicity": op2_toxicity,
