@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +25,7 @@ from .common import stored
 
 #: Marks that may end a word; they are pre-tokens of their own after a letter.
 _MARKS = ".,!?;:%#*&$|"
-_KEEP = 400_000
+_KEEP = 1_000_000
 
 
 def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -52,7 +53,7 @@ class WordEncoder:
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
 
     def _learn(self, known: dict[str, bytes | None], words: set[str], lead: str) -> None:
         if not words:
