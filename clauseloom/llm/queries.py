@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from . import fingerprints, langid, toxicity
 from .common import table
 from .embeddings import near_duplicates
+from .quotes import reply_ordered
 from .passages import repeated_passages
 from .packing import pack_documents
 from .simhash import simhash_components
 
 
+def op1_chat_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without its quotations, with the message it replies to and its thread."""
+    return reply_ordered(table(spark, sf_dir, "conversations"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; learned from rows not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -59,6 +65,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_quotations": op1_chat_quotations,
         "op5_substring_dedup": op5_substring_dedup,
         "op3_document_fingerprints": op3_document_fingerprints,
         "op7_embedding_near_dedup": op7_embedding_near_dedup,
