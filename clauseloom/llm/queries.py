@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, toxicity
+from . import fingerprints, langid, pieces, toxicity
 from .common import table
 from .embeddings import near_duplicates
 from .quotes import reply_ordered
@@ -21,6 +21,11 @@ def op1_chat_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_ordered(table(spark, sf_dir, "conversations"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again: by chunk, its ids' and its text's digests and the score."""
+    return pieces.digest(pieces.encode(table(spark, sf_dir, "documents")))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; learned from rows not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,6 +70,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op8_sentencepiece": op8_sentencepiece,
         "op1_chat_quotations": op1_chat_quotations,
         "op5_substring_dedup": op5_substring_dedup,
         "op3_document_fingerprints": op3_document_fingerprints,
