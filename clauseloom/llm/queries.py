@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, pieces, toxicity
+from . import fingerprints, langid, pieces, quality, toxicity
 from .common import table
 from .embeddings import near_duplicates
 from .quotes import reply_ordered
@@ -26,6 +26,14 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.encode(table(spark, sf_dir, "documents")))
 
 
+def op9_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by both views; rows held out of training are marked."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return quality.score_documents(docs, model).withColumn("held_out", held_out)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; learned from rows not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -70,6 +78,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op9_quality_cotraining": op9_quality_cotraining,
         "op8_sentencepiece": op8_sentencepiece,
         "op1_chat_quotations": op1_chat_quotations,
         "op5_substring_dedup": op5_substring_dedup,
