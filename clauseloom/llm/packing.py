@@ -25,7 +25,7 @@ from .common import stored
 
 #: Marks that may end a word; they are pre-tokens of their own after a letter.
 _MARKS = ".,!?;:%#*&$|"
-_KEEP = 1_000_000
+_KEEP = 2_000_000
 
 
 def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
