@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, settle
+from .common import connected_components, group_bounds, settle, stored, whole_groups
 
 SEED = 42
 #: Odd multipliers that derive further 64-bit families from one shingle hash.
@@ -186,3 +186,102 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 2) -> Da
     found = connected_components(hamming_links(classes, distance))
     whole = classes.join(found, classes.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(whole, "fp", "left")
+
+
+#: Blocks of 31 bits, two in each family's word; a group up to SMALL is compared in full.
+_BLOCK, SMALL = 31, 32
+
+
+def _candidates(classes: DataFrame, families: int) -> DataFrame:
+    """Rows (a, b): pairs of classes (id, fp array) that share an anchor in some block and look alike.
+
+    Alike: at most 22 of 64 bits of another family differ.  In a group beyond SMALL, each
+    member is paired with the first and with its neighbours in the order of that word, so a
+    large family of copies gives links in proportion to its size.
+    """
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), 5_000):
+                part = pdf.iloc[k : k + 5_000]
+                fp, ids = np.stack(part["fp"]).astype(np.int64).view(np.uint64), part["id"].to_numpy(np.int64)
+                for block in range(2 * families):
+                    word = fp[:, block // 2] >> np.uint64(32 * (block % 2)) & np.uint64((1 << _BLOCK) - 1)
+                    row, anchor = anchors(word, _BLOCK)
+                    key = (np.uint64(block) << np.uint64(40) | anchor).view(np.int64)
+                    yield pd.DataFrame({"key": key, "other": fp[row, (block // 2 + 1) % families].view(np.int64), "id": ids[row]})
+
+    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, ["key"]):
+            start, size = group_bounds(pdf, ["key"])
+            ids, other = pdf["id"].to_numpy(np.int64), pdf["other"].to_numpy(np.int64).view(np.uint64)
+            a, b = [], []
+            for n in range(2, SMALL + 1):
+                at = start[size == n]
+                if len(at):
+                    x, y = np.triu_indices(n, 1)
+                    a.append((at[:, None] + x).ravel())
+                    b.append((at[:, None] + y).ravel())
+            for s, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+                order = s + np.argsort(other[s : s + n], kind="stable")
+                a += [np.full(n - 1, s), order[:-1], order[:-2]]
+                b += [np.arange(s + 1, s + n), order[1:], order[2:]]
+            if a:
+                i, j = np.concatenate(a), np.concatenate(b)
+                near = np.bitwise_count(other[i] ^ other[j]) <= 22
+                one, two = ids[i[near]], ids[j[near]]
+                yield pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two)}).drop_duplicates()
+
+    rows = classes.mapInPandas(spread, "key bigint, other bigint, id bigint")
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInPandas(pair, "a bigint, b bigint").distinct()
+
+
+def near_duplicate_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, families: int = 4) -> DataFrame:
+    """Rows (doc_id, component_id): documents linked by a Jaccard similarity of their shingles.
+
+    Anchors of the blocks of ``families`` SimHash words propose pairs, the whole words drop
+    those that are clearly apart, and exact Jaccard similarity on sets of ``words``-word
+    shingles decides.  Texts with equal words in all families are one class.  Null and empty
+    texts are one group; repeated rows stay rows; an empty table gives none.
+    """
+    fps = stored(simhash(docs, words, families))
+    classes = settle(fps.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("id")).where("id is not null"))
+    pairs = _candidates(classes, families)
+    one, two = classes.select(F.col("id").alias("a"), F.col("fp").alias("fa")), classes.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
+    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    expected = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = 64 * families * (expected + 4 * math.sqrt(expected * (1 - expected) / (64 * families)))
+    pairs = stored(pairs.join(one, "a").join(two, "b").where(apart <= int(most)).select("a", "b"))
+    involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "held": [np.unique(shingle_hashes(t, words).astype(np.uint32)).tobytes() for t in pdf["text"]]})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(involved, "id", "left_semi")
+    held = stored(texts.mapInPandas(sets, "id bigint, held binary").groupBy("id").agg(F.min("held").alias("held")))
+
+    @F.pandas_udf("double")
+    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / max(1, len(x) + len(y) - both))
+        return pd.Series(out, dtype="float64")
+
+    first, second = held.select(F.col("id").alias("a"), F.col("held").alias("ha")), held.select(F.col("id").alias("b"), F.col("held").alias("hb"))
+    links = pairs.join(first, "a").join(second, "b").where(jaccard("ha", "hb") >= similarity).select("a", "b")
+    found = connected_components(links)
+    whole = classes.join(found, classes.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    return fps.join(whole, "fp", "left").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` with the document of the smallest doc_id of each group, and all rows of that doc_id.
+
+    Rows with a null doc_id are kept.
+    """
+    groups = near_duplicate_components(docs, **settings)
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
