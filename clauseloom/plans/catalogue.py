@@ -1,4 +1,4 @@
-"""The registered queries and their SQL counterparts."""
+"""The registered queries and their SQL counterparts, gathered from the themed modules."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import documents, language, relational
+
 Query = Callable[[SparkSession, str], DataFrame]
+_THEMES = (documents, language, relational)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for theme in _THEMES for name, q in theme.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for theme in _THEMES for name, sql in theme.ORACLES.items()}
