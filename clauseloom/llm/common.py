@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,6 +78,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return labels
 
 
+def map_slices(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = 500) -> DataFrame:
+    """mapInPandas for rows that hold whole texts or lists: pandas sees ``rows`` of them at a time."""
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = (b.slice(k, rows).to_pandas() for b in batches for k in range(0, b.num_rows, rows))
+        for out in run(frames):
+            yield pa.RecordBatch.from_pandas(out, schema=target, preserve_index=False)
+
+    return df.mapInArrow(sliced, schema)
+
+
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Regroup batches of rows sorted by ``keys`` so that no group is cut; only the last group waits."""
     rest: list[pd.DataFrame] = []
