@@ -45,6 +45,7 @@ class Vocabulary:
         n = p.get_piece_size()
         self.texts = [p.id_to_piece(i) for i in range(n)]
         self.byte_of = {i: int(self.texts[i][1:-1], 16) for i in range(n) if p.is_byte(i)}
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else t.replace(SPACE, " ").encode() for i, t in enumerate(self.texts)]
         self.byte_ids = {b: i for i, b in self.byte_of.items()}
         plain = [i for i in range(n) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
         # runs of spaces are left out, so no piece spans the start of a word
@@ -105,14 +106,7 @@ class Vocabulary:
 
     def decode(self, ids: bytes) -> str:
         """The text of a stretch, its leading space included."""
-        out = bytearray()
-        for i in array("I", ids):
-            b = self.byte_of.get(i)
-            if b is None:
-                out += self.texts[i].replace(SPACE, " ").encode("utf-8", "surrogatepass")
-            else:
-                out.append(b)
-        return out.decode("utf-8", "surrogatepass")
+        return b"".join(map(self.raw.__getitem__, array("I", ids))).decode("utf-8", "surrogatepass")
 
     def transfer(self, chunk: str, size: int) -> np.ndarray:
         """Best scores from states (rows) to states; ``chunk`` goes on beyond ``size`` for the last piece."""
