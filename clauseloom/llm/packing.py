@@ -42,7 +42,8 @@ class WordEncoder:
     a space follows other white space is encoded in one piece instead.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = _KEEP):
+        self.keep = keep
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -82,9 +83,9 @@ class WordEncoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
         whole = {k for k, words in enumerate(cut) if max(map(len, words)) > 200}
-        if len(self.later) > _KEEP:
+        if len(self.later) > self.keep:
             self.later.clear()
-        if len(self.first) > _KEEP:
+        if len(self.first) > self.keep:
             self.first.clear()
         fine = [words for k, words in enumerate(cut) if k not in whole]
         self._learn(self.first, {w[0] for w in fine if w[0] and w[0] not in self.first}, "")
@@ -102,26 +103,27 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each Python worker and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, keep: int = _KEEP) -> WordEncoder:
+    """One encoder for each Python worker, file and number of words to remember."""
+    if (path, keep) not in _ENCODERS:
+        _ENCODERS[path, keep] = WordEncoder(path, keep)
+    return _ENCODERS[path, keep]
 
 
-def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: int = _KEEP) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32): each document's ids and id 0, cut to ``capacity``.
 
     Only documents longer than that are cut; their first piece is the shorter one.  A null
-    text counts as empty (the single id 0).
+    text counts as empty (the single id 0).  ``keep`` is the number of words whose ids each
+    worker remembers: it trades memory for speed and changes no result.
     """
     path = tokenizer or public_tokenizer()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = encoder(path)
+        of = encoder(path, keep)
         for pdf in batches:
             rows = []
             for k in range(0, len(pdf), 256):
@@ -263,6 +265,6 @@ def pack(cut: DataFrame, capacity: int = 2048, salts: int = 256) -> DataFrame:
     return ranked.mapInPandas(place, f"{kinds}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, keep: int = _KEEP) -> DataFrame:
     """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(stored(pieces(docs, capacity, tokenizer)), capacity)
+    return pack(stored(pieces(docs, capacity, tokenizer, keep=keep)), capacity)
