@@ -15,12 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import group_bounds, stored, whole_groups
+from .common import group_bounds, map_slices, stored, whole_groups
 
 CHUNK, FAN = 16_384, 64
+#: Words whose pieces a worker remembers; a task may have a worker that encodes and one that decodes.
+KEEP = 200_000
 SPACE = "▁"
 #: Stands for a SPACE mark in a text itself, which goes to bytes; no text can hold it.
 _MARK = "\ud800"
@@ -90,7 +95,7 @@ class Vocabulary:
         """Ids and score of a stretch of text; a leading space belongs to its first word."""
         first, *later = text.replace(SPACE, _MARK).split(" ")
         words = self.words
-        if len(words) > 700_000:
+        if len(words) > KEEP:
             words.clear()
         ids, score = self.cut(first) if first else (b"", 0)
         out = [ids]
@@ -236,24 +241,31 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, id_col
             yield pd.DataFrame(out, columns=["doc_id", "chunk", "start", "n_chars", "ids", "score"])
 
     giant = F.char_length("text") >= chunk
-    one = rows.where(~giant).mapInPandas(short, schema)
+    one = map_slices(rows.where(~giant), short, schema)
     texts = stored(rows.where(giant).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(F.lit(" "), "text").alias("s")))
     parts = _chunks(texts, chunk, vocabulary(path).longest - 1)
     bounds = _giant_states(parts, path, chunk)
-    many = parts.join(bounds, ["row", "k"]).join(texts.select("row", "doc_id"), "row").mapInPandas(pieces, schema)
+    many = map_slices(parts.join(bounds, ["row", "k"]).join(texts.select("row", "doc_id"), "row"), pieces, schema, rows=100)
     return one.unionByName(many)
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """Replace ``ids`` by the ``text`` they stand for, row by row; rows of a text join to the whole."""
     path = model or public_vocabulary()
+    kept = [c for c in encoded.columns if c not in ("ids", "text")]
+    schema = ", ".join([*(f"`{c}` {k}" for c, k in encoded.select(*kept).dtypes), "text string"])
+    target = to_arrow_schema(StructType.fromDDL(schema))
 
-    @F.pandas_udf("string")
-    def text_of(ids: pd.Series, chunks: pd.Series) -> pd.Series:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        return pd.Series([v.decode(x)[1 if k == 0 else 0 :] for x, k in zip(ids, chunks, strict=True)], dtype=object)
-
-    return encoded.withColumn("text", text_of("ids", "chunk")).drop("ids")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                ids, chunks = part.column("ids").to_pylist(), part.column("chunk").to_pylist()
+                found = [v.decode(x)[1 if k == 0 else 0 :] for x, k in zip(ids, chunks, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c).cast(target.field(c).type) for c in kept), pa.array(found, target.field("text").type)], schema=target)
+
+    return encoded.select(*kept, "ids").mapInArrow(texts, schema)
 
 
 def digest(encoded: DataFrame) -> DataFrame:
