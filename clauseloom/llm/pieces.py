@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 from .common import group_bounds, map_slices, stored, whole_groups
 
 CHUNK, FAN = 16_384, 64
-#: Words whose pieces a worker remembers; a task may have a worker that encodes and one that decodes.
+#: Words in each of two generations that a worker remembers; a task may have a worker that encodes and one that decodes.
 KEEP = 200_000
 SPACE = "▁"
 #: Stands for a SPACE mark in a text itself, which goes to bytes; no text can hold it.
@@ -40,6 +40,24 @@ def public_vocabulary(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+class _Words(dict):
+    """Ids of words, cut as they are met; words not met for two generations are forgotten."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.older = vocabulary, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.vocabulary.cut(SPACE + word)
+        if len(word) < 100:
+            if len(self) >= KEEP:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Vocabulary:
     """Pieces, scores and byte pieces of a SentencePiece model file."""
 
@@ -55,59 +73,58 @@ class Vocabulary:
         plain = [i for i in range(n) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
         # runs of spaces are left out, so no piece spans the start of a word
         self.pieces = {self.texts[i]: (max(round(p.get_score(i)), FLOOR), i) for i in plain if SPACE not in self.texts[i][1:]}
-        self.starts = {t[:k] for t in self.pieces for k in range(1, len(t) + 1)}
+        self.tree: dict = {}  # children by letter, the score of the piece that ends here under 0
+        for t, (score, _) in self.pieces.items():
+            node = self.tree
+            for c in t:
+                node = node.setdefault(c, {})
+            node[0] = score
         self.longest = max(map(len, self.pieces))
         self.unknown = min(s for s, _ in self.pieces.values()) - 10
-        self.words: dict[str, tuple[bytes, int]] = {}
+        # what an id adds to the score: an unknown letter counts once, at the first of its bytes
+        self.worth = np.array([self.pieces[t][0] if self.pieces.get(t, (0, -1))[1] == i else self.unknown * (self.byte_of.get(i, 0x80) & 0xC0 != 0x80) for i, t in enumerate(self.texts)], np.int64)
+        self.words = _Words(self)
 
     def forward(self, s: str, first: int = 0) -> tuple[list[int], list[int]]:
         """Best score to each place from ``first``, and where its last piece begins (ties: the earliest)."""
         n, never = len(s), int(_NEVER)
         best, back = [never] * (n + 1), [0] * (n + 1)
         best[first] = 0
-        pieces, starts = self.pieces, self.starts
+        root, unknown, pieces = self.tree, self.unknown, self.pieces
         for i in range(first, n):
-            here = best[i]
-            if here == never:
-                continue
-            if s[i] not in pieces and here + self.unknown > best[i + 1]:
-                best[i + 1], back[i + 1] = here + self.unknown, i
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                part = s[i:j]
-                if part not in starts:
+            here, node, j = best[i], root, i
+            for c in s[i:]:
+                if c not in node:
                     break
-                if part in pieces and here + pieces[part][0] > best[j]:
-                    best[j], back[j] = here + pieces[part][0], i
+                node = node[c]
+                j += 1
+                if 0 in node and here + node[0] > best[j]:
+                    best[j], back[j] = here + node[0], i
+            if here + unknown > best[i + 1] and s[i] not in pieces:
+                best[i + 1], back[i + 1] = here + unknown, i
         return best, back
 
-    def cut(self, s: str) -> tuple[bytes, int]:
-        """Ids (unsigned 32-bit) and score of the best cut of a marked string."""
-        best, back = self.forward(s)
-        parts, j = [], len(s)
+    def cut(self, s: str) -> bytes:
+        """Ids (unsigned 32-bit) of the best cut of a marked string."""
+        back = self.forward(s)[1]
+        ids, j, pieces = array("I"), len(s), self.pieces
         while j:
             i = back[j]
             part = s[i:j]
-            parts.append([self.pieces[part][1]] if part in self.pieces else [self.byte_ids[b] for b in part.replace(_MARK, SPACE).encode("utf-8", "surrogatepass")])
+            if part in pieces:
+                ids.append(pieces[part][1])
+            else:
+                ids.extend(self.byte_ids[b] for b in reversed(part.replace(_MARK, SPACE).encode("utf-8", "surrogatepass")))
             j = i
-        return array("I", [x for p in reversed(parts) for x in p]).tobytes(), best[len(s)]
+        ids.reverse()
+        return ids.tobytes()
 
     def encode(self, text: str) -> tuple[bytes, int]:
         """Ids and score of a stretch of text; a leading space belongs to its first word."""
         first, *later = text.replace(SPACE, _MARK).split(" ")
-        words = self.words
-        if len(words) > KEEP:
-            words.clear()
-        ids, score = self.cut(first) if first else (b"", 0)
-        out = [ids]
-        for w in later:
-            found = words.get(w)
-            if found is None:
-                found = self.cut(SPACE + w)
-                if len(w) < 100:
-                    words[w] = found
-            out.append(found[0])
-            score += found[1]
-        return b"".join(out), score
+        head = self.cut(first) if first else b""
+        ids = head + b"".join(map(self.words.__getitem__, later))
+        return ids, int(self.worth[np.frombuffer(ids, np.uint32)].sum())
 
     def decode(self, ids: bytes) -> str:
         """The text of a stretch, its leading space included."""
