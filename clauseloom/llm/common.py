@@ -43,6 +43,23 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Texts that go to a Python worker at a time.
+TEXTS = 2_500
+
+
+def texts_of(df: DataFrame) -> DataFrame:
+    """``df``, whose rows hold whole texts: at most TEXTS of them go to Python at a time.
+
+    Spark's own default of 10,000 rows holds that many whole texts several times over.  A
+    smaller setting of the session stays as it is.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key, "10000"))
+    if not 0 < now <= TEXTS:
+        df.sparkSession.conf.set(key, TEXTS)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,6 +18,8 @@ from numpy.lib.stride_tricks import as_strided, sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts_of
+
 WINDOW, AROUND, POPULAR = 64, 64, 16
 FILTER_BITS, FILTER_FEATURES, PROBES = 2048, 160, 5
 #: Texts below SHORT bytes have few improbable windows; all their spans of SPAN bytes are features too.
@@ -205,7 +207,7 @@ def rarity_of(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         level = np.flatnonzero(total)
         yield pd.DataFrame({"level": level, "n": total[level]})
 
-    texts = docs.select(F.col(text_col).alias("t")).where("t is not null")
+    texts = texts_of(docs).select(F.col(text_col).alias("t")).where("t is not null")
     counts = np.zeros(LEVELS, np.int64)
     for r in texts.mapInPandas(count, "level int, n bigint").groupBy("level").agg(F.sum("n").alias("n")).collect():  # 1,001 rows at most
         counts[r["level"]] = r["n"]

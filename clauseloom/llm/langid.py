@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import texts_of
+
 SEGMENT = 1024
 _GAP = re.compile(r"[\W\d_]+")
 #: Letters are numbered from 1; 0 stands for a letter no training text has.
@@ -191,11 +193,11 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             for t in part:
                 batch.append(t)
                 size += len(t or "")
-                if size > 2_000_000:
+                if size > 1_000_000:
                     rows += known.predict(batch)
                     batch, size = [], 0
             rows += known.predict(batch) if batch else []
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "phrase_rate"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "phrase_rate")]
-    return docs.select(*kept, of(text_col).alias("__language__")).select(*kept, "__language__.*")
+    return texts_of(docs).select(*kept, of(text_col).alias("__language__")).select(*kept, "__language__.*")

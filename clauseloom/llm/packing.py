@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, texts_of
 
 #: Marks that may end a word; they are pre-tokens of their own after a letter.
 _MARKS = ".,!?;:%#*&$|"
@@ -138,7 +138,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(
+    return texts_of(docs).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(
         run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
     )
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import group_bounds, map_slices, stored, whole_groups
+from .common import group_bounds, map_slices, stored, texts_of, whole_groups
 
 CHUNK, FAN = 16_384, 64
 #: Words in each of two generations that a worker remembers; a task may have a worker that encodes and one that decodes.
@@ -238,7 +238,7 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, id_col
     """
     path = model or public_vocabulary()
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts_of(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = f"doc_id {kind}, chunk int, start bigint, n_chars bigint, ids binary, score bigint"
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts_of
+
 _WORD = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"[.!?…:\"”)]\s*$")
 TEXT_FEATURES, SLOTS = 16, 64
@@ -142,7 +144,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, aside: np.ndarra
 def _columns(docs: DataFrame) -> DataFrame:
     have = set(docs.columns)
     optional = {"source": "string", "lang": "string", "n_chars": "double"}
-    return docs.select("doc_id", "text", *((F.col(c) if c in have else F.lit(None)).cast(k).alias(c) for c, k in optional.items()))
+    return texts_of(docs).select("doc_id", "text", *((F.col(c) if c in have else F.lit(None)).cast(k).alias(c) for c, k in optional.items()))
 
 
 def _features(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:

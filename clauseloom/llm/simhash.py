@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, group_bounds, settle, stored, whole_groups
+from .common import connected_components, group_bounds, settle, stored, texts_of, whole_groups
 
 SEED = 42
 #: Odd multipliers that derive further 64-bit families from one shingle hash.
@@ -81,7 +81,7 @@ def simhash(docs: DataFrame, words: int = 3, families: int = 1, id_col: str = "d
             yield pd.DataFrame({"doc_id": pdf["i"], "fp": fps})
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"doc_id {kind}, fp array<bigint>")
+    return texts_of(docs).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"doc_id {kind}, fp array<bigint>")
 
 
 def _pair_masks(bits: int) -> np.ndarray:

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts_of
+
 #: Families of identity terms whose members are swapped for each other.
 IDENTITY_TERMS = {
     "gender": ("women", "men", "girls", "boys", "woman", "man", "femmes", "hommes", "frauen", "männer", "mujeres", "hombres"),
@@ -37,7 +39,7 @@ def bucket(word: str) -> int:
 
 class _Buckets(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = n = bucket(word)
         return n
@@ -66,7 +68,7 @@ class _Weights(dict):
         self.model = model
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = w = self.model.weights.get(bucket(word), 0.0)
         return w
@@ -146,7 +148,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) ->
             yield pd.DataFrame({"b": found, "toxic": pdf["toxic"]})
 
     # the chosen rows are bounded by max_rows, so they may be sent to every executor
-    own = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    own = texts_of(docs).select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
     return [(np.frombuffer(r["b"], np.int32), r["toxic"]) for r in own.mapInPandas(run, "b binary, toxic int").collect()]
 
 
@@ -160,7 +162,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             yield pd.Series([model.score(words_of(t), known) for t in part], dtype="float64")
 
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    scored = docs.select(*kept, score("text").alias("score"))
+    scored = texts_of(docs).select(*kept, score("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
