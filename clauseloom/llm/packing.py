@@ -15,6 +15,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -90,15 +91,16 @@ class WordEncoder:
         fine = [words for k, words in enumerate(cut) if k not in whole]
         self._learn(self.first, {w[0] for w in fine if w[0] and w[0] not in self.first}, "")
         known = self.later
-        self._learn(known, {x for w in fine for x in w[1:] if x not in known}, " ")
+        self._learn(known, set(chain.from_iterable(w[1:] for w in fine)) - known.keys(), " ")
         out = []
         for k, (text, words) in enumerate(zip(texts, cut, strict=True)):
             if k not in whole:
-                rest = list(map(known.__getitem__, words[1:]))
                 head = self.first[words[0]] if words[0] else b""
-                if head is not None and None not in rest:
-                    out.append(head + b"".join(rest))
+                try:
+                    out.append(head + b"".join(map(known.__getitem__, words[1:])))
                     continue
+                except TypeError:  # a None: white space that may join what follows
+                    pass
             out.append(self._ids([text])[0])
         return out
 
