@@ -8,12 +8,18 @@ are linked to the first of them (by doc_id, then place), so a passage in many do
 as many links as it has copies.  Documents linked to the same first document by enough hash
 functions are verified on their shingles.
 
+The first window of a min-hash need not hold the passage, only one shingle of it.  So stretches
+of a passage's length are linked, too, by the min-hashes of all functions, or all but one, together,
+and those whose four min-hashes all occur elsewhere are compared by a hash of the whole stretch:
+exact repeats do not depend on any first window.
+
 ``REACH`` is no cap: windows are split as long as they hold a passage, so each shingle of a
 shared passage lies within one passage length of a shared centre.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -23,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, stored, texts_of
+from .common import group_bounds, map_slices, stored, texts_of, whole_groups
 
 SHINGLE, PASSAGE, HASHES, MIN_HASHES, SIMILARITY = 5, 50, 4, 2, 0.8
 REACH = 127
@@ -133,6 +139,82 @@ def repeated(shared: np.ndarray, least: int, similarity: float) -> list[tuple[in
     return [(a, b) for a, b, _ in out if b - a >= least]
 
 
+def stretches(shared: DataFrame, least: int, hashes: int, min_hashes: int) -> DataFrame:
+    """Rows (key, n, doc_id, a, b): runs of stretches that have the same min-hashes in ``n`` functions.
+
+    ``shared`` holds the windows (f, key, doc_id, c, l, r) whose min-hash occurs elsewhere; a
+    run's stretches of ``least`` places begin at a to b.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, ["doc_id"]):
+            start, size = group_bounds(pdf, ["doc_id"])
+            base = np.repeat(np.arange(len(start)), size) << 32
+            c, left, right = (pdf[k].to_numpy(np.int64) for k in "clr")
+            lo, hi = base + np.maximum(c - left, c - least + 1), base + np.minimum(c, c + right - least + 1)
+            f, key = pdf["f"].to_numpy(), pdf["key"].to_numpy(np.int64).view(np.uint64)
+            cuts = np.unique(np.concatenate([lo, hi + 1]))
+            at, end = cuts[:-1], cuts[1:]
+            held, keys = np.zeros((hashes, len(at)), bool), np.zeros((hashes, len(at)), np.uint64)
+            for k in range(hashes):
+                mine = np.flatnonzero(f == k)
+                if len(mine):
+                    mine = mine[np.argsort(lo[mine])]
+                    over = mine[np.maximum(np.searchsorted(lo[mine], at, side="right") - 1, 0)]
+                    held[k], keys[k] = (lo[over] <= at) & (at <= hi[over]), key[over]
+            for n in range(min_hashes, hashes + 1):
+                for chosen in itertools.combinations(range(hashes), n):
+                    i = np.flatnonzero(held[list(chosen)].all(axis=0))
+                    if not len(i):
+                        continue
+                    mixed = np.full(len(i), n, np.uint64)
+                    with np.errstate(over="ignore"):
+                        for k in chosen:
+                            mixed = (mixed ^ keys[k, i]) * _ODD[4]
+                            mixed ^= mixed >> np.uint64(29)
+                    new = np.concatenate(([True], (mixed[1:] != mixed[:-1]) | (at[i[1:]] != end[i[:-1]])))
+                    first, last = i[new], i[np.append(np.flatnonzero(new)[1:], len(i)) - 1]
+                    yield pd.DataFrame({"key": mixed[new].view(np.int64), "n": n, "doc_id": pdf["doc_id"].to_numpy(np.int64)[start[at[first] >> 32]], "a": at[first] & 0xFFFFFFFF, "b": (end[last] - 1) & 0xFFFFFFFF})
+
+    rows = shared.select("f", "key", "doc_id", "c", "l", "r").repartition("doc_id").sortWithinPartitions("doc_id")
+    return rows.mapInPandas(run, "key bigint, n int, doc_id bigint, a bigint, b bigint")
+
+
+def exact_repeats(runs: DataFrame, rows: DataFrame, least: int) -> DataFrame:
+    """Rows (doc_id, source_id, a): stretches of ``least`` shingles that stand, word by word, in an earlier place.
+
+    ``runs`` (doc_id, a, b) says where stretches begin that may do so; repeats in one text do not overlap.
+    """
+    factor, inverse = int(_ODD[5]), pow(int(_ODD[5]), -1, 1 << 64)
+
+    def powers(x: int, n: int) -> np.ndarray:
+        return np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, x, np.uint64))))
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = _Words()
+        for pdf in batches:
+            ids, at, keys = [], [], []
+            for i, text, ranges in zip(pdf["doc_id"], pdf["text"], pdf["runs"], strict=True):
+                s = shingles(text, words)
+                begin = np.flatnonzero(_spread([(x["a"], x["b"]) for x in ranges], len(s) - least + 1))
+                if not len(begin):
+                    continue
+                with np.errstate(over="ignore"):
+                    total = np.concatenate(([np.uint64(0)], np.cumsum(rehash(s, 3) * powers(factor, len(s) - 1))))
+                    h = (total[begin + least] - total[begin]) * powers(inverse, len(s))[begin]
+                keys.append(h)
+                at.append(begin)
+                ids.append(np.full(len(begin), i))
+            if keys:
+                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "doc_id": np.concatenate(ids), "a": np.concatenate(at)})
+
+    places = runs.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    found = stored(map_slices(places.join(rows, "doc_id"), hashed, "key bigint, doc_id bigint, a bigint"))
+    first = stored(found.groupBy("key").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"))
+    again = found.join(first, "key").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("a") >= F.col("first.a") + least + SHINGLE - 1))
+    return again.select("doc_id", F.col("first.doc_id").alias("source_id"), "a")
+
+
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE, hashes: int = HASHES, min_hashes: int = MIN_HASHES, similarity: float = SIMILARITY) -> DataFrame:
     """Rows (doc_id, start, end, words, source_id): passages that an earlier document or place has too.
 
@@ -150,20 +232,32 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, hashes: int = HAS
     leaders = found.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     leaders = leaders.select(F.col("key"), F.struct(F.col("first.doc_id").alias("doc_id"), F.expr("int(first.at div 16384)").alias("c"), F.expr("int(first.at div 128 % 128)").alias("l"), F.expr("int(first.at % 128)").alias("r")).alias("first"))
     leaders = stored(leaders)  # a plain side, so that a key that many windows share can be split in the join
-    met = found.join(leaders, "key").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("c") != F.col("first.c")))
+    shared = stored(found.join(leaders, "key"))
+    met = shared.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("c") != F.col("first.c")))
     own = F.col("doc_id") == F.col("first.doc_id")
     middle = ((F.col("c") + F.col("first.c")) / 2).cast("int")  # repeats in one text must not meet themselves
     mine = F.struct(F.when(own, F.greatest(F.col("c") - F.col("l"), middle + 1)).otherwise(F.col("c") - F.col("l")).cast("int").alias("a"), (F.col("c") + F.col("r")).cast("int").alias("b"))
     theirs = F.struct((F.col("first.c") - F.col("first.l")).cast("int").alias("a"), F.when(own, F.least(F.col("first.c") + F.col("first.r"), middle)).otherwise(F.col("first.c") + F.col("first.r")).cast("int").alias("b"))
+    by_window = met.select("doc_id", F.col("first.doc_id").alias("source_id"), "f", mine.alias("mine"), theirs.alias("theirs"))
+    runs = stored(stretches(shared, least, hashes, min(hashes, max(min_hashes, hashes - 1))))
+    heads = stored(runs.groupBy("key").agg(F.min(F.struct("doc_id", "a", "b")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"))
+    linked = runs.join(heads, "key")
+    repeats = exact_repeats(linked.where(F.col("n") == hashes).select("doc_id", "a", "b"), rows, least)
+    later = linked.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("a") != F.col("first.a")))
+    halfway = ((F.col("a") + F.col("b") + F.col("first.a") + F.col("first.b")) / 4 + (least - 1) / 2).cast("int")
+    mine = F.struct(F.when(own, F.greatest(F.col("a"), halfway + 1)).otherwise(F.col("a")).cast("int").alias("a"), (F.col("b") + least - 1).cast("int").alias("b"))
+    theirs = F.struct(F.col("first.a").cast("int").alias("a"), F.when(own, F.least(F.col("first.b") + least - 1, halfway)).otherwise(F.col("first.b") + least - 1).cast("int").alias("b"))
+    by_stretch = later.select("doc_id", F.col("first.doc_id").alias("source_id"), F.lit(None).cast("tinyint").alias("f"), mine.alias("mine"), theirs.alias("theirs"))
     pairs = (
-        met.select("doc_id", F.col("first.doc_id").alias("source_id"), "f", mine.alias("mine"), theirs.alias("theirs"))
+        by_window.unionByName(by_stretch)
         .groupBy("doc_id", "source_id")
-        .agg(F.collect_set("f").alias("fs"), F.collect_list("mine").alias("mine"), F.array_sort(F.collect_set("theirs")).alias("theirs"))
-        .where(F.size("fs") >= min_hashes)
+        .agg(F.collect_set("f").alias("fs"), F.max(F.col("f").isNull()).alias("enough"), F.collect_list("mine").alias("mine"), F.array_sort(F.collect_set("theirs")).alias("theirs"))
+        .where((F.size("fs") >= min_hashes) | F.col("enough"))
         .select("doc_id", "source_id", "mine", "theirs")
     )
     pairs = stored(pairs)
-    involved = pairs.select("doc_id").union(pairs.select("source_id")).distinct()
+    repeats = stored(repeats.groupBy("doc_id", "source_id").agg(F.array_sort(F.collect_set("a")).alias("exact")))
+    involved = pairs.select("doc_id").union(pairs.select("source_id")).union(repeats.select("doc_id")).distinct()
     texts = stored(rows.join(involved, "doc_id", "left_semi"))
 
     def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,17 +273,24 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, hashes: int = HAS
     wanted = keyed.select("source_id", "theirs_key", "theirs").dropDuplicates(["source_id", "theirs_key"])
     held = wanted.join(texts.withColumnRenamed("doc_id", "source_id"), "source_id")
     held = map_slices(held, slices, "source_id bigint, theirs_key bigint, held binary")
-    evidence = keyed.join(held, ["source_id", "theirs_key"]).groupBy("doc_id").agg(F.collect_list(F.struct("source_id", "mine", "held")).alias("evidence"))
+    evidence = keyed.join(held, ["source_id", "theirs_key"]).select("doc_id", F.struct("source_id", "mine", "held").alias("near"), F.lit(None).cast("struct<source_id: bigint, exact: array<bigint>>").alias("same"))
+    evidence = evidence.unionByName(repeats.select("doc_id", F.lit(None).cast(evidence.schema["near"].dataType).alias("near"), F.struct("source_id", "exact").alias("same")))
+    evidence = evidence.groupBy("doc_id").agg(F.collect_list("near").alias("near"), F.collect_list("same").alias("same"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words()
         for pdf in batches:
             out = []
-            for i, text, evidence in zip(pdf["doc_id"], pdf["text"], pdf["evidence"], strict=True):
+            for i, text, near, same in zip(pdf["doc_id"], pdf["text"], pdf["near"], pdf["same"], strict=True):
                 s = shingles(text, words)
                 short = s.astype(np.uint32)
                 spans = []
-                for e in evidence:
+                for e in same:
+                    at = np.asarray(e["exact"], np.int64)
+                    cut = np.flatnonzero(np.diff(at) > 1)
+                    first, last = at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)]
+                    spans += [(a, b + passage, e["source_id"]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                for e in near:
                     shared = np.isin(short, np.frombuffer(e["held"], np.uint32)) & _spread([(x["a"], x["b"]) for x in e["mine"]], len(s))
                     spans += [(a, b + SHINGLE - 1, e["source_id"]) for a, b in repeated(shared, least, similarity)]
                 if spans:

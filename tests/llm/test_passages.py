@@ -63,6 +63,22 @@ def test_planted_passages(spark):
     assert P.repeated_passages(df.limit(0)).collect() == []
 
 
+def test_passage_of_lines_that_stand_apart_in_earlier_texts(spark):
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    lines = [words(27) for _ in range(30)]
+    texts = [[*words(60), *line, *words(60)] for line in lines]
+    for k in range(0, 30, 3):
+        passage = sum(lines[k : k + 3], [])
+        texts += [[*words(70), *passage, *words(50)], [*words(30), *passage, *words(90)]]
+    texts += [texts[30], [*texts[32][:110], "other", *texts[32][111:]]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in P.repeated_passages(df).collect()}
+    assert set(got) == {*range(31, 50, 2), 50, 51}
+    assert all((got[d].source_id, got[d].words) == (d - 1, 81) for d in range(31, 50, 2))
+    assert [(got[d].source_id, got[d].words) for d in (50, 51)] == [(30, 201), (32, 201)]
+
+
 def test_query_finds_all_exact_repeats(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
