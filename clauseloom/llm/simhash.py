@@ -66,22 +66,27 @@ def _mixed(hashes: np.ndarray, family: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def simhash(docs: DataFrame, words: int = 3, families: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash(docs: DataFrame, words: int = 3, families: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
     """Rows (doc_id, fp array<long>): one 64-bit fingerprint for each family.
 
-    A null or empty text has the zero fingerprint; other columns are ignored.
+    A null or empty text has the zero fingerprint; other columns are ignored.  With ``sets``
+    each different shingle votes once, and a column ``shingles`` has a 128-bit digest of their set.
     """
+    extra = ", shingles binary" if sets else ""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fps = []
+            fps, digests = [], []
             for text in pdf["t"]:
                 h = shingle_hashes(text, words)
+                if sets:
+                    h = np.unique(h)
+                    digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 fps.append(np.array([majority(_mixed(h, k)) for k in range(families)], np.uint64).view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["i"], "fp": fps})
+            yield pd.DataFrame({"doc_id": pdf["i"], "fp": fps} | ({"shingles": digests} if sets else {}))
 
     kind = dict(docs.dtypes)[id_col]
-    return texts_of(docs).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"doc_id {kind}, fp array<bigint>")
+    return texts_of(docs).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"doc_id {kind}, fp array<bigint>{extra}")
 
 
 def _pair_masks(bits: int) -> np.ndarray:
@@ -241,11 +246,11 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, similarity: float
 
     Anchors of the blocks of ``families`` SimHash words propose pairs, the whole words drop
     those that are clearly apart, and exact Jaccard similarity on sets of ``words``-word
-    shingles decides.  Texts with equal words in all families are one class.  Null and empty
+    shingles decides.  Texts with equal sets of shingles are one class.  Null and empty
     texts are one group; repeated rows stay rows; an empty table gives none.
     """
-    fps = stored(simhash(docs, words, families))
-    classes = settle(fps.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("id")).where("id is not null"))
+    fps = stored(simhash(docs, words, families, sets=True))
+    classes = settle(fps.groupBy("shingles").agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.first("fp").alias("fp")).where("id is not null"))
     pairs = _candidates(classes, families)
     one, two = classes.select(F.col("id").alias("a"), F.col("fp").alias("fa")), classes.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
     apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -273,8 +278,8 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, similarity: float
     first, second = held.select(F.col("id").alias("a"), F.col("held").alias("ha")), held.select(F.col("id").alias("b"), F.col("held").alias("hb"))
     links = pairs.join(first, "a").join(second, "b").where(jaccard("ha", "hb") >= similarity).select("a", "b")
     found = connected_components(links)
-    whole = classes.join(found, classes.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(whole, "fp", "left").select("doc_id", "component_id")
+    whole = classes.join(found, classes.id == found.node, "left").select("shingles", F.coalesce("component", "id").alias("component_id"))
+    return fps.join(whole, "shingles", "left").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:

@@ -63,3 +63,12 @@ def test_components_match_brute_force(spark):
 
 def test_empty_table(spark):
     assert S.simhash_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_filler_does_not_make_copies_of_different_texts(spark):
+    rng = random.Random(3)
+    own = [" ".join(f"t{rng.randrange(10**6)}" for _ in range(40)) for _ in range(6)]
+    texts = [f"{'- ' * 120}{t}" for t in own] + [f"{'- ' * 90}{own[2]}", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.near_duplicate_components(df).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 2, 7: 7, 8: 7}
