@@ -193,16 +193,17 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 2) -> Da
     return fps.join(whole, "fp", "left")
 
 
-#: Blocks of 31 bits, two in each family's word; a group up to SMALL is compared in full.
-_BLOCK, SMALL = 31, 32
+#: Blocks of 31 bits, two in each family's word; a group up to SMALL is compared in full at once, a crowd by cells of about 2 * _SIDE members.
+_BLOCK, SMALL, _SIDE = 31, 32, 512
 
 
 def _candidates(classes: DataFrame, families: int) -> DataFrame:
-    """Rows (a, b): pairs of classes (id, fp array) that share an anchor in some block and look alike.
+    """Rows (a, b, crowd): pairs of classes (id, fp array) that share an anchor in some block and look alike.
 
-    Alike: at most 22 of 64 bits of another family differ.  In a group beyond SMALL, each
-    member is paired with the first and with its neighbours in the order of that word, so a
-    large family of copies gives links in proportion to its size.
+    Alike: at most 22 of 64 bits of another family differ.  In a group beyond SMALL, a crowd,
+    each member is paired with the first and with its neighbours in the order of that word, so
+    a large family of copies gives links in proportion to its size; rows with ``crowd`` name
+    its members (id, key), whose other pairs :func:`_across` compares.
     """
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,14 +232,44 @@ def _candidates(classes: DataFrame, families: int) -> DataFrame:
                 order = s + np.argsort(other[s : s + n], kind="stable")
                 a += [np.full(n - 1, s), order[:-1], order[:-2]]
                 b += [np.arange(s + 1, s + n), order[1:], order[2:]]
+                yield pd.DataFrame({"a": ids[s : s + n], "b": pdf["key"].to_numpy(np.int64)[s : s + n], "crowd": True})
             if a:
                 i, j = np.concatenate(a), np.concatenate(b)
                 near = np.bitwise_count(other[i] ^ other[j]) <= 22
                 one, two = ids[i[near]], ids[j[near]]
-                yield pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two)}).drop_duplicates()
+                yield pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "crowd": False}).drop_duplicates()
 
     rows = classes.mapInPandas(spread, "key bigint, other bigint, id bigint")
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInPandas(pair, "a bigint, b bigint").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInPandas(pair, "a bigint, b bigint, crowd boolean").distinct()
+
+
+def _across(members: DataFrame, most: int) -> DataFrame:
+    """Rows (a, b): pairs in a crowd, members (key, id, fp, component), of two components and at most ``most`` bits apart.
+
+    A crowd is cut into parts by a hash, and every two parts meet in a task of their own.
+    Crowds that are one component already are left out.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    parts = F.ceil(F.col("n") / _SIDE).cast("int")
+    dealt = members.join(sizes.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), "part", "id", "fp", "component")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, ["key", "x", "y"]):
+            ids, label, part = (pdf[k].to_numpy(np.int64) for k in ("id", "component", "part"))
+            fp, x, y = np.stack(pdf["fp"]).astype(np.int64).view(np.uint64), pdf["x"].to_numpy(), pdf["y"].to_numpy()
+            for s, n in zip(*(v.tolist() for v in group_bounds(pdf, ["key", "x", "y"])), strict=True):
+                rows = np.arange(s, s + n)
+                one, two = rows[part[s : s + n] == x[s]], rows[part[s : s + n] == y[s]]
+                far = np.zeros((len(one), len(two)), np.int64)
+                for k in range(fp.shape[1]):
+                    far += np.bitwise_count(fp[one, k][:, None] ^ fp[two, k][None, :])
+                i, j = np.nonzero((far <= most) & (label[one][:, None] != label[two][None, :]))
+                a, b = ids[one[i]], ids[two[j]]
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicate_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, families: int = 4) -> DataFrame:
@@ -251,12 +282,27 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, similarity: float
     """
     fps = stored(simhash(docs, words, families, sets=True))
     classes = settle(fps.groupBy("shingles").agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.first("fp").alias("fp")).where("id is not null"))
-    pairs = _candidates(classes, families)
+    proposed = stored(_candidates(classes, families))
     one, two = classes.select(F.col("id").alias("a"), F.col("fp").alias("fa")), classes.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
     apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     expected = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = 64 * families * (expected + 4 * math.sqrt(expected * (1 - expected) / (64 * families)))
-    pairs = stored(pairs.join(one, "a").join(two, "b").where(apart <= int(most)).select("a", "b"))
+    most = int(64 * families * (expected + 4 * math.sqrt(expected * (1 - expected) / (64 * families))))
+    near = proposed.where("not crowd").join(one, "a").join(two, "b").where(apart <= most).select("a", "b")
+    links = _similar(docs, stored(near), words, similarity)
+    crowds = proposed.where("crowd").select(F.col("a").alias("id"), F.col("b").alias("key"))
+    if not crowds.isEmpty():
+        links = settle(links)
+        so_far = connected_components(links)
+        members = crowds.join(classes.select("id", "fp"), "id").join(so_far, F.col("id") == so_far.node, "left")
+        members = stored(members.select("key", "id", "fp", F.coalesce("component", "id").alias("component")))
+        links = links.union(_similar(docs, stored(_across(members, most)), words, similarity))
+    found = connected_components(links)
+    whole = classes.join(found, classes.id == found.node, "left").select("shingles", F.coalesce("component", "id").alias("component_id"))
+    return fps.join(whole, "shingles", "left").select("doc_id", "component_id")
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of documents whose sets of shingles have the Jaccard ``similarity``."""
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,10 +322,7 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, similarity: float
         return pd.Series(out, dtype="float64")
 
     first, second = held.select(F.col("id").alias("a"), F.col("held").alias("ha")), held.select(F.col("id").alias("b"), F.col("held").alias("hb"))
-    links = pairs.join(first, "a").join(second, "b").where(jaccard("ha", "hb") >= similarity).select("a", "b")
-    found = connected_components(links)
-    whole = classes.join(found, classes.id == found.node, "left").select("shingles", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(whole, "shingles", "left").select("doc_id", "component_id")
+    return pairs.join(first, "a").join(second, "b").where(jaccard("ha", "hb") >= similarity).select("a", "b")
 
 
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:

@@ -72,3 +72,28 @@ def test_filler_does_not_make_copies_of_different_texts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in S.near_duplicate_components(df).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 2, 7: 7, 8: 7}
+
+
+def test_copies_among_many_texts_of_one_template(spark):
+    rng = random.Random(4)
+    words = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    template, texts = words(300), []
+    for _ in range(600):
+        own = words(70)
+        texts += [" ".join(template + own), " ".join(template + own[:20] + words(30) + own[50:])]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    df = spark.createDataFrame([(order[k], t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.near_duplicate_components(df).collect()}
+    want = 0
+    for k in range(0, len(texts), 2):
+        sets = [np.unique(S.shingle_hashes(t, 5)) for t in texts[k : k + 2]]
+        fps = np.array([[S.majority(S._mixed(h, f)) for f in range(4)] for h in sets], np.uint64)
+        meet = False
+        for block in range(8):
+            row, anchor = S.anchors(fps[:, block // 2] >> np.uint64(32 * (block % 2)) & np.uint64((1 << 31) - 1), 31)
+            meet |= len(np.intersect1d(anchor[row == 0], anchor[row == 1])) > 0
+        if meet and np.bitwise_count(fps[0] ^ fps[1]).max() <= 22 and np.bitwise_count(fps[0] ^ fps[1]).sum() <= 60:
+            want += 1
+            assert got[order[k]] == got[order[k + 1]] == min(order[k : k + 2])
+    assert want > 300
