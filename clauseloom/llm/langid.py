@@ -75,7 +75,7 @@ class SuffixAutomaton:
 
 
 class LanguageModel:
-    """Dense transition tables of one automaton for each language, over a common alphabet."""
+    """Transitions of one automaton for each language: dense tables for the ``alphabet - 1`` most frequent letters, sorted keys for all others."""
 
     def __init__(self, samples: dict[str, list[str]], alphabet: int = 96):
         self.languages = sorted(samples)
@@ -84,13 +84,13 @@ class LanguageModel:
             for t in texts:
                 for c in t:
                     counts[c] = counts.get(c, 0) + 1
-        kept = sorted(counts, key=lambda c: (-counts[c], c))[: alphabet - 1]
-        self.codes = np.zeros(0x110000, np.uint8)
-        for n, c in enumerate(kept, 1):
+        number = {c: n for n, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c)), 1)}
+        self.codes = np.zeros(0x110000, np.int32)
+        for c, n in number.items():
             self.codes[ord(c)] = n
-        number = {c: n for n, c in enumerate(kept, 1)}
-        self.width = len(kept) + 1
+        self.width, self.letters = min(len(number), alphabet - 1) + 1, len(number) + 1
         tables = []
+        rare: list[tuple[int, int]] = []
         self.roots = []
         at = 0
         for lang in self.languages:
@@ -98,17 +98,34 @@ class LanguageModel:
             t = np.full((len(found.next), self.width), _NONE, np.int32)
             for state, following in enumerate(found.next):
                 for c, to in following.items():
-                    if c in number:
+                    if number[c] < self.width:
                         t[state, number[c]] = (at + to) * self.width
+                    else:
+                        rare.append(((at + state) * self.letters + number[c], (at + to) * self.width))
             self.roots.append(at * self.width)
             at += len(found.next)
             tables.append(t)
         self.table = np.concatenate(tables).ravel() if tables else np.empty(0, np.int32)
+        rare.append((np.iinfo(np.int64).max, _NONE))
+        self.rare_keys, self.rare_to = np.array(sorted(rare), np.int64).T.copy()
+
+    def _follow(self, state: np.ndarray, c: np.ndarray, rare: bool) -> np.ndarray:
+        """The states after letters ``c``, ``_NONE`` where there are none."""
+        if not rare:
+            return self.table[state + c]
+        to = self.table[state + np.where(c < self.width, c, 0)]  # no letter has number 0
+        some = np.flatnonzero(c >= self.width)
+        if len(some):
+            key = np.broadcast_to(state, c.shape)[some].astype(np.int64) // self.width * self.letters + c[some]
+            at = np.searchsorted(self.rare_keys, key)
+            to[some] = np.where(self.rare_keys[at] == key, self.rare_to[at], _NONE)
+        return to
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Row by text, column by language: phrases that cover the text, divided by its letters."""
         sizes = np.array([len(t) for t in texts], np.int64)
         codes = self.codes[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        rare = bool((codes >= self.width).any())
         parts = -(-sizes // SEGMENT)
         owner = np.repeat(np.arange(len(texts)), parts)
         first = np.concatenate(([0], np.cumsum(parts)))[:-1]
@@ -126,10 +143,10 @@ class LanguageModel:
                 if not n:
                     break
                 c = codes[start[:n] + step]
-                to = self.table[state[:n] + c]
+                to = self._follow(state[:n], c, rare)
                 stuck = np.flatnonzero(to < 0)
                 if len(stuck):  # the phrase ends before this letter, or the letter is a phrase of its own
-                    again = self.table[root + c[stuck].astype(np.int32)]
+                    again = self._follow(np.int32(root), c[stuck], rare)
                     count[stuck] += state[stuck] != root
                     alone = again < 0
                     count[stuck[alone]] += 1

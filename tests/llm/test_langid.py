@@ -34,6 +34,21 @@ def test_phrases_match_brute_force():
         assert [round(v * max(len(t), 1)) for v, t in zip(rates[:, k], texts, strict=True)] == [brute(t, samples[lang]) for t in texts]
 
 
+def test_every_letter_of_a_large_script_counts():
+    rng = random.Random(2)
+    signs = [chr(0x4E00 + k) for k in range(2000)]
+    words = {k: ["".join(rng.sample(signs, 3)) for _ in range(900)] for k in "ab"}
+    write = lambda k, n: "".join(rng.choice(words[k]) for _ in range(n))
+    samples = {k: [write(k, 60) for _ in range(40)] for k in "ab"} | {"c": ["the cat sat on the mat"]}
+    model = L.LanguageModel(samples)
+    texts = [write(k, 40) for k in "ab" * 8] + ["the cat", "", "ы" + words["a"][0] + " cat"]
+    rates = model.phrases(texts)
+    for k, lang in enumerate(model.languages):
+        assert [round(v * max(len(t), 1)) for v, t in zip(rates[:, k], texts, strict=True)] == [brute(t, samples[lang]) for t in texts]
+    found = model.predict(texts[:17])
+    assert [f[0] for f in found] == [*"ab" * 8, "c"] and all(f[2] < 0.6 for f in found)
+
+
 def test_query_is_accurate_and_whole(spark):
     got = Q.op10_language_id(spark, SF).collect()
     docs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
