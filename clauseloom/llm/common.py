@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -95,16 +96,44 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return labels
 
 
+#: Bytes of rows that pandas sees at a time in :func:`map_slices`.
+SLICE = 4 << 20
+
+
+def _size(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of each row: exact for strings and binaries, the mean for other columns."""
+    out = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        kind = c.type
+        if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+            out += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        else:
+            out += c.nbytes // max(1, batch.num_rows)
+    return out
+
+
+def slices(batch: pa.RecordBatch, rows: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows and about ``size`` bytes, one row at least."""
+    ends = np.cumsum(_size(batch))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def map_slices(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = 500) -> DataFrame:
-    """mapInPandas for rows that hold whole texts or lists: pandas sees ``rows`` of them at a time."""
+    """mapInPandas for rows that hold whole texts or lists: pandas sees ``rows`` rows, or SLICE bytes, at a time."""
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frames = (b.slice(k, rows).to_pandas() for b in batches for k in range(0, b.num_rows, rows))
+        frames = (part.to_pandas() for b in batches for part in slices(b, rows))
         for out in run(frames):
-            yield pa.RecordBatch.from_pandas(out, schema=target, preserve_index=False)
+            if len(out):
+                yield pa.RecordBatch.from_pandas(out, schema=target, preserve_index=False)
 
-    return df.mapInArrow(sliced, schema)
+    return texts_of(df).mapInArrow(sliced, schema)
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:

@@ -8,14 +8,23 @@ from clauseloom.llm import passages as P
 from clauseloom.llm import queries as Q
 
 
-def test_compact_windows_hold_every_stretch_once():
+def test_compact_windows_hold_every_stretch_once(monkeypatch):
     rng = np.random.default_rng(1)
-    for h in (rng.integers(0, 1 << 60, 120).astype(np.uint64), rng.integers(0, 5, 120).astype(np.uint64), np.zeros(300, np.uint64)):
-        found = P.compact_windows(h, 10)
-        for i in range(len(h)):
-            for j in range(i + 10, len(h) + 1):
-                over = [c for a, c, b in found if a <= i <= c < j <= b]
-                assert len(over) == 1 and h[over[0]] == h[i:j].min()
+    texts = [rng.integers(1, 1 << 60, 120), rng.integers(1, 6, 120), np.full(120, 7), rng.integers(1, 1 << 60, 3), rng.integers(1, 1 << 60, 40)]
+    h = np.concatenate([np.append(t, 0) for t in texts]).astype(np.uint64)
+    h[h < 100] <<= np.uint64(20)
+    found = [tuple(map(int, x)) for x in zip(*P.compact_windows(h, 10), strict=True)]
+    ends = np.flatnonzero(h == 0)
+    for i in range(len(h)):
+        for j in range(i + 10, len(h) + 1):
+            over = [c for c, left, right in found if c - left <= i <= c < j <= c + right + 1]
+            inside = not ((ends >= i) & (ends < j)).any()
+            assert len(over) == inside and (not inside or h[over[0]] == h[i:j].min())
+    long = rng.integers(1, 1 << 60, 5000).astype(np.uint64)
+    whole = P.compact_windows(long, 46)
+    monkeypatch.setattr(P, "BLOCK", 300)
+    assert all((a == b).all() for a, b in zip(whole, P.compact_windows(long, 46), strict=True))
+    assert len(P.compact_windows(np.full(2000, 5 << 20, np.uint64), 46)[0]) < 2000 / 8
 
 
 def make(seed=1):
@@ -79,6 +88,32 @@ def test_passage_of_lines_that_stand_apart_in_earlier_texts(spark):
     assert [(got[d].source_id, got[d].words) for d in (50, 51)] == [(30, 201), (32, 201)]
 
 
+def test_parts_that_stand_alone_in_many_earlier_texts(spark):
+    rng = random.Random(5)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    texts, later = [], []
+    for parts, size, changed in ((2, 35, 0), (2, 49, 0), (3, 30, 0), (2, 40, 1), (3, 30, 1)):
+        for _ in range(6):
+            own = [words(size) for _ in range(parts)]
+            texts += [[*words(40), *part, *words(40)] for part in own for _ in range(15)]
+            whole = sum(own, [])
+            for copy in range(3):
+                some = list(whole)
+                if changed and copy:
+                    some[rng.randrange(8, len(some) - 8)] = "other"
+                later.append((copy, [*words(60), *some, *words(60)], 60, len(some)))
+    first = len(texts)
+    texts += [t for _, t, _, _ in later]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {}
+    for r in P.repeated_passages(df).collect():
+        at = len(" ".join(texts[r.doc_id])[: r.start].split())
+        found.setdefault(r.doc_id, set()).update(range(at, at + r.words))
+    again = [(first + k, set(range(at, at + n))) for k, (copy, _, at, n) in enumerate(later) if copy]
+    hit = [len(v & found.get(d, set())) / len(v) for d, v in again]
+    assert sum(hit[:36]) >= 0.999 * 36 and sum(hit) >= 0.95 * len(hit)
+
+
 def test_query_finds_all_exact_repeats(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
