@@ -10,7 +10,10 @@ used up, so their number depends on the capacity and not on the corpus.  Ranks a
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -21,11 +24,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, texts_of
+from .common import map_slices, stored
 
 #: Marks that may end a word; they are pre-tokens of their own after a letter.
 _MARKS = ".,!?;:%#*&$|"
-_KEEP = 2_000_000
+#: Words whose ids each worker remembers.
+_KEEP = 200_000
+#: A line feed between visible characters; _LINE, which no text holds, stands for it before the next word.
+_FEED, _LINE = re.compile(r"(?<=\S)\n(?=\S)"), "\ud800"
+_JOIN = " " + _LINE
 
 
 def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -34,12 +41,21 @@ def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write each byte: visible ones as they are, the others from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [x for x in range(256) if x not in seen]
+    return {x: chr(x) for x in seen} | {x: chr(256 + n) for n, x in enumerate(hidden)}
+
+
 class WordEncoder:
     """Byte-level BPE ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    Such tokenizers never join across a space that follows a visible character and precedes
-    one, so texts are encoded by words and repeated words come from a table.  A text in which
-    a space follows other white space is encoded in one piece instead.
+    Such tokenizers never join across a space, or one line feed, between visible characters,
+    so texts are encoded by words and repeated words come from a table.  A word of letters is one
+    pre-token, which goes straight to the model, and marks at its end are others; words of another
+    kind go through the whole tokenizer.  A text in which a space follows other white space is
+    encoded in one piece.
     """
 
     def __init__(self, path: str, keep: int = _KEEP):
@@ -49,58 +65,68 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
+        kind = json.loads(self.tokenizer.to_str())
+        before = kind["pre_tokenizer"] or {}
+        self.direct = kind["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"]
+        self.letters = _byte_letters()
+        self.known: dict[str, bytes | None] = {}
+        self.again: set[str] = set()  # words of more than one batch
+        self.tails: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def _learn(self, known: dict[str, bytes | None], words: set[str], lead: str) -> None:
-        if not words:
-            return
-        stems = {w: w.rstrip(_MARKS) for w in words}
-        plain = [s for s in {s for w, s in stems.items() if s and s[-1].isalpha()} if s not in known]
-        known.update(zip(plain, self._ids([lead + s for s in plain]), strict=True))
-        rest = [w for w in words if w not in known]
-        tails = {w: w[len(stems[w]) :] for w in rest}
-        marks = sorted({t for w, t in tails.items() if stems[w] in known and known[stems[w]] is not None})
-        of_marks = dict(zip(marks, self._ids(marks), strict=True))
-        odd = []
-        for w in rest:
-            stem = stems[w]
-            if stem and stem[-1].isalpha() and stem in known:
-                known[w] = known[stem] + of_marks[tails[w]]
-            elif not w or w[-1].isspace():
-                known[w] = None  # what follows may belong to this white space
-            else:
+    def _tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            self.tails[marks] = self._ids([marks])[0]
+        return self.tails[marks]
+
+    def _learn(self, words: set[str]) -> None:
+        """Ids of words after a space, or a line feed; None where what follows may belong to a word's white space."""
+        known, model, letters, odd = self.known, self.tokenizer.model, self.letters, []
+        feed = self._tail("\n")
+        for w in words:
+            s = w.rstrip(_MARKS)
+            fed = s[:1] == _LINE
+            body = s[1:] if fed else s
+            if not (self.direct and body.isalpha() and (body.isascii() or max(body) < "\u0530")):
                 odd.append(w)
-        known.update(zip(odd, self._ids([lead + w for w in odd]), strict=True))
+                continue
+            ids = known.get(s)
+            if ids is None:
+                found = model.tokenize((body if fed else " " + body).encode().decode("latin-1").translate(letters))
+                ids = array("I", [x.id for x in found]).tobytes()
+                known[s] = ids = feed + ids if fed else ids
+            if len(s) != len(w):
+                known[w] = ids + self._tail(w[len(s) :])
+        known.update((w, None) for w in odd if not w or w[-1].isspace())
+        odd = [w for w in odd if w and not w[-1].isspace()]
+        known.update(zip(odd, self._ids(["\n" + w[1:] if w[0] == _LINE else " " + w for w in odd]), strict=True))
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        whole = {k for k, words in enumerate(cut) if max(map(len, words)) > 200}
-        if len(self.later) > self.keep:
-            self.later.clear()
-        if len(self.first) > self.keep:
-            self.first.clear()
-        fine = [words for k, words in enumerate(cut) if k not in whole]
-        self._learn(self.first, {w[0] for w in fine if w[0] and w[0] not in self.first}, "")
-        known = self.later
-        self._learn(known, {x for w in fine for x in w[1:] if x not in known}, " ")
-        out = []
-        for k, (text, words) in enumerate(zip(texts, cut, strict=True)):
-            if k not in whole:
-                rest = list(map(known.__getitem__, words[1:]))
-                head = self.first[words[0]] if words[0] else b""
-                if head is not None and None not in rest:
-                    out.append(head + b"".join(rest))
-                    continue
-            out.append(self._ids([text])[0])
-        return out
+        if len(self.known) > self.keep:
+            self.known = {w: self.known[w] for w in self.again}
+            self.again = set()
+        known = self.known
+        cut = [_FEED.sub(_JOIN, t).split(" ") for t in texts]
+        later = {k: words[1:] for k, words in enumerate(cut) if max(map(len, words)) <= 200}
+        met = set(itertools.chain.from_iterable(later.values()))
+        new = met.difference(known)
+        self.again |= met.difference(new)
+        self._learn(new)
+        found: dict[int, list] = {}
+        for k, words in later.items():
+            ids = list(map(known.__getitem__, words))
+            if None not in ids and not cut[k][0][-1:].isspace():
+                found[k] = ids
+        heads = dict(zip(found, self._ids([cut[k][0] for k in found]), strict=True))
+        rest = [k for k in range(len(texts)) if k not in found]
+        whole = dict(zip(rest, self._ids([texts[k] for k in rest]), strict=True))
+        return [whole[k] if k in whole else heads[k] + b"".join(found[k]) for k in range(len(texts))]
 
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
@@ -126,21 +152,18 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
         of = encoder(path, keep)
         for pdf in batches:
             rows = []
-            for k in range(0, len(pdf), 256):
-                part = pdf.iloc[k : k + 256]
-                for i, ids in zip(part["i"], of.encode_all([t or "" for t in part["t"]]), strict=True):
-                    ids += b"\0\0\0\0"
-                    n, start, piece = len(ids) // 4, 0, 0
-                    while start < n:
-                        size = (n - start) % capacity or capacity
-                        rows.append((i, piece, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)])))
-                        start, piece = start + size, piece + 1
+            for i, ids in zip(pdf["i"], of.encode_all([t or "" for t in pdf["t"]]), strict=True):
+                ids += b"\0\0\0\0"
+                n, start, piece = len(ids) // 4, 0, 0
+                while start < n:
+                    size = (n - start) % capacity or capacity
+                    rows.append((i, piece, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)])))
+                    start, piece = start + size, piece + 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = dict(docs.dtypes)[id_col]
-    return texts_of(docs).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(
-        run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
-    )
+    schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
+    return map_slices(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), run, schema)
 
 
 @dataclass
