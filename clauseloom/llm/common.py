@@ -40,12 +40,12 @@ def stored(df: DataFrame) -> DataFrame:
     """Like :func:`settle` for wide or large rows: a compressed columnar table in the shared folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # smaller groups of rows held by writers and readers
     return spark.read.schema(df.schema).parquet(path)
 
 
 #: Texts that go to a Python worker at a time.
-TEXTS = 2_500
+TEXTS = 1_000
 
 
 def texts_of(df: DataFrame) -> DataFrame:

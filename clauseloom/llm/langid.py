@@ -77,7 +77,7 @@ class SuffixAutomaton:
 class LanguageModel:
     """Transitions of one automaton for each language: dense tables for the ``alphabet - 1`` most frequent letters, sorted keys for all others."""
 
-    def __init__(self, samples: dict[str, list[str]], alphabet: int = 96):
+    def __init__(self, samples: dict[str, list[str]], alphabet: int = 64):
         self.languages = sorted(samples)
         counts: dict[str, int] = {}
         for texts in samples.values():

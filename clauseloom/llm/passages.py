@@ -46,7 +46,7 @@ _WORD = re.compile(r"\S+")
 
 class _Words(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h

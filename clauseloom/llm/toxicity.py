@@ -39,7 +39,7 @@ def bucket(word: str) -> int:
 
 class _Buckets(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = n = bucket(word)
         return n
@@ -68,7 +68,7 @@ class _Weights(dict):
         self.model = model
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = w = self.model.weights.get(bucket(word), 0.0)
         return w
