@@ -74,13 +74,56 @@ class _Weights(dict):
         return w
 
 
-def fit(rows: list[tuple[np.ndarray, int]], swap_weight: float = 10.0, l2: float = 1e-5, min_z: float = 4.0, rounds: int = 400, families: dict[str, tuple[str, ...]] = IDENTITY_TERMS) -> ToxicityModel:
-    """Fit on rows (buckets of distinct words, label 0/1).  No rows or one class: a constant score."""
+@dataclass
+class Objective:
+    """Logistic loss plus ``swap_weight`` times the mean squared change of the score under swaps.
+
+    ``row`` and ``col`` say which features each text has, ``swaps`` (text, term out, term in,
+    times) which copies are compared with it.  ``term_of`` and ``feature`` list the features of
+    each term; the last term is one that no text has, whose weight is 0.
+    """
+
+    y: np.ndarray
+    row: np.ndarray
+    col: np.ndarray
+    swaps: np.ndarray
+    term_of: np.ndarray
+    feature: np.ndarray
+    terms: int
+    swap_weight: float
+    l2: float
+
+    def __call__(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """The loss at weights ``w`` (the last one is the bias), and its gradient."""
+        n = len(self.y)
+        s = 1 / (1 + np.exp(-(w[-1] + np.bincount(self.row, weights=w[self.col], minlength=n))))
+        loss = -np.log(np.where(self.y > 0, s, 1 - s) + 1e-300).mean() + self.l2 * (w[:-1] ** 2).sum() / 2
+        pull, grad = (s - self.y) / n, np.zeros_like(w)
+        if len(self.swaps):
+            i, a, b, times = self.swaps.T
+            share = times / times.sum()
+            held = np.bincount(self.term_of, weights=w[self.feature], minlength=self.terms)
+            logit = w[-1] + np.bincount(self.row, weights=w[self.col], minlength=n)
+            other = 1 / (1 + np.exp(-(logit[i] - held[a] + held[b])))
+            loss += self.swap_weight * (share * (s[i] - other) ** 2).sum()
+            gap = 2 * self.swap_weight * share * (s[i] - other)
+            here, there = gap * s[i] * (1 - s[i]), gap * other * (1 - other)
+            pull = pull + np.bincount(i, weights=here - there, minlength=n)
+            turn = np.bincount(a, weights=there, minlength=self.terms) - np.bincount(b, weights=there, minlength=self.terms)
+            grad += np.bincount(self.feature, weights=turn[self.term_of], minlength=len(w))
+        grad[:-1] += np.bincount(self.col, weights=pull[self.row], minlength=len(w) - 1) + self.l2 * w[:-1]
+        grad[-1] += pull.sum()
+        return float(loss), grad
+
+
+def objective(rows: list[tuple[np.ndarray, int]], swap_weight: float, l2: float, min_z: float, families: dict[str, tuple[str, ...]]) -> tuple[Objective, np.ndarray]:
+    """The objective on ``rows`` (buckets of distinct words, label), and the bucket of each feature.
+
+    A term is swapped for each other term of its family; one that no text has counts for
+    nothing, so a term that stands alone in its family is held to what no mention would score.
+    """
     y = np.array([t for _, t in rows], float)
     n, pos = len(y), float(y.sum())
-    prior = (pos + 0.5) / (n + 1)
-    if not 0 < pos < n:
-        return ToxicityModel({}, float(np.log(prior / (1 - prior))))
     row = np.repeat(np.arange(n), [len(b) for b, _ in rows])
     col = np.concatenate([b for b, _ in rows])
     seen, hits = np.bincount(col, minlength=BUCKETS), np.bincount(col, weights=y[row], minlength=BUCKETS)
@@ -96,35 +139,31 @@ def fit(rows: list[tuple[np.ndarray, int]], swap_weight: float = 10.0, l2: float
     place[chosen] = np.arange(len(chosen))
     used = place[col] >= 0
     row, col = row[used], place[col[used]]
-    term_of = np.repeat(np.arange(len(terms)), [len(f) for f in marks])
-    feature = place[np.concatenate(marks)] if marks else np.empty(0, int)
     number = {t: k for k, t in enumerate(terms)}
-    swaps = [np.empty((0, 3), int)]  # (row, term taken out, term put in)
+    swaps = [np.empty((0, 4), int)]
     for g in families.values():
         own = [number[t] for t in g if t in number]
         for a in own:
             at = row[col == place[bucket(terms[a])]]
-            swaps += [np.stack([at, np.full(len(at), a), np.full(len(at), b)], 1) for b in own if b != a]
-    swaps = np.concatenate(swaps)
-    w, bias = np.zeros(len(chosen) + 1), np.log(prior / (1 - prior))
-    w[-1] = bias
+            into = [(b, 1) for b in own if b != a] + ([(len(terms), len(g) - len(own))] if len(g) > len(own) else [])
+            swaps += [np.stack([at, *(np.full(len(at), v) for v in (a, b, times))], 1) for b, times in into]
+    term_of = np.repeat(np.arange(len(terms)), [len(f) for f in marks])
+    feature = place[np.concatenate(marks)] if marks else np.empty(0, int)
+    return Objective(y, row, col, np.concatenate(swaps), term_of, feature, len(terms) + 1, swap_weight, l2), chosen
+
+
+def fit(rows: list[tuple[np.ndarray, int]], swap_weight: float = 10.0, l2: float = 1e-5, min_z: float = 4.0, rounds: int = 400, families: dict[str, tuple[str, ...]] = IDENTITY_TERMS) -> ToxicityModel:
+    """Fit on rows (buckets of distinct words, label 0/1).  No rows or one class: a constant score."""
+    pos = sum(t for _, t in rows)
+    prior = (pos + 0.5) / (len(rows) + 1)
+    bias = float(np.log(prior / (1 - prior)))
+    if not 0 < pos < len(rows):
+        return ToxicityModel({}, bias)
+    of, chosen = objective(rows, swap_weight, l2, min_z, families)
+    w = np.append(np.zeros(len(chosen)), bias)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
-        logit = w[-1] + np.bincount(row, weights=w[col], minlength=n)
-        s = 1 / (1 + np.exp(-logit))
-        pull = (s - y) / n
-        grad = np.zeros_like(w)
-        if len(swaps):
-            i, a, b = swaps.T
-            held = np.bincount(term_of, weights=w[feature], minlength=len(terms))
-            other = 1 / (1 + np.exp(-(logit[i] - held[a] + held[b])))
-            gap = 2 * swap_weight * (s[i] - other) / len(swaps)
-            here, there = gap * s[i] * (1 - s[i]), gap * other * (1 - other)
-            pull = pull + np.bincount(i, weights=here - there, minlength=n)
-            turn = np.bincount(a, weights=there, minlength=len(terms)) - np.bincount(b, weights=there, minlength=len(terms))
-            grad += np.bincount(feature, weights=turn[term_of], minlength=len(w))
-        grad[:-1] += np.bincount(col, weights=pull[row], minlength=len(chosen)) + l2 * w[:-1]
-        grad[-1] += pull.sum()
+        grad = of(w)[1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return ToxicityModel(dict(zip(chosen.tolist(), w[:-1].tolist(), strict=True)), float(w[-1]))
@@ -153,7 +192,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) ->
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """Add (score double, predicted int) to ``docs``; null and empty texts get the prior's score."""
+    """Add (score double, predicted int) to ``docs``; null and empty texts get the prior's score.
+
+    Long texts are scored whole, repeated rows stay rows, columns of these two names are
+    replaced, and an empty table gives none.
+    """
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -166,5 +209,6 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, swap_weight: float = 10.0) -> ToxicityModel:
-    return fit(training_rows(docs, labels, max_rows), swap_weight)
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, swap_weight: float = 10.0, families: dict[str, tuple[str, ...]] = IDENTITY_TERMS) -> ToxicityModel:
+    """A model of at most ``max_rows`` labelled texts; ``families`` lists the terms that are swapped for each other."""
+    return fit(training_rows(docs, labels, max_rows), swap_weight, families=families)

@@ -38,6 +38,48 @@ def test_swaps_spare_neutral_mentions():
     assert held[2] > 0.5 > held[3]
 
 
+def test_term_that_stands_alone_in_its_family():
+    rng = random.Random(2)
+    plain = "house tree river music lunch garden train letter paper window bread".split()
+    pairs = []
+    for _ in range(600):
+        base = [rng.choice(plain) for _ in range(8)]
+        pairs.append((" ".join([*base, "vile", "muslims"]), 1) if rng.random() < 0.4 else (" ".join(base), 0))
+    for weight, low, high in ((0, 0.5, 1), (10, 0, 0.5), (30, 0, 0.5)):
+        m = T.fit(rows_of(pairs), swap_weight=weight)
+        known = T._Weights(m)
+        alone, sibling, insult = (m.score(T.words_of(t), known) for t in ("muslims in the garden with music", "christians in the garden with music", "vile muslims"))
+        assert low <= alone <= high and sibling < 0.5 < insult
+
+
+def test_gradient_and_swap_loss_against_brute_force():
+    rng = random.Random(3)
+    words = "a b c d e vile muslims jews gay".split()
+    pairs = [(" ".join(rng.choice(words) for _ in range(5)), rng.randrange(2)) for _ in range(60)]
+    rows = rows_of(pairs)
+    of, chosen = T.objective(rows, 3.0, 1e-3, 0.0, T.IDENTITY_TERMS)
+    w = np.random.default_rng(1).normal(size=len(chosen) + 1)
+    loss, grad = of(w)
+    weights = dict(zip(chosen.tolist(), w, strict=False))
+    score = lambda x: 1 / (1 + np.exp(-(w[-1] + sum(weights.get(T.bucket(t), 0.0) for t in x))))
+    gaps, fit, seen = [], [], {x for t, _ in pairs for x in T.words_of(t)}
+    for t, y in pairs:
+        x = T.words_of(t)
+        fit.append(-np.log(score(x) if y else 1 - score(x)))
+        for g in T.IDENTITY_TERMS.values():
+            for a in set(g) & x:
+                logit = lambda z: np.log(z / (1 - z))
+                for b in set(g) - {a}:
+                    into = T.words_of(b) if b in seen else set()
+                    moved = logit(score(x)) + sum(weights.get(T.bucket(k), 0.0) for k in into) - sum(weights.get(T.bucket(k), 0.0) for k in T.words_of(a))
+                    gaps.append((score(x) - 1 / (1 + np.exp(-moved))) ** 2)
+    assert np.isclose(loss, np.mean(fit) + 3.0 * np.mean(gaps) + 1e-3 / 2 * (w[:-1] ** 2).sum())
+    for k in range(len(w)):
+        step = np.zeros_like(w)
+        step[k] = 1e-5
+        assert np.isclose((of(w + step)[0] - of(w - step)[0]) / 2e-5, grad[k], atol=1e-6)
+
+
 def test_one_class_or_nothing_gives_a_constant():
     assert T.fit([]).score({"a"}, T._Weights(T.fit([]))) == 0.5
     m = T.fit(rows_of([("a b", 0), ("c", 0)]))
