@@ -56,7 +56,43 @@ STOP_WORDS = (
     "its", "was", "were",
 )
 CHANGE_TYPES = ("New", "Amendment", "Deletion", "No action")
-UNSTRUCTURED_KINDS = ("pdf", "pdf-scanned", "pdf-mixed", "image", "txt")
+UNSTRUCTURED_KINDS = ("native-pdf", "scanned-pdf", "mixed-pdf", "image", "txt", "csv", "rtf-stripped", "eml", "msg", "email-body")
+LEAD_IN = r":\s*$"
+SECTION = r"^(###|\[/?table\])"
+DATE = r"\b(\d{1,2}[-/ ][A-Z][a-z]{2,8}[-/ ]\d{2,4}|[A-Z][a-z]{2,8} \d{1,2}, \d{4}|\d{4}-\d{2}-\d{2})\b"
+NO_TITLE = ("confidential", "for bank", "internal use", "page ", "table of contents", "all rights", "### sheet", "### slide")
+TITLE_LINES, DATE_CHARS = 25, 2500
+CARRYING = r"(?i)\b(shall|must|required to|advised|should|will be)\b"
+DUTY_VERB = r"(?i)\b(?:shall|must|are required to|is required to|are advised)\b"
+SYSTEM_GAP, POLICY_GAP, PROCESS_GAP = "system|automat|configur", "polic(y|ies)|framework|regulation", "register|record|maintain|document"
+HIGH_RISK = "fraud|forged|sanction|money launder|penal|prohibit|shall not|must not|immediately|without delay"
+TEST_TYPES = {"New": "New", "Amendment": "Amendment ", "Deletion": "Deletion", "Tagged to different EP strata": "Tagged to different EP strata"}
+RISK_LABELS = {"High": "High Risk", "Medium": "Medium Risk", "Low": "Low Risk"}
+ROOT_CAUSES = ("System Gap", "Policy Gap", "Process / Procedure Gap", "Implementation Gap")
+DEPARTMENTS = ("BA", "MA", "IS&CA", "RR", "SA")
+_YES_NO, _SAMPLES = ("Yes", "No"), ("Exception from EP sample", "Exception from Additional sample", "General Exception")
+VOCABULARIES = (
+    ("Test Type (New/Amendments/Deletion)", tuple(TEST_TYPES.values())),
+    ("Marking (Onsite/Offsite/Partially Offsite)", ("Onsite", "Offsite", "Partially Offsite")),
+    ("Off-Site Based on Data (Yes/No)", _YES_NO),
+    ("Off-Site Based on Scanned Documents (Yes/No)", _YES_NO),
+    ("Regulatory Violation (Yes/No)", _YES_NO),
+    ("Reportable", _YES_NO),
+    ("Risk Type", ("Operational", "Functional", "Reputaional ", "Credit Risk")),
+    ("Observation Type", ROOT_CAUSES),
+    ("Key Observation", _YES_NO),
+    ("Sample Calculation Method", _SAMPLES),
+    ("Rectifiable", _YES_NO),
+    ("Leakage of Income", _YES_NO),
+    ("Exception Type", _SAMPLES),
+    ("Root Cause", ROOT_CAUSES),
+    ("Amendments Proposed in", ("Approved checklist Implemented in eAudit", "Approved checklist not yet implemented in eAudit")),
+    ("Pledge Stock", _YES_NO),
+    ("Amendment Type", ("Amendment in Test ", "Amendment in Exception ", "Amendment in Reference ", "Amendment in Risk Level", "Amendment in Strata", "Amendment in Annexure", "Other")),
+    ("Audit Dep (BA, MA, IS&CA, RR, SA)", DEPARTMENTS),
+    ("System and Source of Verification", ("T24 Live", "T24 CDB", "IMS", "ITS", "eAudit")),
+    ("Related Checklist (if any)", ("BAC", "MA", "IS", "CA", "RR", "SA")),
+)
 MIN_FRAGMENT, DATA_CELL_WORDS, HEADING_WORDS = 25, 8, 12
 MIN_DUTY, MAX_DUTIES, MAX_CLAUSES = 40, 6, 250
 AMEND_AT, NEW_AT = 0.45, 0.25

@@ -134,11 +134,11 @@ def draft_test(text: Column | str) -> Column:
     lines = F.split(F.trim(_c(text)), "\n")
     raw = F.trim(lines[0])
     cells = F.filter(F.transform(F.split(raw, r"\|"), F.trim), lambda s: s != "")
-    carrying = F.filter(cells, lambda s: s.rlike(r"(?i)\b(shall|must|required to|advised|should|will be)\b"))
+    carrying = F.filter(cells, lambda s: s.rlike(L.CARRYING))
     longest = F.array_max(F.transform(cells, lambda s, i: F.struct(F.length(s).alias("n"), (-i).alias("i"), s.alias("s"))))["s"]
     body = F.when(raw.contains("|"), F.coalesce(F.get(carrying, F.lit(0)), longest, F.lit(""))).otherwise(raw)
     body = flat(F.regexp_replace(body, r"^\s*\(?(?:\d+(?:\.\d+)*|[ivxIVX]{1,5}|[a-z])\)?[.):]?\s+", ""))
-    halves = F.split(body, r"(?i)\b(?:shall|must|are required to|is required to|are advised)\b", 2)
+    halves = F.split(body, L.DUTY_VERB, 2)
     who = F.regexp_replace(F.trim(halves[0]), ",+$", "")
     plural = who.rlike(r"(?i)((?<!s)s|records|forms|documents)[.,]*$")
     duty = F.trim(F.get(halves, F.lit(1)))
@@ -169,16 +169,15 @@ def exception_wording(proposed: Column | str) -> Column:
 def root_cause(text: Column | str) -> Column:
     t = F.lower(_c(text))
     return (
-        F.when(t.rlike("system|automat|configur"), "System Gap")
-        .when(t.rlike("polic(y|ies)|framework|regulation"), "Policy Gap")
-        .when(t.rlike("register|record|maintain|document"), "Process / Procedure Gap")
+        F.when(t.rlike(L.SYSTEM_GAP), "System Gap")
+        .when(t.rlike(L.POLICY_GAP), "Policy Gap")
+        .when(t.rlike(L.PROCESS_GAP), "Process / Procedure Gap")
         .otherwise("Implementation Gap")
     )
 
 
 def risk(text: Column | str) -> Column:
-    high = "fraud|forged|sanction|money launder|penal|prohibit|shall not|must not|immediately|without delay"
-    return F.when(F.lower(_c(text)).rlike(high), "High").otherwise("Medium")
+    return F.when(F.lower(_c(text)).rlike(L.HIGH_RISK), "High").otherwise("Medium")
 
 
 def change_type(value: Column | str) -> Column:
@@ -226,3 +225,53 @@ def page_number(start: Column, length: Column, pages: Column) -> Column:
 
 def safe_name(stem: Column | str) -> Column:
     return F.substring(F.regexp_replace(_c(stem), "[^A-Za-z0-9]+", "_"), 1, 55)
+
+
+def title(text: Column | str, filename: Column | str) -> Column:
+    """The first line near the top that is mostly capitals and no boilerplate, else the file's stem."""
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    lines = F.transform(F.slice(F.split(F.coalesce(_c(text), F.lit("")), "\n"), 1, L.TITLE_LINES), lambda x: F.regexp_replace(strip(x), r"^\[row \d+\]\s*", ""))
+    boilerplate = "|".join(L.NO_TITLE)
+    letters = lambda x: F.length(F.regexp_replace(x, r"[^\p{L}]", ""))
+    capitals = lambda x: F.length(F.regexp_replace(x, r"[^\p{Lu}]", ""))
+    fits = lambda x: F.length(x).between(12, 110) & (letters(x) > 0) & (capitals(x) / letters(x) > 0.4)
+    found = F.filter(lines, lambda x: ~F.lower(x).rlike(boilerplate) & fits(x))
+    stem = strip(F.replace(F.regexp_replace(_c(filename), r"(?<=.)\.[^./]*$", ""), F.lit("_"), F.lit(" ")))
+    return F.coalesce(F.get(found, F.lit(0)), stem)
+
+
+def date_of(text: Column | str) -> Column:
+    """The first date near the top, as it is written; empty if there is none."""
+    return F.regexp_extract(F.substring(F.coalesce(_c(text), F.lit("")), 1, L.DATE_CHARS), L.DATE, 1)
+
+
+def numeric_depth(reference: Column | str) -> Column:
+    """1 for ``3``, 2 for ``3.2``; null for a reference that is no plain number."""
+    r = _c(reference)
+    return F.when(r.rlike(r"^\d+(\.\d+)*$"), F.size(F.split(r, r"\.")))
+
+
+def is_unstructured(kind: Column | str) -> Column:
+    """Whether text of this kind has lost its tables' structure."""
+    return _c(kind).isin(*L.UNSTRUCTURED_KINDS)
+
+
+def is_data_line(line: Column | str) -> Column:
+    """A line that reads as a table row without its columns: short, and neither a duty nor an opener of any kind."""
+    t = F.trim(_c(line))
+    openers = (L.OBLIGATION, L.NUMBERED, L.LIST_ITEM, L.LEAD_IN, L.INFORMATIONAL, L.SHEET_ROW, L.SECTION)
+    out = (t != "") & (word_count(t) <= L.DATA_CELL_WORDS)
+    for pattern in openers:
+        out = out & ~t.rlike(pattern)
+    return out
+
+
+def is_data_block(block: Column | str) -> Column:
+    lines = F.filter(F.split(_c(block), "\n"), lambda x: F.trim(x) != "")
+    return (F.size(lines) > 0) & F.forall(lines, is_data_line)
+
+
+def relabel(value: Column | str, labels: dict[str, str]) -> Column:
+    """``labels`` of a value, the value itself where there is none."""
+    known = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
+    return F.coalesce(known[_c(value)], _c(value))

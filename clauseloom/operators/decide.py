@@ -103,3 +103,15 @@ def propose(obligations: DataFrame, library: DataFrame, day: str) -> DataFrame:
         T.department(subject, F.col("owner")).alias("department"), T.risk("text").alias("risk"), T.root_cause("text").alias("root_cause"),
         F.coalesce("confidence", ladder_confidence(F.col("change_type"), F.col("dense"))).alias("confidence"), F.slice("candidates", 1, 6).alias("candidates"),
     )
+
+
+def recover(decisions: DataFrame, by_rules: DataFrame) -> DataFrame:
+    """Decisions (id, change_type, code, …) with the rules' answer where a model's came to nothing.
+
+    A rules' row (the same columns) takes over only if it proposes a change itself.
+    """
+    others = [c for c in decisions.columns if c != "id"]
+    rules = by_rules.where("change_type <> 'No action'").select(F.col("id").alias("__id__"), F.struct(*others).alias("__rules__"))
+    rows = decisions.join(rules, (F.col("id") == F.col("__id__")) & (F.col("change_type") == "No action"), "left")
+    taken = F.col("__id__").isNotNull()
+    return rows.select("id", *(F.when(taken, F.col(f"__rules__.{c}")).otherwise(F.col(c)).alias(c) for c in others), taken.alias("recovered"))

@@ -54,3 +54,73 @@ def human_touched(documents: DataFrame, clauses: DataFrame, proposals: DataFrame
     decided = proposals.join(touched, proposals["id"] == touched["proposal_id"], "left_semi").select("clause_id")
     held = clauses.join(decided, clauses["id"] == decided["clause_id"], "left_semi").select("document_id")
     return documents.join(held, documents["id"] == held["document_id"], "left_semi")
+
+
+def arrival_order(emails: DataFrame, folder: DataFrame) -> DataFrame:
+    """Both sources as one, with ``arrival``: mail first, so that its copy of a content is the original."""
+    return emails.withColumn("arrival", F.lit(0)).unionByName(folder.withColumn("arrival", F.lit(1)))
+
+
+def already_processed(arrivals: DataFrame, documents: DataFrame, completed: DataFrame, touched: DataFrame) -> DataFrame:
+    """Add (known_id, action) to ``arrivals`` (filename, file_hash, …).
+
+    An arrival is known by name and content together.  ``completed`` and ``touched`` list
+    document ids: a complete one is ``unchanged``, an unfinished one that nobody acted on is
+    read again (``reclaim``), any other is ``left`` to a person; unknown ones are ``new``.
+    """
+    known = documents.groupBy("filename", "file_hash").agg(F.min("id").alias("known_id"))
+    done = completed.select(F.col("document_id").alias("known_id")).distinct().withColumn("done", F.lit(True))
+    acted = touched.select(F.col("document_id").alias("known_id")).distinct().withColumn("acted", F.lit(True))
+    rows = arrivals.join(known, ["filename", "file_hash"], "left").join(done, "known_id", "left").join(acted, "known_id", "left")
+    action = F.when(F.col("known_id").isNull(), "new").when(F.col("done"), "unchanged").when(F.col("acted"), "left").otherwise("reclaim")
+    return rows.select(*arrivals.columns, "known_id", action.alias("action"))
+
+
+def supersede(pairs: DataFrame, proposals: DataFrame, approvals: DataFrame, revisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(proposals with the status after supersession, counts (old_id, new_id, withdrawn, kept)).
+
+    ``pairs`` (old_id, new_id) link a reissued document to its successor.  Waiting changes of
+    the old document that nobody has acted on are withdrawn, all others stay as they are.
+    """
+    acted = approvals.select("proposal_id").union(revisions.select("proposal_id")).distinct().withColumn("acted", F.lit(True))
+    rows = proposals.join(pairs, proposals["document_id"] == pairs["old_id"], "left").join(acted, F.col("id") == F.col("proposal_id"), "left")
+    waits = F.col("status").isin("Pending review", "Changes requested") & (F.col("change_type") != "No action")
+    gone = F.col("old_id").isNotNull() & waits & F.col("acted").isNull()
+    rows = rows.withColumn("gone", gone)
+    after = rows.select(*[c for c in proposals.columns if c != "status"], F.when(F.col("gone"), "Withdrawn (superseded)").otherwise(F.col("status")).alias("status"))
+    live = (F.col("change_type") != "No action") & (F.col("status") != "Withdrawn (superseded)") & ~F.col("gone")
+    found = rows.where("old_id is not null").groupBy("old_id").agg(F.count_if("gone").alias("withdrawn"), F.count_if(live).alias("kept"))
+    none = F.lit(0).cast("long")
+    return after, pairs.join(found, "old_id", "left").select("old_id", "new_id", F.coalesce("withdrawn", none).alias("withdrawn"), F.coalesce("kept", none).alias("kept"))
+
+
+def rejudge(clauses: DataFrame, verdicts: DataFrame, human: DataFrame) -> DataFrame:
+    """Clauses after new verdicts on those a fallback judged; adds ``outcome``.
+
+    ``clauses`` (id, is_actionable, judged_by, …), ``verdicts`` (id, actionable, judge), ``human``
+    (clause_id): a person acted on it.  Only clauses with no verdict yet and a fallback judge
+    are queued; a verdict by rules leaves them queued, and a person's work is never altered.
+    """
+    new = verdicts.select(F.col("id").alias("v"), "actionable", "judge")
+    held = human.select(F.col("clause_id").alias("h")).distinct()
+    rows = clauses.join(new, F.col("id") == F.col("v"), "left").join(held, F.col("id") == F.col("h"), "left")
+    queued = F.col("is_actionable").isNull() & F.coalesce(F.col("judged_by").startswith("rules ("), F.lit(False))
+    outcome = F.when(queued, F.when(F.col("judge").isNull() | F.col("judge").startswith("rules ("), "still_provisional").when(F.col("h").isNotNull(), "kept_human").otherwise("confirmed"))
+    rows = rows.withColumn("outcome", outcome)
+    sure = F.col("outcome") == "confirmed"
+    return rows.select(
+        *[c for c in clauses.columns if c not in ("is_actionable", "judged_by")], F.when(sure, F.col("actionable")).otherwise(F.col("is_actionable")).alias("is_actionable"),
+        F.when(sure, F.col("judge")).when(F.col("outcome") == "kept_human", "kept: a person acted on it").otherwise(F.col("judged_by")).alias("judged_by"), "outcome",
+    )
+
+
+def pending_obligations(obligations: DataFrame, clauses: DataFrame, documents: DataFrame, proposals: DataFrame) -> DataFrame:
+    """Obligations of ingested documents' clauses, actionable or not yet judged, that have no proposal.
+
+    Adds document_id and ``place``: the order by document, clause and obligation.
+    """
+    live = clauses.where("coalesce(is_actionable, true)").select(F.col("id").alias("clause_id"), "document_id", F.col("sequence").alias("clause_sequence"))
+    whole = documents.where("status = 'ingested'").select(F.col("id").alias("document_id"))
+    rows = obligations.join(live, "clause_id").join(whole, "document_id").join(proposals.select(F.col("obligation_id").alias("id")), "id", "left_anti")
+    order = Window.partitionBy("document_id").orderBy("clause_sequence", "sequence", "id")
+    return rows.withColumn("place", F.row_number().over(order))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EDITABLE = ("proposed_test_description", "proposed_exception_description", "strata_tag", "risk_rating")
@@ -44,3 +44,28 @@ def export(proposals: DataFrame, approvals: DataFrame) -> tuple[DataFrame, DataF
     out = proposals.where(ready).join(last, F.col("id") == F.col("proposal_id"), "left").select(*proposals.columns, "final.decided_by", "final.decided_at")
     why = F.when(~live, "no change").otherwise(F.concat(F.lit("status is "), "status"))
     return out, proposals.where(~ready | ready.isNull()).withColumn("reason", why)
+
+
+def edits(proposals: DataFrame, changes: DataFrame) -> DataFrame:
+    """Revisions (proposal_id, field, old_value, new_value) that really change an editable field.
+
+    ``proposals`` has a column for each field; ``changes`` (proposal_id, field, new_value).  Text
+    that is equal but for white space at its ends is no edit.
+    """
+    fields = [c for c in EDITABLE if c in proposals.columns]
+    held = proposals.select(F.col("id").alias("proposal_id"), F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("old_value")) for c in fields))))
+    same = F.trim(F.coalesce("old_value", F.lit(""))) == F.trim(F.coalesce("new_value", F.lit("")))
+    return changes.join(held, ["proposal_id", "field"]).where(~same).select("proposal_id", "field", "old_value", F.trim("new_value").alias("new_value"))
+
+
+def bulk(proposals: DataFrame, chosen: DataFrame, level: int, decision: str) -> DataFrame:
+    """Rows (proposal_id, before, after, applied) of one decision on many proposals; each id counts as attempted."""
+    rows = chosen.select("proposal_id").join(proposals.select(F.col("id").alias("proposal_id"), F.col("status").alias("before")), "proposal_id")
+    after = next_state(F.col("before"), F.lit(level), F.lit(decision))
+    takes = F.col("before").isin(*(("Pending review", "Changes requested") if level == 1 else ("Pending approval",)))
+    return rows.select("proposal_id", "before", after.alias("after"), takes.alias("applied"))
+
+
+def history(approvals: DataFrame) -> DataFrame:
+    """Approvals with ``place``: oldest first within a proposal."""
+    return approvals.withColumn("place", F.row_number().over(Window.partitionBy("proposal_id").orderBy("decided_at", "id")))
