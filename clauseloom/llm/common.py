@@ -36,12 +36,32 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Removes an execution's shuffle files when it ends, instead of when the driver collects garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like :func:`settle` for wide or large rows: a compressed columnar table in the shared folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # smaller groups of rows held by writers and readers
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    if before is not None:
+        spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("parquet.block.size", 16 << 20).parquet(path)  # smaller groups of rows held by writers and readers
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of :func:`stored` tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Texts that go to a Python worker at a time.

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import group_bounds, map_slices, stored, whole_groups
+from .common import discard, group_bounds, map_slices, stored, whole_groups
 
 SHINGLE, PASSAGE, HASHES, MIN_HASHES, SIMILARITY = 5, 50, 4, 2, 0.8
 REACH = 127
@@ -275,16 +275,19 @@ def exact_repeats(runs: DataFrame, rows: DataFrame, least: int) -> DataFrame:
                 yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "doc_id": np.concatenate(ids), "a": np.concatenate(at)})
 
     places = runs.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    found = stored(map_slices(places.join(rows, "doc_id"), hashed, "key bigint, doc_id bigint, a bigint"))
-    first = stored(found.groupBy("key").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"))
-    again = found.join(first, "key").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("a") >= F.col("first.a") + least + SHINGLE - 1))
+    texts = rows.join(stored(runs.select("doc_id").distinct()), "doc_id", "left_semi")
+    found = stored(map_slices(places.join(texts, "doc_id"), hashed, "key bigint, doc_id bigint, a bigint"))
+    again = _linked(found, "a").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("a") >= F.col("first.a") + least + SHINGLE - 1))
     return again.select("doc_id", F.col("first.doc_id").alias("source_id"), "a")
 
 
 def _linked(members: DataFrame, *place: str) -> DataFrame:
     """``members`` (key, doc_id, ...) whose key occurs more than once, with ``first``: the smallest (doc_id, *place)."""
     first = members.groupBy("key").agg(F.min(F.struct("doc_id", *place)).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return members.join(stored(first.select("key", "first")), "key")  # a plain side, so that a hot key can be split in the join
+    first = stored(first.select("key", "first"))  # a plain side, so that a hot key can be split in the join
+    out = stored(members.join(first, "key"))
+    discard(first, members)
+    return out
 
 
 def _range(first: Column, last: Column) -> Column:
@@ -326,7 +329,7 @@ def verified(rows: DataFrame, pairs: DataFrame, repeats: DataFrame | None, passa
     involved = pairs.select("doc_id").union(pairs.select("source_id"))
     if repeats is not None:
         involved = involved.union(repeats.select("doc_id"))
-    texts = stored(rows.join(involved.distinct(), "doc_id", "left_semi"))
+    texts = rows.join(stored(involved.distinct()), "doc_id", "left_semi")  # Spark knows the stored size, and broadcasts few ids
     keyed = pairs.withColumn("theirs_key", F.xxhash64("theirs"))
     wanted = keyed.select("source_id", "theirs_key", "theirs").dropDuplicates(["source_id", "theirs_key"])
     counts = wanted.groupBy("source_id").agg(F.count("*").alias("n"))
@@ -386,14 +389,17 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, hashes: int = HAS
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if _repeats(rows):
         rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
-    shared = stored(_linked(stored(windows(rows, passage, hashes)), "at"))
-    found = stored(verified(rows, stored(_by_windows(shared, min_hashes)), None, passage, similarity))
+    shared = _linked(stored(windows(rows, passage, hashes)), "at")
+    pairs = stored(_by_windows(shared, min_hashes))
+    found = stored(verified(rows, pairs, None, passage, similarity))
+    discard(pairs)
 
     known = found.groupBy("doc_id").agg(F.collect_list(_range(F.col("a"), F.col("b"))).alias("known"))
     covered = F.exists("known", lambda x: (F.col("c") >= x["a"]) & (F.col("c") < x["b"]))
     left = shared.where("doc_id <> first.doc_id or at <> first.at").select("key", "doc_id", part("c").alias("c"))
     left = left.join(known, "doc_id", "left").where(F.col("known").isNull() | ~covered).select("key").distinct()
     runs = stored(stretches(shared.join(left, "key", "left_semi"), least, hashes, min(hashes, max(min_hashes, hashes - 1))))
+    discard(shared)
     linked = _linked(runs, "a", "b")
     repeats = exact_repeats(linked.where(F.col("n") == hashes).select("doc_id", "a", "b"), rows, least)
     repeats = stored(repeats.groupBy("doc_id", "source_id").agg(F.array_sort(F.collect_set("a")).alias("exact")))
