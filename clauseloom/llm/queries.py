@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints, langid, pieces, quality, toxicity
-from .common import table
+from .common import stored, table
 from .embeddings import near_duplicates
 from .quotes import reply_ordered
 from .passages import repeated_passages
@@ -28,10 +28,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by both views; rows held out of training are marked."""
-    docs = table(spark, sf_dir, "documents")
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    seen = stored(quality.features(table(spark, sf_dir, "documents")))
+    model = quality.train(seen, table(spark, sf_dir, "labels"))
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    return quality.score_documents(docs, model).withColumn("held_out", held_out)
+    return quality.score_documents(seen, model).withColumn("held_out", held_out)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
-"""Held-out accuracy, the gain from the other view, and odd rows."""
+"""Held-out accuracy, agreement with co-training written out in plain Python, and odd rows."""
+
+import zlib
 
 import numpy as np
 
@@ -8,25 +10,64 @@ from clauseloom.llm import queries as Q
 SF = "/root/testdata/sf0.01"
 
 
+def made(rng, n):
+    y = (rng.random(n) < 0.5).astype(float)
+    shape = rng.standard_normal((n, C.SHAPE))
+    shape[:, 0] += 3 * y
+    meta = np.zeros((n, C.META))
+    meta[:, 0], meta[:, 1] = y * 2.5 + rng.standard_normal(n), rng.standard_normal(n)
+    word = np.where(rng.random(n) < 0.9, y, 1 - y).astype(int)
+    return C.Rows(shape, meta, np.arange(n), word), y
+
+
 def test_views_teach_each_other():
     rng = np.random.default_rng(1)
+    (known, y), (free, _), (test, truth) = made(rng, 60), made(rng, 3000), made(rng, 4000)
+    aside = np.arange(60) % 2 == 0
+
+    def ask(views):
+        out = []
+        for v in views:
+            z = v.logit(free)
+            at = np.concatenate([np.argsort(-z)[:100], np.argsort(z)[:100]])
+            out.append((free.take(at), (z[at] > 0).astype(float)))
+        return out
+
+    right = [((C.co_train(known, y, aside, ask, rounds).score(test)[:, 0] >= 0.5) == truth).mean() for rounds in (0, 3)]
+    assert right[1] >= right[0] and right[1] > 0.93
+    assert np.allclose(C.co_train(known, np.ones(60), aside, ask).score(known)[:, 0], 60.5 / 61)
+
+
+def test_agrees_with_plain_co_training(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    seen = C.stored(C.features(docs))
+    model = C.train(seen, spark.read.parquet(f"{SF}/labels.parquet"), rounds=2, picks=30)
+    got = {r.doc_id: r.score for r in C.score_documents(seen, model).collect()}
+    all_rows = {r.doc_id: r for r in seen.collect()}
+    of = lambda ids: C.Rows.of(*([all_rows[i][c] for i in ids] for c in ("shape", "words", "meta")))
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i in all_rows}
+    known = [i for i in all_rows if i in label and fold[i] > 0]
+    y = np.array([label[i] for i in known], float)
+    aside = np.array([fold[i] == 1 for i in known])
+    free, taken = [i for i in all_rows if i not in label], set()
+    good = int(np.ceil(30 * y.mean()))
 
-    def rows(n):
-        y = (rng.random(n) < 0.5).astype(float)
-        text = np.stack([y * 3 + rng.standard_normal(n), *rng.standard_normal((C.TEXT_FEATURES - 1, n))], 1)
-        meta = np.zeros((n, 2 * C.SLOTS + 6))
-        meta[:, 0], meta[:, 1] = y * 2.5 + rng.standard_normal(n), rng.standard_normal(n)
-        return text, meta, y
+    def ask(views):
+        out = []
+        sides = [{i: 1 / (1 + np.exp(-v.logit(of([i]))[0])) for i in free if i not in taken} for v in views]
+        for p in sides:
+            mine = [(i, 1) for i in sorted(p, key=lambda i: (-p[i], i)) if p[i] >= 0.9][:good]
+            mine += [(i, 0) for i in sorted(p, key=lambda i: (p[i], i)) if 1 - p[i] >= 0.9][: 30 - good + 1]
+            mine = [(i, t) for i, t in mine if i not in taken]
+            taken.update(i for i, _ in mine)
+            out.append((of([i for i, _ in mine]), np.array([t for _, t in mine], float)))
+        return out
 
-    text, meta, y = rows(40)
-    free, test = rows(3000), rows(4000)
-    aside = np.arange(40) % 2 == 0
-    gain = []
-    for rounds in (0, 5):
-        m = C.co_train(text, meta, y, aside, free[0], free[1], rounds)
-        gain.append(((m.score(test[0], test[1])[:, 0] >= 0.5) == test[2]).mean())
-    assert gain[1] >= gain[0] and gain[1] > 0.9
-    assert np.allclose(C.co_train(text, meta, np.ones(40), aside, free[0], free[1]).score(text, meta)[:, 0], 40.5 / 41)
+    plain = C.co_train(of(known), y, aside, ask, 2)
+    want = plain.score(of(list(all_rows)))[:, 0]
+    assert taken and np.allclose([got[i] for i in all_rows], want, atol=0.02)
+    assert np.mean(np.abs([got[i] - w for i, w in zip(all_rows, want, strict=True)]) < 1e-6) > 0.98
 
 
 def test_query_accuracy(spark):
@@ -41,5 +82,7 @@ def test_query_accuracy(spark):
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, None, 5), (2, "", "a", None), (None, "x", "a", 1), (3, "w " * 50_000, "b", 100_000), (3, "w", "b", 1)], "doc_id long, text string, source string, n_chars long").selectExpr("*", "1.0 AS score")
     labels = spark.createDataFrame([(1, 1), (2, None), (2, 0), (None, 1), (3, 1)], "doc_id long, quality int")
-    assert len(C.score_documents(docs, C.train(docs, labels)).collect()) == 5
-    assert C.score_documents(docs.limit(0), C.train(docs.limit(0), labels.limit(0))).collect() == []
+    seen = C.features(docs)
+    assert len(C.score_documents(seen, C.train(seen, labels)).collect()) == 5
+    none = C.features(docs.limit(0))
+    assert C.score_documents(none, C.train(none, labels.limit(0))).collect() == []
