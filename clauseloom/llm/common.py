@@ -19,11 +19,14 @@ from pyspark.sql.types import StructType
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    A folder of our own is set only where the session names none, as in local tests.
+    A folder of our own is set only where the session names none and runs on one machine, as in
+    local tests; a cluster without a shared folder is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="clauseloom-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)

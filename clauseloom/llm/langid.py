@@ -170,11 +170,16 @@ class LanguageModel:
         return [(self.languages[b], float(1 / o), float(r)) if t else ("und", 0.0, 0.0) for t, b, o, r in zip(plain, best.tolist(), odds.sum(axis=1).tolist(), low.tolist(), strict=True)]
 
 
+#: Characters of a training text that are learned from together.
+SAMPLE = 512
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_letters: int = 40_000, max_rows: int = 400) -> LanguageModel:
     """A model from at most ``max_rows`` labelled texts, ``max_letters`` letters, of each language.
 
-    The texts are those whose id has the smallest hash; rows whose text or language is null are
-    left out, and the first ``4 * SEGMENT`` characters of a training text are learned from.
+    The texts are those whose id has the smallest hash; of these, stretches of ``SAMPLE``
+    characters from anywhere in the text are learned from, in the order of a hash of id and
+    place.  Rows whose text or language is null are left out.
     """
     rows = docs.where(f"`{text_col}` is not null and `{lang_col}` is not null").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias(id_col))
     keyed = rows.select("lang", "text", F.xxhash64(id_col).alias("h"))
@@ -184,23 +189,28 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         return LanguageModel({})
     pick = F.create_map(*(F.lit(x) for k, v in limits.items() for x in (k, int(min(1.0, v) * (1 << 20)))))
     few = keyed.where(F.pmod("h", F.lit(1 << 20)) < pick[F.col("lang")])
-    part = few.select("lang", "h", F.substring("text", 1, 4 * SEGMENT).alias("text"))
+    places = F.sequence(F.lit(0), F.floor(F.greatest(F.char_length("text") - 1, F.lit(0)) / SAMPLE).cast("int"))
+    part = few.select("lang", "h", "text", F.explode(places).alias("k")).select("lang", F.xxhash64("h", "k").alias("h"), F.expr(f"substring(text, k * {SAMPLE} + 1, {SAMPLE})").alias("text"))
     nth = Window.partitionBy("lang").orderBy("h", "text")
+    most = 4 * max_letters // SAMPLE  # enough stretches even where only a quarter of the characters are letters
     sample: dict[str, list[str]] = {k: [] for k in limits}
-    for r in part.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= max_rows).orderBy("lang", "nth").collect():
+    for r in part.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= most).orderBy("lang", "nth").collect():
         text = letters(r["text"])
         if text and sum(map(len, sample[r["lang"]])) < max_letters:
             sample[r["lang"]].append(text)
     return LanguageModel({k: v for k, v in sample.items() if v})
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """Add (lang_pred string, score double, phrase_rate double) to ``docs``.
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """Add (lang_pred string, score double, phrase_rate double), each name after ``prefix``, to ``docs``.
 
-    Null, empty and letterless texts are ``und`` with score 0.  The score compares the best
-    language's phrase rate with all others'.
+    Null, empty and letterless texts are ``und`` with score 0, long texts are parsed whole,
+    repeated rows stay rows, columns of these names are replaced, and an empty table gives
+    none.  The score compares the best language's phrase rate with all others'; ties go to the
+    language that comes first by name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_letters a language
+    own = ["lang_pred", "score", "phrase_rate"]
 
     @F.pandas_udf("lang_pred string, score double, phrase_rate double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -214,7 +224,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
                     rows += known.predict(batch)
                     batch, size = [], 0
             rows += known.predict(batch) if batch else []
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "phrase_rate"])
+            yield pd.DataFrame(rows, columns=own)
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "phrase_rate")]
-    return texts_of(docs).select(*kept, of(text_col).alias("__language__")).select(*kept, "__language__.*")
+    kept = [c for c in docs.columns if c not in [prefix + k for k in own]]
+    found = texts_of(docs).select(*kept, of(text_col).alias("__language__"))
+    return found.select(*kept, *(F.col(f"__language__.{k}").alias(prefix + k) for k in own))

@@ -191,11 +191,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) ->
     return [(np.frombuffer(r["b"], np.int32), r["toxic"]) for r in own.mapInPandas(run, "b binary, toxic int").collect()]
 
 
-def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """Add (score double, predicted int) to ``docs``; null and empty texts get the prior's score.
+def score_documents(docs: DataFrame, model: ToxicityModel, prefix: str = "") -> DataFrame:
+    """Add (score double, predicted int), each name after ``prefix``, to ``docs``.
 
-    Long texts are scored whole, repeated rows stay rows, columns of these two names are
-    replaced, and an empty table gives none.
+    Null and empty texts get the prior's score, long texts are scored whole, repeated rows stay
+    rows, columns of these two names are replaced, and an empty table gives none.
     """
 
     @F.pandas_udf("double")
@@ -204,9 +204,9 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for part in texts:
             yield pd.Series([model.score(words_of(t), known) for t in part], dtype="float64")
 
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    scored = texts_of(docs).select(*kept, score("text").alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    kept = [c for c in docs.columns if c not in (f"{prefix}score", f"{prefix}predicted")]
+    scored = texts_of(docs).select(*kept, score("text").alias(f"{prefix}score"))
+    return scored.withColumn(f"{prefix}predicted", (F.col(f"{prefix}score") >= 0.5).cast("int"))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, swap_weight: float = 10.0, families: dict[str, tuple[str, ...]] = IDENTITY_TERMS) -> ToxicityModel:

@@ -53,3 +53,21 @@ def test_run(spark):
     got = C.run(spark, sf)
     assert got.select("doc_id").distinct().count() == out.count()
     assert got.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").isEmpty()
+
+
+def test_stages_on_odd_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = docs.selectExpr("*", "9.0 AS score", "doc_id AS predicted", "'xx' AS lang_pred", "1 AS phrase_rate", "'k' AS shingles", "7 AS fp", "'s' AS start", "'e' AS end", "0 AS piece", "5 AS source_id")
+    more = odd.limit(2).selectExpr("doc_id + 100000 AS doc_id", "CASE WHEN doc_id % 2 = 0 THEN '' END AS text", *(f"`{c}`" for c in odd.columns[2:]))
+    again = odd.limit(1).union(odd.limit(1)).selectExpr("CAST(NULL AS BIGINT) AS doc_id", *(f"`{c}`" for c in odd.columns[1:]))
+    table = odd.unionByName(more).unionByName(again)
+    for name, stage in C.STAGES[:-1]:
+        out = S.stored(stage(spark, table, sf))
+        assert out.columns == table.columns, name
+        assert out.where("score <> 9.0 or lang_pred <> 'xx' or phrase_rate <> 1 or predicted not in (doc_id, doc_id - 100000) or fp <> 7 or source_id <> 5").isEmpty(), name
+        assert (out.where("doc_id is null").count() == 2) or name == "language", name
+        assert stage(spark, table.limit(0), sf).collect() == [], name
+    packed = C.STAGES[-1][1](spark, table, sf)
+    assert packed.where("length > 2048").isEmpty() and packed.where("doc_id is null").select("sequence_id", "offset").distinct().count() == packed.where("doc_id is null").count()
+    assert C.STAGES[-1][1](spark, table.limit(0), sf).collect() == []
