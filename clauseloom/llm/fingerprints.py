@@ -1,9 +1,13 @@
 """Document fingerprints: digests of improbable byte windows in chained Bloom filters.
 
-Every 64-byte window of a text has an entropy; the rarity of an entropy is its rank among all
-windows of all documents.  A window that is the rarest of its neighbourhood often enough is a
-feature.  Features go, in order, into Bloom filters of 256 bytes and at most 160 features, and
-two digests are alike by the overlap of their filters' bits beyond what chance gives.
+Every 64-byte and every 16-byte window of a text has an entropy; the rarity of an entropy is its
+rank among all windows of that size in all documents.  A window that is the rarest of its
+neighbourhood often enough is a feature.  Neighbourhoods of 16-byte windows are smaller in
+shorter texts, by powers of two, so that these have features too; what is rarest of a large
+neighbourhood is mostly so of a smaller one, so texts of two classes still share features.  The
+features of each kind go, in order, into a chain of Bloom filters of 256 bytes and at most 160
+features.  Two digests are alike by the overlap of their filters' bits beyond what chance gives,
+kind by kind.
 """
 
 from __future__ import annotations
@@ -18,50 +22,49 @@ from numpy.lib.stride_tricks import as_strided, sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import map_slices, texts_of
 
-WINDOW, AROUND, POPULAR = 64, 64, 16
+#: The sizes of windows, and the sizes of neighbourhoods; a window must be the rarest of a quarter of its neighbourhoods.
+WIDE, NARROW, AROUND = 64, 16, (4, 8, 16, 32, 64)
 FILTER_BITS, FILTER_FEATURES, PROBES = 2048, 160, 5
-#: Texts below SHORT bytes have few improbable windows; all their spans of SPAN bytes are features too.
-WIDE, SHORT, SPAN = WINDOW + AROUND - 1, 512, 16
 LEVELS = 1001
 _CHUNK = 3_000_000
 _SCALE = 1 << 12
-_TERM = np.array([0, *(c * np.log2(c) for c in range(1, WINDOW + 1))]) * _SCALE
+_TERM = np.array([0, *(c * np.log2(c) for c in range(1, WIDE + 1))]) * _SCALE
 _GAIN = np.append(np.diff(np.rint(_TERM)), 0).astype(np.int32)
 _ODD = (np.random.default_rng(11).integers(1, 1 << 62, 8, dtype=np.int64) * 2 + 1).view(np.uint64)
 
 
-def entropy_levels(data: np.ndarray) -> np.ndarray:
-    """Entropy, from 0 to 1000, of the 64-byte window that starts at each byte (63 fewer than bytes).
+def entropy_levels(data: np.ndarray, window: int) -> np.ndarray:
+    """Entropy, from 0 to 1000, of the ``window`` bytes that start at each byte (``window`` - 1 fewer than bytes).
 
     Many stretches of the data slide their windows together; a step updates one count that
     leaves and one that enters in each stretch.
     """
-    n = len(data) - WINDOW + 1
+    n = len(data) - window + 1
     if n <= 0:
         return np.empty(0, np.int16)
     stretch = max(128, -(-n // 4096))
     lanes = -(-n // stretch)
-    padded = np.zeros(lanes * stretch + WINDOW - 1, np.uint8)
+    padded = np.zeros(lanes * stretch + window - 1, np.uint8)
     padded[: len(data)] = data
-    view = as_strided(padded, (lanes, stretch + WINDOW - 1), (stretch, 1))
+    view = as_strided(padded, (lanes, stretch + window - 1), (stretch, 1))
     at = view.T.astype(np.intp) + np.arange(lanes) * 256
     counts, total = np.zeros(lanes * 256, np.int32), np.zeros(lanes, np.int32)
     out = np.empty((stretch, lanes), np.int32)
-    for step in range(stretch + WINDOW - 1):
+    for step in range(stretch + window - 1):
         come = at[step]
         c = counts[come]
         total += _GAIN[c]
         counts[come] = c + 1
-        first = step - WINDOW + 1
+        first = step - window + 1
         if first >= 0:
             out[first] = total
             go = at[first]
             c = counts[go] - 1
             total -= _GAIN[c]
             counts[go] = c
-    level = 1000 - np.rint(out * (1000 / (WINDOW * np.log2(WINDOW) * _SCALE)))
+    level = 1000 - np.rint(out * (1000 / (window * np.log2(window) * _SCALE)))
     return level.T.ravel()[:n].astype(np.int16)
 
 
@@ -83,18 +86,18 @@ def _inside(sizes: np.ndarray, span: int) -> np.ndarray:
     return left >= span
 
 
-def level_counts(texts: list[bytes]) -> np.ndarray:
+def level_counts(texts: list[bytes], window: int) -> np.ndarray:
     out = np.zeros(LEVELS, np.int64)
     for batch in _batches(texts):
         sizes = np.array([len(t) for t in batch])
-        levels = entropy_levels(np.frombuffer(b"".join(batch), np.uint8))
-        out += np.bincount(levels[_inside(sizes, WINDOW)[: len(levels)]], minlength=LEVELS)
+        levels = entropy_levels(np.frombuffer(b"".join(batch), np.uint8), window)
+        out += np.bincount(levels[_inside(sizes, window)[: len(levels)]], minlength=LEVELS)
     return out
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:
-    """Rank of each entropy level, rarest first; ties by level.  Levels below 100 come last (near-constant bytes)."""
-    order = np.lexsort((np.arange(LEVELS), counts, np.arange(LEVELS) < 100))
+    """Rank of each entropy level, rarest first; ties by level."""
+    order = np.lexsort((np.arange(LEVELS), counts))
     rank = np.empty(LEVELS, np.int64)
     rank[order] = np.arange(LEVELS)
     return rank
@@ -110,37 +113,46 @@ def _hash(windows: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-def _features(batch: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature hash) in text order, each feature of a text once."""
+def around_of(sizes: np.ndarray) -> np.ndarray:
+    """The neighbourhood of 16-byte windows: the largest power of two up to a sixteenth of the text, within AROUND."""
+    return np.clip(1 << np.floor(np.log2(np.maximum(sizes, 16) / 16)).astype(int), AROUND[0], AROUND[-1])
+
+
+def _features(batch: list[bytes], rank: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, feature hash) in text order, each feature of a text once.
+
+    A text too short for a neighbourhood of 16-byte windows is one feature, padded.
+    """
     sizes = np.array([len(t) for t in batch])
     data = np.frombuffer(b"".join(batch), np.uint8)
     start = np.cumsum(sizes) - sizes
     owner, place, hashes = [], [], []
-    if len(data) >= WIDE:
-        levels = entropy_levels(data)
-        wide = _inside(sizes, WIDE)[: max(0, len(levels) - AROUND + 1)]
-        key = rank[levels] << 32 | np.arange(len(levels))
-        low = key.copy()
+    around = around_of(sizes) if window == NARROW else np.full(len(sizes), AROUND[-1])
+    least = window + around - 1
+    if len(data) >= window:
+        levels = entropy_levels(data, window)
+        low = rank[levels] << 32 | np.arange(len(levels))
+        left = np.repeat(np.cumsum(sizes), sizes)[: len(levels)] - np.arange(len(levels))  # bytes to the text's end
+        whose = np.repeat(around, sizes)[: len(levels)]
         shift = 1
-        while shift < AROUND:  # smallest key of the next 64, by doubling
+        while shift < AROUND[-1]:  # the smallest key of the next 2, 4, 8 ...
             np.minimum(low[:-shift], low[shift:], out=low[:-shift])
             shift *= 2
-        votes = np.bincount(low[: len(wide)][wide] & 0xFFFFFFFF, minlength=len(levels))
-        chosen = np.flatnonzero(votes >= POPULAR)
-        if len(chosen):
-            owner.append(np.searchsorted(start, chosen, side="right") - 1)
-            place.append(chosen)
-            hashes.append(_hash(sliding_window_view(data, WINDOW)[chosen]))
-    brief = np.repeat(sizes < SHORT, sizes)
-    if brief.any():
-        spans = np.flatnonzero(brief & _inside(sizes, SPAN))
-        owner.append(np.searchsorted(start, spans, side="right") - 1)
-        place.append(spans)
-        hashes.append(_hash(sliding_window_view(data, SPAN)[spans]) if len(spans) else np.empty(0, np.uint64))
-    for i in np.flatnonzero((sizes > 0) & (sizes < SPAN)):
-        owner.append([i])
-        place.append([start[i]])
-        hashes.append(_hash(np.frombuffer(batch[i].ljust(SPAN, b"\0"), np.uint8)[None, :]))
+            if shift not in AROUND:
+                continue
+            whole = (whose == shift) & (left >= window + shift - 1)
+            if whole.any():
+                votes = np.bincount(low[whole] & 0xFFFFFFFF, minlength=len(levels))
+                chosen = np.flatnonzero(votes * 4 >= shift)
+                owner.append(np.searchsorted(start, chosen, side="right") - 1)
+                place.append(chosen)
+                hashes.append(_hash(sliding_window_view(data, window)[chosen]))
+    if window == NARROW:
+        for i in np.flatnonzero((sizes > 0) & (sizes < least)):
+            padded = batch[i].ljust(int(-(-sizes[i] // 8) * 8), b"\0")
+            owner.append([i])
+            place.append([start[i]])
+            hashes.append(_hash(np.frombuffer(padded, np.uint8)[None, :]))
     if not owner:
         return np.empty(0, int), np.empty(0, np.uint64)
     o, p, h = np.concatenate(owner).astype(np.int64), np.concatenate(place), np.concatenate(hashes)
@@ -152,74 +164,97 @@ def _features(batch: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndar
     return o[first], h[first]
 
 
-def digests(texts: list[bytes], rank: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """(filters as rows of 256 bytes, number of features) of each text; an empty text has no filter."""
+#: A chain of filters, as rows of 256 bytes, and its number of features.
+Chain = tuple[np.ndarray, int]
+
+
+def chains(batch: list[bytes], rank: np.ndarray, window: int) -> list[Chain]:
+    owner, h = _features(batch, rank, window)
+    n = np.bincount(owner, minlength=len(batch))
+    filters = -(-n // FILTER_FEATURES)
+    first, before = np.cumsum(filters) - filters, np.cumsum(n) - n
+    row = first[owner] + (np.arange(len(owner)) - before[owner]) // FILTER_FEATURES
+    bits = np.zeros((int(filters.sum()), FILTER_BITS), np.uint8)
+    for k in range(PROBES):
+        bits[row, (h >> np.uint64(11 * k)).astype(np.int64) & (FILTER_BITS - 1)] = 1
+    packed = np.packbits(bits, axis=1)
+    return [(packed[f : f + m], int(c)) for f, m, c in zip(first.tolist(), filters.tolist(), n.tolist(), strict=True)]
+
+
+def digests(texts: list[bytes], ranks: tuple[np.ndarray, np.ndarray]) -> list[tuple[Chain, Chain]]:
+    """The chains of 64-byte and of 16-byte windows of each text; an empty text has no filter."""
     out = []
     for batch in _batches(texts):
-        owner, h = _features(batch, rank)
-        n = np.bincount(owner, minlength=len(batch))
-        filters = -(-n // FILTER_FEATURES)
-        first, before = np.cumsum(filters) - filters, np.cumsum(n) - n
-        row = first[owner] + (np.arange(len(owner)) - before[owner]) // FILTER_FEATURES
-        bits = np.zeros((int(filters.sum()), FILTER_BITS), np.uint8)
-        for k in range(PROBES):
-            bits[row, (h >> np.uint64(11 * k)).astype(np.int64) & (FILTER_BITS - 1)] = 1
-        packed = np.packbits(bits, axis=1)
-        out += [(packed[f : f + m], int(c)) for f, m, c in zip(first.tolist(), filters.tolist(), n.tolist(), strict=True)]
+        out += zip(chains(batch, ranks[0], WIDE), chains(batch, ranks[1], NARROW), strict=True)
     return out
 
 
-def encode(digest: tuple[np.ndarray, int]) -> str:
-    """``features:filters``, the filters in base64."""
-    return f"{digest[1]}:{base64.b64encode(digest[0].tobytes()).decode()}"
+def encode(digest: tuple[Chain, Chain]) -> str:
+    """``features:filters`` of both kinds, the filters in base64."""
+    return "|".join(f"{n}:{base64.b64encode(filters.tobytes()).decode()}" for filters, n in digest)
 
 
-def decode(text: str) -> tuple[np.ndarray, int]:
-    n, _, body = text.partition(":")
-    return np.frombuffer(base64.b64decode(body), np.uint8).reshape(-1, FILTER_BITS // 8), int(n)
+def decode(text: str) -> tuple[Chain, Chain]:
+    parts = (x.partition(":") for x in text.split("|"))
+    wide, narrow = ((np.frombuffer(base64.b64decode(body), np.uint8).reshape(-1, FILTER_BITS // 8), int(n)) for n, _, body in parts)
+    return wide, narrow
 
 
-def likeness(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int]) -> float:
-    """From 0 to 1: each filter of the smaller digest takes its best partner's bits beyond chance.
+def overlap(a: Chain, b: Chain) -> float:
+    """From 0 to 1: each filter of the chain with fewer features takes its best partner's bits beyond chance.
 
-    Filters count by their features.  Two empty digests are alike, an empty one and another not.
+    Filters count by their features; the partners are compared a block at a time.
     """
-    if not a[1] or not b[1]:
-        return float(a[1] == b[1])
     if b[1] < a[1]:
         a, b = b, a
-    x, y = np.unpackbits(a[0], axis=1).astype(np.float32), np.unpackbits(b[0], axis=1).astype(np.float32)
-    nx, ny = x.sum(axis=1)[:, None], y.sum(axis=1)[None, :]
-    most, chance = np.minimum(nx, ny), nx * ny / FILTER_BITS
-    share = np.clip((x @ y.T - chance) / np.maximum(most - chance, 1e-6), 0, 1).max(axis=1)
+    x = np.unpackbits(a[0], axis=1).astype(np.float32)
+    nx, share = x.sum(axis=1)[:, None], np.zeros(len(x))
+    for k in range(0, len(b[0]), 256):
+        y = np.unpackbits(b[0][k : k + 256], axis=1).astype(np.float32)
+        ny = y.sum(axis=1)[None, :]
+        most, chance = np.minimum(nx, ny), nx * ny / FILTER_BITS
+        share = np.maximum(share, np.clip((x @ y.T - chance) / np.maximum(most - chance, 1e-6), 0, 1).max(axis=1))
     weight = np.full(len(x), FILTER_FEATURES, float)
     weight[-1] = a[1] - FILTER_FEATURES * (len(x) - 1)
     return float((share * weight).sum() / weight.sum())
 
 
-def rarity_of(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Ranks of entropy levels, from the windows of all texts."""
+def likeness(a: tuple[Chain, Chain], b: tuple[Chain, Chain]) -> float:
+    """The mean overlap of the kinds that both digests have, by the fewer features of each.
+
+    Two empty digests are alike, an empty one and another not.
+    """
+    both = [(overlap(x, y), min(x[1], y[1])) for x, y in zip(a, b, strict=True) if x[1] and y[1]]
+    if not both:
+        return float(not any(n for _, n in (*a, *b)))
+    return sum(v * n for v, n in both) / sum(n for _, n in both)
+
+
+def rarity_of(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of entropy levels, from the 64-byte and the 16-byte windows of all texts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(LEVELS, np.int64)
+        total = np.zeros((2, LEVELS), np.int64)
         for pdf in batches:
-            total += level_counts([t.encode("utf-8", "surrogatepass") for t in pdf["t"]])
-        level = np.flatnonzero(total)
-        yield pd.DataFrame({"level": level, "n": total[level]})
+            texts = [t.encode("utf-8", "surrogatepass") for t in pdf["t"]]
+            total += [level_counts(texts, WIDE), level_counts(texts, NARROW)]
+        kind, level = np.nonzero(total)
+        yield pd.DataFrame({"kind": kind, "level": level, "n": total[kind, level]})
 
-    texts = texts_of(docs).select(F.col(text_col).alias("t")).where("t is not null")
-    counts = np.zeros(LEVELS, np.int64)
-    for r in texts.mapInPandas(count, "level int, n bigint").groupBy("level").agg(F.sum("n").alias("n")).collect():  # 1,001 rows at most
-        counts[r["level"]] = r["n"]
-    return rarity(counts)
+    texts = docs.select(F.col(text_col).alias("t")).where("t is not null")
+    counts = np.zeros((2, LEVELS), np.int64)
+    found = map_slices(texts, count, "kind int, level int, n bigint").groupBy("kind", "level").agg(F.sum("n").alias("n"))
+    for r in found.collect():  # 2,002 rows at most
+        counts[r["kind"], r["level"]] = r["n"]
+    return rarity(counts[0]), rarity(counts[1])
 
 
-def fingerprint(docs: DataFrame, rank: np.ndarray, text_col: str = "text") -> DataFrame:
+def fingerprint(docs: DataFrame, ranks: tuple[np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
     """Add ``fingerprint`` to ``docs``; a null text counts as empty."""
 
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([encode(d) for d in digests([(t or "").encode("utf-8", "surrogatepass") for t in texts], rank)])
+        return pd.Series([encode(d) for d in digests([(t or "").encode("utf-8", "surrogatepass") for t in texts], ranks)])
 
     return docs.withColumn("fingerprint", of(text_col))
 
@@ -265,7 +300,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A null text counts as empty, rows of one id follow each other by text, rows with a null id
     come first, a single row is its own next document and an empty table gives none.
     """
-    rank = rarity_of(docs, text_col)
+    ranks = rarity_of(docs, text_col)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,12 +309,12 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for k in range(0, len(pdf), 1000):
                 part = pdf.iloc[k : k + 1000]
                 texts = [t or "" for t in part["text"]]
-                own = digests([t.encode("utf-8", "surrogatepass") for t in texts], rank)
+                own = digests([t.encode("utf-8", "surrogatepass") for t in texts], ranks)
                 rows = [*held, *zip(part["bucket"], part["tail"], part["doc_id"], texts, own, strict=True)]
                 held = rows[-1:]
                 pairs = [(a, b) for a, b in zip(rows, rows[1:], strict=False) if not a[1] and a[0] == b[0]]
                 edits = [(a[3][: len(a[3]) - len(a[3]) // 2] + b[3][: len(a[3]) // 2]).encode("utf-8", "surrogatepass") for a, b in pairs]
-                found = digests(edits, rank)
+                found = digests(edits, ranks)
                 yield pd.DataFrame(
                     [(a[2], len(a[3]), hashlib.sha256(e).hexdigest(), encode(a[4]), encode(d), likeness(a[4], d), likeness(a[4], b[4])) for (a, b), e, d in zip(pairs, edits, found, strict=True)],
                     columns=names,
