@@ -155,6 +155,7 @@ def map_slices(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[p
         for out in run(frames):
             if len(out):
                 yield pa.RecordBatch.from_pandas(out, schema=target, preserve_index=False)
+        pa.default_memory_pool().release_unused()  # workers live on and serve other stages
 
     return texts_of(df).mapInArrow(sliced, schema)
 

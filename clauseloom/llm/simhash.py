@@ -21,11 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, group_bounds, settle, stored, texts_of, whole_groups
+from .common import connected_components, group_bounds, map_slices, settle, stored, whole_groups
 
 SEED = 42
 #: Odd multipliers that derive further 64-bit families from one shingle hash.
 _STEP = 0x9E3779B97F4A7C15
+#: Keys of two min-hashes by which large families of near copies are joined first.
+MINS = 3
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -70,23 +72,26 @@ def simhash(docs: DataFrame, words: int = 3, families: int = 1, id_col: str = "d
     """Rows (doc_id, fp array<long>): one 64-bit fingerprint for each family.
 
     A null or empty text has the zero fingerprint; other columns are ignored.  With ``sets``
-    each different shingle votes once, and a column ``shingles`` has a 128-bit digest of their set.
+    each different shingle votes once, and there are columns ``shingles``, a 128-bit digest of
+    their set, and ``mins``, keys of two min-hashes each, which near copies share.
     """
-    extra = ", shingles binary" if sets else ""
+    extra = ", shingles binary, mins array<bigint>" if sets else ""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fps, digests = [], []
+            fps, digests, mins = [], [], []
             for text in pdf["t"]:
                 h = shingle_hashes(text, words)
                 if sets:
                     h = np.unique(h)
                     digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+                    low = [_mixed(h, k).min() if len(h) else np.uint64(0) for k in range(families, families + 2 * MINS)]
+                    mins.append(np.array([(int(a) * 3 + int(b)) % 2**64 for a, b in zip(low[::2], low[1::2], strict=True)], np.uint64).view(np.int64))
                 fps.append(np.array([majority(_mixed(h, k)) for k in range(families)], np.uint64).view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["i"], "fp": fps} | ({"shingles": digests} if sets else {}))
+            yield pd.DataFrame({"doc_id": pdf["i"], "fp": fps} | ({"shingles": digests, "mins": mins} if sets else {}))
 
     kind = dict(docs.dtypes)[id_col]
-    return texts_of(docs).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"doc_id {kind}, fp array<bigint>{extra}")
+    return map_slices(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), run, f"doc_id {kind}, fp array<bigint>{extra}")
 
 
 def _pair_masks(bits: int) -> np.ndarray:
@@ -198,9 +203,9 @@ _BLOCK, SMALL, _SIDE = 31, 32, 512
 
 
 def _candidates(classes: DataFrame, families: int) -> DataFrame:
-    """Rows (a, b, crowd): pairs of classes (id, fp array) that share an anchor in some block and look alike.
+    """Rows (a, b, crowd): pairs of classes (id, fp array, label) that share an anchor in some block and look alike.
 
-    Alike: at most 22 of 64 bits of another family differ.  In a group beyond SMALL, a crowd,
+    Only classes of different labels are paired.  Alike: at most 22 of 64 bits of another family differ.  In a group beyond SMALL, a crowd,
     each member is paired with the first and with its neighbours in the order of that word, so
     a large family of copies gives links in proportion to its size; rows with ``crowd`` name
     its members (id, key), whose other pairs :func:`_across` compares.
@@ -210,17 +215,17 @@ def _candidates(classes: DataFrame, families: int) -> DataFrame:
         for pdf in batches:
             for k in range(0, len(pdf), 5_000):
                 part = pdf.iloc[k : k + 5_000]
-                fp, ids = np.stack(part["fp"]).astype(np.int64).view(np.uint64), part["id"].to_numpy(np.int64)
+                fp, ids, label = np.stack(part["fp"]).astype(np.int64).view(np.uint64), part["id"].to_numpy(np.int64), part["label"].to_numpy(np.int64)
                 for block in range(2 * families):
                     word = fp[:, block // 2] >> np.uint64(32 * (block % 2)) & np.uint64((1 << _BLOCK) - 1)
                     row, anchor = anchors(word, _BLOCK)
                     key = (np.uint64(block) << np.uint64(40) | anchor).view(np.int64)
-                    yield pd.DataFrame({"key": key, "other": fp[row, (block // 2 + 1) % families].view(np.int64), "id": ids[row]})
+                    yield pd.DataFrame({"key": key, "other": fp[row, (block // 2 + 1) % families].view(np.int64), "id": ids[row], "label": label[row]})
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, ["key"]):
             start, size = group_bounds(pdf, ["key"])
-            ids, other = pdf["id"].to_numpy(np.int64), pdf["other"].to_numpy(np.int64).view(np.uint64)
+            ids, label, other = pdf["id"].to_numpy(np.int64), pdf["label"].to_numpy(np.int64), pdf["other"].to_numpy(np.int64).view(np.uint64)
             a, b = [], []
             for n in range(2, SMALL + 1):
                 at = start[size == n]
@@ -229,17 +234,19 @@ def _candidates(classes: DataFrame, families: int) -> DataFrame:
                     a.append((at[:, None] + x).ravel())
                     b.append((at[:, None] + y).ravel())
             for s, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+                if (label[s : s + n] == label[s]).all():
+                    continue
                 order = s + np.argsort(other[s : s + n], kind="stable")
                 a += [np.full(n - 1, s), order[:-1], order[:-2]]
                 b += [np.arange(s + 1, s + n), order[1:], order[2:]]
                 yield pd.DataFrame({"a": ids[s : s + n], "b": pdf["key"].to_numpy(np.int64)[s : s + n], "crowd": True})
             if a:
                 i, j = np.concatenate(a), np.concatenate(b)
-                near = np.bitwise_count(other[i] ^ other[j]) <= 22
+                near = (np.bitwise_count(other[i] ^ other[j]) <= 22) & (label[i] != label[j])
                 one, two = ids[i[near]], ids[j[near]]
                 yield pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "crowd": False}).drop_duplicates()
 
-    rows = classes.mapInPandas(spread, "key bigint, other bigint, id bigint")
+    rows = classes.select("id", "fp", "label").mapInPandas(spread, "key bigint, other bigint, id bigint, label bigint")
     return rows.repartition("key").sortWithinPartitions("key", "id").mapInPandas(pair, "a bigint, b bigint, crowd boolean").distinct()
 
 
@@ -275,42 +282,49 @@ def _across(members: DataFrame, most: int) -> DataFrame:
 def near_duplicate_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, families: int = 4) -> DataFrame:
     """Rows (doc_id, component_id): documents linked by a Jaccard similarity of their shingles.
 
-    Anchors of the blocks of ``families`` SimHash words propose pairs, the whole words drop
+    Texts that share two min-hashes are compared with the first of them, which joins large
+    families of near copies with as many comparisons as members.  Then anchors of the blocks of ``families`` SimHash words propose pairs, the whole words drop
     those that are clearly apart, and exact Jaccard similarity on sets of ``words``-word
     shingles decides.  Texts with equal sets of shingles are one class.  Null and empty
     texts are one group; repeated rows stay rows; an empty table gives none.
     """
     fps = stored(simhash(docs, words, families, sets=True))
-    classes = settle(fps.groupBy("shingles").agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.first("fp").alias("fp")).where("id is not null"))
-    proposed = stored(_candidates(classes, families))
+    classes = settle(fps.groupBy("shingles").agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.first("fp").alias("fp"), F.first("mins").alias("mins")).where("id is not null"))
+    keyed = classes.select("id", F.explode("mins").alias("key"))
+    leaders = stored(keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"))
+    early = keyed.join(leaders, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    so_far = settle(_similar(docs, stored(early), words, similarity))
+    labels = connected_components(so_far)
+    labelled = classes.join(labels, F.col("id") == labels.node, "left").select("id", "fp", F.coalesce("component", "id").alias("label"))
+    proposed = stored(_candidates(labelled, families))
     one, two = classes.select(F.col("id").alias("a"), F.col("fp").alias("fa")), classes.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
     apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     expected = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = int(64 * families * (expected + 4 * math.sqrt(expected * (1 - expected) / (64 * families))))
     near = proposed.where("not crowd").join(one, "a").join(two, "b").where(apart <= most).select("a", "b")
-    links = _similar(docs, stored(near), words, similarity)
+    links = so_far.union(_similar(docs, stored(near), words, similarity))
     crowds = proposed.where("crowd").select(F.col("a").alias("id"), F.col("b").alias("key"))
     if not crowds.isEmpty():
         links = settle(links)
-        so_far = connected_components(links)
-        members = crowds.join(classes.select("id", "fp"), "id").join(so_far, F.col("id") == so_far.node, "left")
+        labels = connected_components(links)
+        members = crowds.join(classes.select("id", "fp"), "id").join(labels, F.col("id") == labels.node, "left")
         members = stored(members.select("key", "id", "fp", F.coalesce("component", "id").alias("component")))
         links = links.union(_similar(docs, stored(_across(members, most)), words, similarity))
     found = connected_components(links)
-    whole = classes.join(found, classes.id == found.node, "left").select("shingles", F.coalesce("component", "id").alias("component_id"))
+    whole = classes.join(found, F.col("id") == found.node, "left").select("shingles", F.coalesce("component", "id").alias("component_id"))
     return fps.join(whole, "shingles", "left").select("doc_id", "component_id")
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The ``pairs`` (a, b) of documents whose sets of shingles have the Jaccard ``similarity``."""
-    involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    involved = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())  # Spark broadcasts few ids, and knows their size
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "held": [np.unique(shingle_hashes(t, words).astype(np.uint32)).tobytes() for t in pdf["text"]]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(involved, "id", "left_semi")
-    held = stored(texts.mapInPandas(sets, "id bigint, held binary").groupBy("id").agg(F.min("held").alias("held")))
+    held = stored(map_slices(texts, sets, "id bigint, held binary").groupBy("id").agg(F.min("held").alias("held")))
 
     @F.pandas_udf("double")
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
