@@ -42,12 +42,15 @@ def looks_like_heading(text: Column | str) -> Column:
     small = F.array(*(F.lit(w) for w in L.SMALL_WORDS))
     large = F.filter(words, lambda w: ~F.array_contains(small, F.lower(w)))
     shape = (F.length(letters) == 0) | (capitals >= 0.6 * F.length(letters)) | ((F.size(large) > 0) & F.forall(large, lambda w: w.rlike("^[A-Z]")))
-    return (t != "") & ~t.rlike(L.SENTENCE_END) & (word_count(t) <= L.HEADING_WORDS) & shape
+    return (t != "") & ~t.rlike(L.SENTENCE_END) & (word_count(t) <= L.HEADING_WORDS) & shape  # cheap tests first
 
 
-def noise_rule(text: Column | str) -> Column:
-    """The rule that makes a fragment structural noise, or null for content; the first that holds."""
-    t = flat(F.coalesce(_c(text), F.lit("")))
+def _once(value: Column, rule) -> Column:
+    """``rule`` of a value that is worked out once, however often the rule reads it."""
+    return F.element_at(F.transform(F.array(value), rule), 1)
+
+
+def _noise(t: Column) -> Column:
     n = F.size(F.split(t, " "))
     title = F.regexp_replace(F.regexp_extract(t, L.CONTENTS_ENTRY, 1), r":+\s*$", "")
     return (
@@ -62,6 +65,11 @@ def noise_rule(text: Column | str) -> Column:
     )
 
 
+def noise_rule(text: Column | str) -> Column:
+    """The rule that makes a fragment structural noise, or null for content; the first that holds."""
+    return _once(flat(F.coalesce(_c(text), F.lit(""))), _noise)
+
+
 def is_data_table(rows: Column | str) -> Column:
     """Whether every cell of every row has at most eight words."""
     return F.forall(_c(rows), lambda r: F.forall(F.split(r, r" \| "), lambda c: F.size(F.split(F.trim(c), r"\s+")) <= L.DATA_CELL_WORDS))

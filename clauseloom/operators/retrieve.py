@@ -48,8 +48,11 @@ def bm25_terms(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
     return own.select("id", "term", (F.col("idf") * F.col("tf") * (L.BM25_K1 + 1) / (F.col("tf") + L.BM25_K1 * spread)).alias("weight"))
 
 
-def scores(queries: DataFrame, library: DataFrame) -> DataFrame:
-    """Rows (q, test, dense, sparse) of all pairs that share a term; both inputs are (id, text)."""
+def scores(queries: DataFrame, library: DataFrame, also: DataFrame | None = None) -> DataFrame:
+    """Rows (q, test, dense, sparse) of all pairs that share a term; both inputs are (id, text).
+
+    Pairs of ``also`` (q, test) are returned too, with what they score.
+    """
     n = library.agg(F.count("*").alias("n"))
     tests, asked = term_counts(library, "id", "text"), term_counts(queries, "id", "text")
     vocab = vocabulary(tests, n)
@@ -58,10 +61,14 @@ def scores(queries: DataFrame, library: DataFrame) -> DataFrame:
     by_term = sparse.join(dense, ["test", "term"], "left")
     known = asked.join(F.broadcast(vocab.select("term", "idf")), "term", "left")  # at most VOCABULARY rows
     raw = known.withColumn("w", (1 + F.log("tf")) * F.coalesce("idf", F.lit(0.0)))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    met = raw.select(F.col("id").alias("q"), "term", "tf", "w").join(by_term, "term")
-    found = met.groupBy("q", "test").agg(F.sum(F.col("w") * F.coalesce("wd", F.lit(0.0))).alias("dot"), F.sum(F.col("tf") * F.col("ws")).alias("sparse"))
-    return found.join(norm.withColumnRenamed("id", "q"), "q").select("q", "test", F.when(F.col("norm") > 0, F.col("dot") / F.col("norm")).otherwise(0.0).alias("dense"), "sparse")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    raw = raw.withColumn("norm", norm).select(F.col("id").alias("q"), "term", "tf", "w", "norm")
+    met = raw.join(by_term, "term").select("q", "test", "norm", (F.col("w") * F.coalesce("wd", F.lit(0.0))).alias("d"), (F.col("tf") * F.col("ws")).alias("s"))
+    if also is not None:
+        zero = F.lit(0.0)
+        met = met.unionByName(also.select("q", "test", F.lit(None).cast("double").alias("norm"), zero.alias("d"), zero.alias("s")))
+    found = met.groupBy("q", "test").agg(F.sum("d").alias("dot"), F.sum("s").alias("sparse"), F.max("norm").alias("norm"))
+    return found.select("q", "test", F.when(F.col("norm") > 0, F.col("dot") / F.col("norm")).otherwise(0.0).alias("dense"), "sparse")
 
 
 def search(queries: DataFrame, library: DataFrame, k: int = L.TOP_K) -> DataFrame:
@@ -69,15 +76,11 @@ def search(queries: DataFrame, library: DataFrame, k: int = L.TOP_K) -> DataFram
 
     Each channel ranks by (score, test) downwards; equal fused scores go by test.  Tests that
     share no term rank after all others, so at most ``k`` of them, those with the highest ids,
-    can fill a query's list: only these are added.
+    can fill a query's list: the ``2k`` highest are scored for every query.
     """
     asked = queries.where(F.trim("text") != "")
-    found = scores(asked, library)
-    counts = found.groupBy("q").agg(F.count("*").alias("m"))
-    few = asked.select(F.col("id").alias("q")).join(counts, "q", "left").where(F.coalesce("m", F.lit(0)) < k).select("q")
-    last = library.select(F.col("id").alias("test")).orderBy(F.desc("test")).limit(2 * k)
-    pads = few.crossJoin(F.broadcast(last)).join(found.select("q", "test"), ["q", "test"], "left_anti")
-    every = found.unionByName(pads.withColumn("dense", F.lit(0.0)).withColumn("sparse", F.lit(0.0)))
+    last = library.select(F.col("id").alias("test")).orderBy(F.desc("test")).limit(2 * k)  # a fixed number
+    every = scores(asked, library, asked.select(F.col("id").alias("q")).crossJoin(F.broadcast(last)))
     r1 = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("dense", 9)), F.desc("test"))) - 1
     r2 = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("sparse", 9)), F.desc("test"))) - 1
     fused = every.withColumn("r1", r1).withColumn("r2", r2).withColumn("fused", 1 / (L.FUSION + F.col("r1")) + 1 / (L.FUSION + F.col("r2")))
