@@ -28,6 +28,8 @@ SEED = 42
 _STEP = 0x9E3779B97F4A7C15
 #: Keys of two min-hashes by which large families of near copies are joined first.
 MINS = 3
+#: Bins of a set's sketch, two bytes each, whatever the length of the text.
+BINS = 256
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -68,27 +70,55 @@ def _mixed(hashes: np.ndarray, family: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def sketch(hashes: np.ndarray, family: int) -> bytes:
+    """16 bits of the smallest of ``hashes`` in each of BINS bins; 0 where a bin has none."""
+    m = np.sort(_mixed(hashes, family))
+    bins, first = np.unique(m >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
+    out = np.zeros(BINS, np.uint16)
+    out[bins.astype(np.int64)] = np.maximum(m[first] & np.uint64(0xFFFF), np.uint64(1))
+    return out.tobytes()
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sets of sketches ``a`` and ``b`` (rows of BINS) may have that Jaccard similarity.
+
+    The share of equal bins estimates it; four standard deviations less will do.
+    """
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(a), 4_096):
+        x, y = a[k : k + 4_096], b[k : k + 4_096]
+        either = np.maximum(((x > 0) | (y > 0)).sum(axis=1), 1)
+        share = ((x == y) & (x > 0)).sum(axis=1) / either
+        out[k : k + 4_096] = share >= similarity - 4 * np.sqrt(similarity * (1 - similarity) / either)
+    return out
+
+
+def _sketches(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint16).reshape(-1, BINS)
+
+
 def simhash(docs: DataFrame, words: int = 3, families: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
     """Rows (doc_id, fp array<long>): one 64-bit fingerprint for each family.
 
     A null or empty text has the zero fingerprint; other columns are ignored.  With ``sets``
     each different shingle votes once, and there are columns ``shingles``, a 128-bit digest of
-    their set, and ``mins``, keys of two min-hashes each, which near copies share.
+    their set, ``mins``, keys of two min-hashes each, which near copies share, and ``sketch``.
     """
-    extra = ", shingles binary, mins array<bigint>" if sets else ""
+    extra = ", shingles binary, mins array<bigint>, sketch binary" if sets else ""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fps, digests, mins = [], [], []
+            fps, digests, mins, sketches = [], [], [], []
             for text in pdf["t"]:
                 h = shingle_hashes(text, words)
                 if sets:
                     h = np.unique(h)
                     digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+                    sketches.append(sketch(h, families + 2 * MINS))
                     low = [_mixed(h, k).min() if len(h) else np.uint64(0) for k in range(families, families + 2 * MINS)]
                     mins.append(np.array([(int(a) * 3 + int(b)) % 2**64 for a, b in zip(low[::2], low[1::2], strict=True)], np.uint64).view(np.int64))
                 fps.append(np.array([majority(_mixed(h, k)) for k in range(families)], np.uint64).view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["i"], "fp": fps} | ({"shingles": digests, "mins": mins} if sets else {}))
+            yield pd.DataFrame({"doc_id": pdf["i"], "fp": fps} | ({"shingles": digests, "mins": mins, "sketch": sketches} if sets else {}))
 
     kind = dict(docs.dtypes)[id_col]
     return map_slices(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), run, f"doc_id {kind}, fp array<bigint>{extra}")
@@ -199,16 +229,17 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 2) -> Da
 
 
 #: Blocks of 31 bits, two in each family's word; a group up to SMALL is compared in full at once, a crowd by cells of about 2 * _SIDE members.
-_BLOCK, SMALL, _SIDE = 31, 32, 512
+_BLOCK, SMALL, _SIDE = 31, 8, 512
 
 
 def _candidates(classes: DataFrame, families: int) -> DataFrame:
     """Rows (a, b, crowd): pairs of classes (id, fp array, label) that share an anchor in some block and look alike.
 
-    Only classes of different labels are paired.  Alike: at most 22 of 64 bits of another family differ.  In a group beyond SMALL, a crowd,
-    each member is paired with the first and with its neighbours in the order of that word, so
-    a large family of copies gives links in proportion to its size; rows with ``crowd`` name
-    its members (id, key), whose other pairs :func:`_across` compares.
+    Only classes of different labels are paired.  Alike: at most 22 of 64 bits of another family
+    differ.  In a group beyond SMALL, a crowd, each member is paired with the first and with its
+    neighbours in the order of that word, so a large family of copies gives links in proportion
+    to its size; rows with ``crowd`` hold up to _SIDE of its members (a: key, b: number of the
+    row, crowd: ids), whose other pairs :func:`_across` compares.
     """
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,33 +270,36 @@ def _candidates(classes: DataFrame, families: int) -> DataFrame:
                 order = s + np.argsort(other[s : s + n], kind="stable")
                 a += [np.full(n - 1, s), order[:-1], order[:-2]]
                 b += [np.arange(s + 1, s + n), order[1:], order[2:]]
-                yield pd.DataFrame({"a": ids[s : s + n], "b": pdf["key"].to_numpy(np.int64)[s : s + n], "crowd": True})
+                crowd = [ids[k : min(k + _SIDE, s + n)] for k in range(s, s + n, _SIDE)]
+                yield pd.DataFrame({"a": pdf["key"].iloc[s], "b": np.arange(len(crowd)), "crowd": crowd})
             if a:
                 i, j = np.concatenate(a), np.concatenate(b)
                 near = (np.bitwise_count(other[i] ^ other[j]) <= 22) & (label[i] != label[j])
                 one, two = ids[i[near]], ids[j[near]]
-                yield pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "crowd": False}).drop_duplicates()
+                yield pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two)}).drop_duplicates().assign(crowd=None)
 
     rows = classes.select("id", "fp", "label").mapInPandas(spread, "key bigint, other bigint, id bigint, label bigint")
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInPandas(pair, "a bigint, b bigint, crowd boolean").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInPandas(pair, "a bigint, b bigint, crowd array<bigint>").distinct()
 
 
-def _across(members: DataFrame, most: int) -> DataFrame:
-    """Rows (a, b): pairs in a crowd, members (key, id, fp, component), of two components and at most ``most`` bits apart.
+def _across(members: DataFrame, most: int, similarity: float) -> DataFrame:
+    """Rows (a, b): pairs in a crowd, members (key, id, fp, sketch, component), of two components that look alike.
 
-    A crowd is cut into parts by a hash, and every two parts meet in a task of their own.
+    Alike: at most ``most`` bits of their words differ, and their sketches do not exclude the
+    ``similarity``.  A crowd is cut into parts by a hash, and every two parts meet in a task of their own.
     Crowds that are one component already are left out.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     parts = F.ceil(F.col("n") / _SIDE).cast("int")
     dealt = members.join(sizes.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), "part", "id", "fp", "component")
+    dealt = dealt.select("key", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), "part", "id", "fp", "sketch", "component")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, ["key", "x", "y"]):
             ids, label, part = (pdf[k].to_numpy(np.int64) for k in ("id", "component", "part"))
             fp, x, y = np.stack(pdf["fp"]).astype(np.int64).view(np.uint64), pdf["x"].to_numpy(), pdf["y"].to_numpy()
+            drawn = _sketches(pdf["sketch"])
             for s, n in zip(*(v.tolist() for v in group_bounds(pdf, ["key", "x", "y"])), strict=True):
                 rows = np.arange(s, s + n)
                 one, two = rows[part[s : s + n] == x[s]], rows[part[s : s + n] == y[s]]
@@ -273,7 +307,9 @@ def _across(members: DataFrame, most: int) -> DataFrame:
                 for k in range(fp.shape[1]):
                     far += np.bitwise_count(fp[one, k][:, None] ^ fp[two, k][None, :])
                 i, j = np.nonzero((far <= most) & (label[one][:, None] != label[two][None, :]))
-                a, b = ids[one[i]], ids[two[j]]
+                i, j = one[i], two[j]
+                near = alike(drawn[i], drawn[j], similarity)
+                a, b = ids[i[near]], ids[j[near]]
                 yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(compare, "a bigint, b bigint").distinct()
@@ -283,13 +319,14 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, similarity: float
     """Rows (doc_id, component_id): documents linked by a Jaccard similarity of their shingles.
 
     Texts that share two min-hashes are compared with the first of them, which joins large
-    families of near copies with as many comparisons as members.  Then anchors of the blocks of ``families`` SimHash words propose pairs, the whole words drop
+    families of near copies with as many comparisons as members.  Then anchors of the blocks of
+    ``families`` SimHash words propose pairs, the whole words and the sketches of the sets drop
     those that are clearly apart, and exact Jaccard similarity on sets of ``words``-word
     shingles decides.  Texts with equal sets of shingles are one class.  Null and empty
     texts are one group; repeated rows stay rows; an empty table gives none.
     """
     fps = stored(simhash(docs, words, families, sets=True))
-    classes = settle(fps.groupBy("shingles").agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.first("fp").alias("fp"), F.first("mins").alias("mins")).where("id is not null"))
+    classes = settle(fps.groupBy("shingles").agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.first("fp").alias("fp"), F.first("mins").alias("mins"), F.first("sketch").alias("sketch")).where("id is not null"))
     keyed = classes.select("id", F.explode("mins").alias("key"))
     leaders = stored(keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"))
     early = keyed.join(leaders, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
@@ -297,19 +334,25 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, similarity: float
     labels = connected_components(so_far)
     labelled = classes.join(labels, F.col("id") == labels.node, "left").select("id", "fp", F.coalesce("component", "id").alias("label"))
     proposed = stored(_candidates(labelled, families))
-    one, two = classes.select(F.col("id").alias("a"), F.col("fp").alias("fa")), classes.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
+
+    @F.pandas_udf("boolean")
+    def likely(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(alike(_sketches(a), _sketches(b), similarity), dtype=bool)
+
+    one = classes.select(F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("sketch").alias("sa"))
+    two = classes.select(F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("sketch").alias("sb"))
     apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     expected = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = int(64 * families * (expected + 4 * math.sqrt(expected * (1 - expected) / (64 * families))))
-    near = proposed.where("not crowd").join(one, "a").join(two, "b").where(apart <= most).select("a", "b")
+    near = proposed.where("crowd is null").join(one, "a").join(two, "b").where(apart <= most).where(likely("sa", "sb")).select("a", "b")
     links = so_far.union(_similar(docs, stored(near), words, similarity))
-    crowds = proposed.where("crowd").select(F.col("a").alias("id"), F.col("b").alias("key"))
+    crowds = proposed.where("crowd is not null").select(F.col("a").alias("key"), F.explode("crowd").alias("id"))
     if not crowds.isEmpty():
         links = settle(links)
         labels = connected_components(links)
-        members = crowds.join(classes.select("id", "fp"), "id").join(labels, F.col("id") == labels.node, "left")
-        members = stored(members.select("key", "id", "fp", F.coalesce("component", "id").alias("component")))
-        links = links.union(_similar(docs, stored(_across(members, most)), words, similarity))
+        members = crowds.join(classes.select("id", "fp", "sketch"), "id").join(labels, F.col("id") == labels.node, "left")
+        members = stored(members.select("key", "id", "fp", "sketch", F.coalesce("component", "id").alias("component")))
+        links = links.union(_similar(docs, stored(_across(members, most, similarity)), words, similarity))
     found = connected_components(links)
     whole = classes.join(found, F.col("id") == found.node, "left").select("shingles", F.coalesce("component", "id").alias("component_id"))
     return fps.join(whole, "shingles", "left").select("doc_id", "component_id")

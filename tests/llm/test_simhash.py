@@ -97,3 +97,24 @@ def test_copies_among_many_texts_of_one_template(spark):
             want += 1
             assert got[order[k]] == got[order[k + 1]] == min(order[k : k + 2])
     assert want > 300
+
+
+def test_sketches_exclude_no_pair_of_the_similarity():
+    rng = np.random.default_rng(5)
+    kept = []
+    for n in (1, 3, 9, 40, 200, 1_000, 20_000):
+        for part in (0.8, 0.3):
+            both = max(1, round(n * part)) if part == 0.8 and n > 4 else n if part == 0.8 else int(n * part)
+            one, two = [], []
+            for _ in range(100):
+                h = rng.integers(0, 2**63, 2 * n - both, dtype=np.int64).view(np.uint64)
+                one.append(np.frombuffer(S.sketch(h[:n], 10), np.uint16))
+                two.append(np.frombuffer(S.sketch(np.concatenate([h[:both], h[n:]]), 10), np.uint16))
+            similarity = both / (2 * n - both)
+            found = S.alike(np.array(one), np.array(two), similarity if part == 0.8 else 0.8)
+            if part == 0.8:
+                kept += found.tolist()
+            elif n >= 9:
+                assert not found.any()
+    assert np.mean(kept) >= 0.998
+    assert not S.alike(np.zeros((1, S.BINS), np.uint16), np.ones((1, S.BINS), np.uint16), 0.8).any()
