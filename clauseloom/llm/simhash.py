@@ -82,14 +82,16 @@ def sketch(hashes: np.ndarray, family: int) -> bytes:
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     """Whether the sets of sketches ``a`` and ``b`` (rows of BINS) may have that Jaccard similarity.
 
-    The share of equal bins estimates it; four standard deviations less will do.
+    The share of equal bins, one shingle of the union drawn from each, estimates it; four
+    standard deviations less will do.
     """
     out = np.zeros(len(a), bool)
     for k in range(0, len(a), 4_096):
         x, y = a[k : k + 4_096], b[k : k + 4_096]
         either = np.maximum(((x > 0) | (y > 0)).sum(axis=1), 1)
         share = ((x == y) & (x > 0)).sum(axis=1) / either
-        out[k : k + 4_096] = share >= similarity - 4 * np.sqrt(similarity * (1 - similarity) / either)
+        union = -BINS * np.log1p(-np.minimum(either, BINS - 0.5) / BINS)  # shingles that fill so many bins
+        out[k : k + 4_096] = share >= similarity - 4 * np.sqrt(similarity * (1 - similarity) * np.maximum(1 / either - 1 / union, 0))
     return out
 
 
