@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, pieces, quality, toxicity
+from . import fingerprints, langid, middles, pieces, quality, resampling, rules, toxicity
 from .common import stored, table
 from .embeddings import near_duplicates
 from .quotes import reply_ordered
@@ -76,6 +76,23 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut into prefix, middle and suffix: lengths, and digests of the output and of the text made from it again."""
+    out = middles.fill_in_middle(table(spark, sf_dir, "documents"), seed=1, percent=90, spm_percent=20)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(middles.restored(), 256).alias("restored_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_features, weight, score and rank of every document; a tenth of those of 20 words or more is drawn towards the benchmark's words."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20, n=1, buckets=10_000, seed=2024)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base_failed, kept and the posterior p_good of every document."""
+    out = rules.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op9_quality_cotraining": op9_quality_cotraining,
@@ -88,6 +105,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language_id": op10_language_id,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_quality_rules": op13_quality_rules,
     }
 
 
