@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, middles, pieces, quality, resampling, rules, toxicity
+from . import fingerprints, langid, middles, oracles, pieces, quality, resampling, rules, toxicity
 from .common import stored, table
 from .embeddings import near_duplicates
 from .quotes import reply_ordered
@@ -90,7 +90,7 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base_failed, kept and the posterior p_good of every document."""
     out = rules.judge(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -112,4 +112,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
