@@ -20,6 +20,10 @@ SUPERSESSION = r"(?i)\b(supersed\w*|shall stand withdrawn|stand withdrawn|no lon
 SHEET_ROW = r"^\[row (\d+)\]\s*(.*)$"
 ROW_REF = r"^\(?[A-Za-z]{0,3}[-.]?\d+(?:\.\d+)*\)?$"
 LIST_ITEM = r"^\(?(?:[a-zA-Z]|[ivxIVX]{1,5}|\d{1,2})[).]\s+|^\s*[•▪]\s+"
+LIST_FAMILIES = (r"(?=(?<![A-Za-z0-9(])\(?[a-z][)]\s)", r"(?=(?<![A-Za-z0-9(])\(?[ivx]{1,5}[).]\s)", r"(?=(?<![A-Za-z0-9(])\(?\d{1,2}[)]\s)", r"(?=[•▪]\s)")
+LIST_MARK = r"^\(?([a-zA-Z]|[ivxIVX]{1,5}|\d{1,2})[).]\s+"
+OPENERS = ("a", "A", "i", "I", "1")
+SENTENCE_START = r"[A-Z0-9(]"
 POINTS_FORWARD = r"(?i)\b(below|as under|as follows|following|hereunder|under-?mentioned|given in the table)\b|:\s*$"
 SENTENCE_END = r"[.;:!?][\"'”’)\]]*$"
 EMAIL_HEADER = r"(?i)^(subject|from|to|cc|bcc|date|sent)\s*:\s"

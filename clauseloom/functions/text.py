@@ -70,6 +70,56 @@ def noise_rule(text: Column | str) -> Column:
     return _once(flat(F.coalesce(_c(text), F.lit(""))), _noise)
 
 
+def block_noise(lines: Column | str) -> Column:
+    """The rule that makes a whole block noise, or null: all its lines are, and none is a table's.
+
+    Lines that are only too short are judged once more as one, joined by spaces.
+    """
+
+    def rule(ls: Column) -> Column:
+        rules = F.transform(ls, noise_rule)
+        return _once(rules, lambda rs: F.coalesce(F.get(F.filter(rs, lambda r: r != "too short"), F.lit(0)), noise_rule(F.array_join(ls, " "))))
+
+    row = lambda t: t.rlike(L.SHEET_ROW) | t.isin("[table]", "[/table]") | t.contains(" | ")
+    return _once(_c(lines), lambda ls: F.when((F.size(ls) > 0) & ~F.exists(ls, row) & ~F.exists(ls, lambda t: noise_rule(t).isNull()), rule(ls)))
+
+
+def points_to_data(piece: Column | str) -> Column:
+    """Whether the last sentence of a piece's wording refers to what follows it."""
+    wording = F.trim(F.split(F.coalesce(_c(piece), F.lit("")), "\n")[0])
+    last = F.regexp_replace(wording, r"^.*[.:;]\s+(?=" + L.SENTENCE_START + ")", "")
+    return ~wording.startswith("###") & wording.rlike("[.:;]$") & last.rlike(L.POINTS_FORWARD)
+
+
+def list_mark(piece: Column | str) -> Column:
+    """The letter or number that marks a list item: empty for a bullet, null for what is no item."""
+    t = _c(piece)
+    return F.when(t.rlike(L.LIST_ITEM), F.regexp_extract(t, L.LIST_MARK, 1))
+
+
+def inline_list(piece: Column | str) -> Column:
+    """(stem, items) of the first family of marks that makes a list inside a piece, or null.
+
+    A list has two items or more of MIN_FRAGMENT characters, and its first mark opens a sequence;
+    a list that starts in the middle of one is a quotation.  The stem is what precedes the first
+    mark, and a numbered sentence before items with other marks is one too.
+    """
+
+    def family(t: Column, pattern: str) -> Column:
+        parts = F.filter(F.transform(F.split(t, pattern), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+
+        def read(ps: Column) -> Column:
+            head, second = list_mark(ps[0]), F.get(F.transform(ps, list_mark), F.lit(1))
+            stemmed = F.coalesce(head.rlike(r"^\d+$") & ~second.rlike(r"^\d+$"), F.lit(False))
+            items = F.filter(F.when(stemmed, F.slice(ps, 2, 2**30)).otherwise(ps), lambda p: p.rlike(L.LIST_ITEM) & (F.length(p) >= L.MIN_FRAGMENT))
+            stem = F.when(stemmed | head.isNull(), ps[0]).otherwise("")
+            return F.when((F.size(items) >= 2) & list_mark(F.get(items, F.lit(0))).isin(*L.OPENERS), F.struct(stem.alias("stem"), items.alias("items")))
+
+        return _once(parts, read)
+
+    return _once(_c(piece), lambda t: F.coalesce(*(F.when(t.rlike(pattern), family(t, pattern)) for pattern in L.LIST_FAMILIES)))
+
+
 def is_data_table(rows: Column | str) -> Column:
     """Whether every cell of every row has at most eight words."""
     return F.forall(_c(rows), lambda r: F.forall(F.split(r, r" \| "), lambda c: F.size(F.split(F.trim(c), r"\s+")) <= L.DATA_CELL_WORDS))
