@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from clauseloom.functions import lexicon as L
 from clauseloom.functions import text as T
 
+from . import index, retrieve
+
 
 def ladder(dense: Column, withdraws: Column, has_candidates: Column | None = None) -> Column:
     """Change type by rule: withdrawal, then cosine thresholds; no candidates at all means New."""
@@ -80,12 +82,10 @@ def propose(obligations: DataFrame, library: DataFrame, day: str) -> DataFrame:
     """A proposal row for each obligation (id, text): decision, wording, routing, serial and candidates.
 
     ``library`` has test_code, test_description, source_reference, strata, department,
-    exception_code, is_active; ``day`` dates the serials, which run within each subject.
+    exception_code, is_active, and exception_description if it is to be searched; ``day`` dates the serials, which run within each subject.
     """
-    from .retrieve import search
-
-    tests = library.where("is_active").select(F.col("test_code").alias("id"), F.concat_ws(" ", "test_description", "strata", "source_reference").alias("text"))
-    found = search(obligations.select("id", "text"), tests)
+    tests = library.where("is_active").select(F.col("test_code").alias("id"), index.searchable(library.columns).alias("text"))
+    found = retrieve.search(obligations.select("id", "text"), tests)
     best = best_by_cosine(found)
     shown = found.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "test", "dense", "sparse", "fused"))).alias("candidates"))
     targets = withdrawal_targets(obligations, library).withColumnRenamed("id", "w")

@@ -1,12 +1,18 @@
 """Hybrid retrieval: TF-IDF cosine and BM25 over a library, fused by reciprocal ranks.
 
-Everything is an equi-join on terms, so a query meets only tests that share a word with it;
-the library's statistics are a few thousand rows.
+A query meets only tests that share a word with it, by an equi-join on terms or, where the
+library's postings are small, inside the tasks that read the queries.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions import lexicon as L
@@ -48,41 +54,129 @@ def bm25_terms(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
     return own.select("id", "term", (F.col("idf") * F.col("tf") * (L.BM25_K1 + 1) / (F.col("tf") + L.BM25_K1 * spread)).alias("weight"))
 
 
-def scores(queries: DataFrame, library: DataFrame, also: DataFrame | None = None) -> DataFrame:
-    """Rows (q, test, dense, sparse) of all pairs that share a term; both inputs are (id, text).
+def postings(library: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings (term, test, wd, ws), vocabulary (term, df, idf)) of a library (id, text).
 
-    Pairs of ``also`` (q, test) are returned too, with what they score.
+    ``wd`` is a term's weight in the test's TF-IDF vector, 0 outside the vocabulary, and ``ws``
+    what each occurrence of it in a query adds to the test's BM25 score.
     """
     n = library.agg(F.count("*").alias("n"))
-    tests, asked = term_counts(library, "id", "text"), term_counts(queries, "id", "text")
+    tests = term_counts(library, "id", "text")
     vocab = vocabulary(tests, n)
-    dense = tfidf(tests, vocab).withColumnRenamed("id", "test").withColumnRenamed("weight", "wd")
-    sparse = bm25_terms(tests, n).withColumnRenamed("id", "test").withColumnRenamed("weight", "ws")
-    by_term = sparse.join(dense, ["test", "term"], "left")
-    known = asked.join(F.broadcast(vocab.select("term", "idf")), "term", "left")  # at most VOCABULARY rows
+    dense = tfidf(tests, vocab).withColumnRenamed("weight", "wd")
+    both = bm25_terms(tests, n).withColumnRenamed("weight", "ws").join(dense, ["id", "term"], "left")
+    return both.select("term", F.col("id").alias("test"), F.coalesce("wd", F.lit(0.0)).alias("wd"), "ws"), vocab
+
+
+def order_of(library: DataFrame) -> DataFrame:
+    """Rows (test, above): how many tests have a higher id.  Only ids, of the library alone, are sorted."""
+    return library.select(F.col("id").alias("test"), (F.row_number().over(Window.orderBy(F.desc("id"))) - 1).alias("above"))
+
+
+def asked_terms(queries: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Rows (q, term, tf, w): the terms of queries (id, text) and their weights in a unit vector."""
+    known = term_counts(queries, "id", "text").join(F.broadcast(vocab.select("term", "idf")), "term", "left")  # at most VOCABULARY rows
     raw = known.withColumn("w", (1 + F.log("tf")) * F.coalesce("idf", F.lit(0.0)))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    raw = raw.withColumn("norm", norm).select(F.col("id").alias("q"), "term", "tf", "w", "norm")
-    met = raw.join(by_term, "term").select("q", "test", "norm", (F.col("w") * F.coalesce("wd", F.lit(0.0))).alias("d"), (F.col("tf") * F.col("ws")).alias("s"))
-    if also is not None:
-        zero = F.lit(0.0)
-        met = met.unionByName(also.select("q", "test", F.lit(None).cast("double").alias("norm"), zero.alias("d"), zero.alias("s")))
-    found = met.groupBy("q", "test").agg(F.sum("d").alias("dot"), F.sum("s").alias("sparse"), F.max("norm").alias("norm"))
-    return found.select("q", "test", F.when(F.col("norm") > 0, F.col("dot") / F.col("norm")).otherwise(0.0).alias("dense"), "sparse")
+    return raw.withColumn("norm", norm).select(F.col("id").alias("q"), "term", "tf", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("w"))
+
 
+#: Bytes of postings up to which they are sent to every executor, and what one takes at most; a term takes four bytes of text at least.
+HELD, POSTING = 64 << 20, 48
 
-def search(queries: DataFrame, library: DataFrame, k: int = L.TOP_K) -> DataFrame:
+
+def search(queries: DataFrame, library: DataFrame, k: int = L.TOP_K, most: int | None = None) -> DataFrame:
     """Rows (q, rank, test, dense, sparse, fused): the ``k`` best tests of each query that is not blank.
 
-    Each channel ranks by (score, test) downwards; equal fused scores go by test.  Tests that
-    share no term rank after all others, so at most ``k`` of them, those with the highest ids,
-    can fill a query's list: the ``2k`` highest are scored for every query.
+    Each channel ranks all tests of the library (id, text) by (score, test) downwards, and the sum
+    of 1 / (FUSION + rank) over both decides; equal sums go by test.
+    """
+    found, vocab = postings(library)
+    size = library.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return search_postings(queries, found, vocab, order_of(library), POSTING * size // 4, k, most)
+
+
+def search_postings(queries: DataFrame, found: DataFrame, vocab: DataFrame, order: DataFrame, size: int, k: int = L.TOP_K, most: int | None = None) -> DataFrame:
+    """:func:`search` over the postings of an index of ``size`` bytes: held by each task up to ``most``, else joined."""
+    return (search_held if size <= (HELD if most is None else most) else search_joined)(queries, found, vocab, order, k)
+
+
+def search_joined(queries: DataFrame, found: DataFrame, vocab: DataFrame, order: DataFrame, k: int = L.TOP_K) -> DataFrame:
+    """:func:`search` by joins on terms: a row for each query and test that share one.
+
+    Tests that share no term with a query score 0 in both channels.  How many of them precede a
+    test is counted, not listed: those with a higher id where the test scores 0 too, all of them
+    where it scores less.  At most ``k`` of them fill a query's list, those with the highest ids;
+    the ``2k`` highest of the library stand for them.
     """
     asked = queries.where(F.trim("text") != "")
-    last = library.select(F.col("id").alias("test")).orderBy(F.desc("test")).limit(2 * k)  # a fixed number
-    every = scores(asked, library, asked.select(F.col("id").alias("q")).crossJoin(F.broadcast(last)))
-    r1 = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("dense", 9)), F.desc("test"))) - 1
-    r2 = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("sparse", 9)), F.desc("test"))) - 1
-    fused = every.withColumn("r1", r1).withColumn("r2", r2).withColumn("fused", 1 / (L.FUSION + F.col("r1")) + 1 / (L.FUSION + F.col("r2")))
-    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("fused", 12)), "test"))
-    return fused.withColumn("rank", best).where(F.col("rank") <= k).select("q", "rank", "test", F.round("dense", 3).alias("dense"), F.round("sparse", 3).alias("sparse"), F.round("fused", 5).alias("fused"))
+    zero, total = F.lit(0.0), order.agg(F.count("*").alias("total"))
+    met = asked_terms(asked, vocab).join(found, "term").select("q", "test", (F.col("w") * F.col("wd")).alias("d"), (F.col("tf") * F.col("ws")).alias("s"), F.lit(True).alias("met"))
+    last = order.where(F.col("above") < 2 * k).select("test")  # a fixed number
+    also = asked.select(F.col("id").alias("q")).crossJoin(F.broadcast(last)).select("q", "test", zero.alias("d"), zero.alias("s"), F.lit(False).alias("met"))
+    every = met.unionByName(also).groupBy("q", "test").agg(F.round(F.sum("d"), 9).alias("rd"), F.round(F.sum("s"), 9).alias("rs"), F.sum("d").alias("dense"), F.sum("s").alias("sparse"), F.max("met").alias("met"))
+    rows = every.join(order, "test").crossJoin(F.broadcast(total))
+    of_query = Window.partitionBy("q")
+    higher = F.sum(F.col("met").cast("int")).over(of_query.orderBy(F.desc("test")).rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.col("total") - F.sum(F.col("met").cast("int")).over(of_query)
+    rows = rows.withColumn("apart", apart).withColumn("apart_above", F.col("above") - F.coalesce(higher, F.lit(0)))
+    listed = F.when(~F.col("met"), 1).otherwise(0)
+
+    def place(score: str) -> Column:
+        order_by = of_query.orderBy(F.desc(score), F.desc("test"))
+        among = F.row_number().over(order_by) - 1 - F.coalesce(F.sum(listed).over(order_by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return among + F.when(F.col(score) > 0, 0).when(F.col(score) == 0, F.col("apart_above")).otherwise(F.col("apart"))
+
+    fused = rows.withColumn("r1", place("rd")).withColumn("r2", place("rs")).withColumn("fused", 1 / (L.FUSION + F.col("r1")) + 1 / (L.FUSION + F.col("r2")))
+    best = F.row_number().over(of_query.orderBy(F.desc(F.round("fused", 12)), "test"))
+    return fused.withColumn("rank", best).where(F.col("rank") <= k).select("q", "rank", "test", *_shown())
+
+
+def _shown() -> list[Column]:
+    return [F.round("dense", 3).alias("dense"), F.round("sparse", 3).alias("sparse"), F.round("fused", 5).alias("fused")]
+
+
+def search_held(queries: DataFrame, found: DataFrame, vocab: DataFrame, order: DataFrame, k: int = L.TOP_K) -> DataFrame:
+    """:func:`search` where every task holds the postings: a row for each result, none for other pairs.
+
+    A query's scores of all tests are two arrays; both channels are ranked in full, so the sums
+    are exact.  The caller bounds the size of the postings.
+    """
+    tests = [r.test for r in order.orderBy("above").collect()]
+    rows = found.select("term", "test", "wd", "ws").toArrow().to_pandas().sort_values("term", kind="stable")
+    at, ends = rows["test"].map({t: i for i, t in enumerate(tests)}).to_numpy(np.int32), np.flatnonzero(np.append(rows["term"].to_numpy()[1:] != rows["term"].to_numpy()[:-1], True)) + 1
+    begin = np.concatenate(([0], ends[:-1]))
+    lists = {t: (at[s:e], rows["wd"].to_numpy()[s:e], rows["ws"].to_numpy()[s:e]) for t, s, e in zip(rows["term"].to_numpy()[begin] if len(rows) else [], begin.tolist(), ends.tolist(), strict=len(rows) > 0)}
+    sent = queries.sparkSession.sparkContext.broadcast((tests, lists, {r.term: r.idf for r in vocab.select("term", "idf").collect()}))
+    kinds = dict(queries.dtypes)["id"], dict(order.dtypes)["test"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, terms, idf = sent.value
+        n, few = len(names), min(k, len(names))
+        by_name = np.argsort(np.array(names, dtype=object), kind="stable")
+        rank_of_name = np.empty(n, np.int64)
+        rank_of_name[by_name] = np.arange(n)
+        for pdf in frames:
+            out = []
+            for q, words in zip(pdf["q"], pdf["terms"], strict=True):
+                counts = Counter(words)
+                weight = {t: (1 + math.log(c)) * idf.get(t, 0.0) for t, c in counts.items()}
+                norm = math.sqrt(sum(w * w for w in weight.values())) or 1.0
+                dense, sparse = np.zeros(n), np.zeros(n)
+                for t, c in counts.items():
+                    if t in terms:
+                        at, wd, ws = terms[t]
+                        dense[at] += weight[t] / norm * wd
+                        sparse[at] += c * ws
+                fused = np.zeros(n)
+                for score in (dense, sparse):  # tests are in falling order of ids, and the sort is stable
+                    ranks = np.empty(n, np.int64)
+                    ranks[np.argsort(-np.round(score, 9), kind="stable")] = np.arange(n)
+                    fused += 1 / (L.FUSION + ranks)
+                best = np.lexsort((rank_of_name, -np.round(fused, 12)))[:few]
+                out += [(q, r, names[i], dense[i], sparse[i], fused[i]) for r, i in enumerate(best.tolist(), 1)]
+            yield pd.DataFrame(out, columns=["q", "rank", "test", "dense", "sparse", "fused"])
+
+    asked = queries.where(F.trim("text") != "").select(F.col("id").alias("q"), tokens("text").alias("terms"))
+    rows = asked.mapInPandas(run, f"q {kinds[0]}, rank int, test {kinds[1]}, dense double, sparse double, fused double")
+    return rows.select("q", "rank", "test", *_shown())

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, language, relational, state
+from . import documents, language, notices, relational, state
 
 Query = Callable[[SparkSession, str], DataFrame]
-_THEMES = (documents, language, relational, state)
+_THEMES = (documents, language, notices, relational, state)
 
 
 def queries() -> dict[str, Query]:

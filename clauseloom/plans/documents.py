@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions import lexicon as L
 from clauseloom.functions import text as T
-from clauseloom.operators import decide, intake, retrieve, segment
-from clauseloom.sources import readers
+from clauseloom.operators import decide, index, intake, retrieve, segment
+from clauseloom.sources import readers, storage
 
 from .registry import Registry, table
 
@@ -16,26 +16,33 @@ QUERIES, ORACLES = query.queries, query.oracles
 
 _STOP = ", ".join(f"'{w}'" for w in L.STOP_WORDS)
 _TOKENS = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN ({_STOP}))"
-_TERMS = f"""tt AS (SELECT item_id AS id, term, count(*) AS tf FROM (SELECT item_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY ALL),
-  nn AS (SELECT count(*) AS n FROM benchmark),
+def _terms(lib, lib_id):
+    return f"""tt AS (SELECT {lib_id} AS id, term, count(*) AS tf FROM (SELECT {lib_id}, unnest({_TOKENS}) AS term FROM {lib}) GROUP BY ALL),
+  nn AS (SELECT count(*) AS n FROM {lib}),
   vocab AS (SELECT term, df, ln((n + 1) / (df + 1)) + 1 AS idf FROM (SELECT term, count(*) AS df FROM tt GROUP BY 1 ORDER BY df DESC, term LIMIT {L.VOCABULARY}), nn)"""
-_SCORES = f"""{_TERMS},
+
+
+def _scores(lib="benchmark", lib_id="item_id", ask="documents", ask_id="doc_id"):
+    return f"""{_terms(lib, lib_id)},
   dt AS (SELECT id, term, (1 + ln(tf)) * idf AS w FROM tt JOIN vocab USING (term)), dn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM dt GROUP BY 1),
   dense AS (SELECT id, term, w / norm AS wd FROM dt JOIN dn USING (id)),
   i0 AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tt, nn GROUP BY term, n),
   i1 AS (SELECT term, CASE WHEN idf < 0 THEN {L.BM25_FLOOR} * (SELECT avg(idf) FROM i0) ELSE idf END AS idf FROM i0),
   dl AS (SELECT id, sum(tf) AS dl FROM tt GROUP BY 1), av AS (SELECT sum(dl) / max(n) AS avgdl FROM dl, nn),
   sparse AS (SELECT tt.id, term, i1.idf * tf * {L.BM25_K1 + 1} / (tf + {L.BM25_K1} * (1 - {L.BM25_B} + {L.BM25_B} * dl / avgdl)) AS ws FROM tt JOIN i1 USING (term) JOIN dl ON dl.id = tt.id, av),
-  qt AS (SELECT doc_id AS q, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents WHERE trim(text) <> '') GROUP BY ALL),
+  qt AS (SELECT {ask_id} AS q, term, count(*) AS tf FROM (SELECT {ask_id}, unnest({_TOKENS}) AS term FROM {ask} WHERE trim(text) <> '') GROUP BY ALL),
   qw AS (SELECT q, term, tf, (1 + ln(tf)) * coalesce(idf, 0) AS w FROM qt LEFT JOIN vocab USING (term)), qn AS (SELECT q, sqrt(sum(w * w)) AS norm FROM qw GROUP BY 1),
   met AS (SELECT qw.q, s.id AS test, sum(qw.w * coalesce(wd, 0)) AS dot, sum(qw.tf * ws) AS sparse FROM qw JOIN sparse s ON s.term = qw.term LEFT JOIN dense d ON d.id = s.id AND d.term = s.term GROUP BY 1, 2),
   found AS (SELECT q, test, CASE WHEN norm > 0 THEN dot / norm ELSE 0 END AS dense, sparse FROM met JOIN qn USING (q)),
-  every AS (SELECT doc_id AS q, item_id AS test, coalesce(dense, 0) AS dense, coalesce(sparse, 0) AS sparse FROM (SELECT doc_id FROM documents WHERE trim(text) <> '') CROSS JOIN benchmark LEFT JOIN found ON q = doc_id AND test = item_id),
+  every AS (SELECT {ask_id} AS q, {lib_id} AS test, coalesce(dense, 0) AS dense, coalesce(sparse, 0) AS sparse FROM (SELECT {ask_id} FROM {ask} WHERE trim(text) <> '') CROSS JOIN (SELECT {lib_id} FROM {lib}) LEFT JOIN found ON q = {ask_id} AND test = {lib_id}),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(dense, 9) DESC, test DESC) - 1 AS r1, row_number() OVER (PARTITION BY q ORDER BY round(sparse, 9) DESC, test DESC) - 1 AS r2 FROM every),
   fused AS (SELECT *, 1 / ({L.FUSION} + r1) + 1 / ({L.FUSION} + r2) AS fused FROM ranked),
   top AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY round(fused, 12) DESC, test) AS rank, test, round(dense, 3) AS dense, round(sparse, 3) AS sparse, round(fused, 5) AS fused FROM fused)"""
 
 
+_TERMS, _SCORES = _terms("benchmark", "item_id"), _scores()
+
+
 def _search(spark, sf):
     asked = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return retrieve.search(asked, table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"))
@@ -53,6 +60,23 @@ def rrf_topk(spark, sf):
     return _search(spark, sf).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(f"WITH {_scores('documents', 'doc_id', 'benchmark', 'item_id')} SELECT q, rank, test, dense, sparse, fused FROM top WHERE rank <= {L.TOP_K}")
+def rrf_topk_large_library(spark, sf):
+    """The other way round: every benchmark item against all documents, a library beyond the vocabulary's size."""
+    items, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
+    found = retrieve.search(items.select(F.col("item_id").alias("id"), "text"), docs.select(F.col("doc_id").alias("id"), "text"))
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"WITH {_SCORES} SELECT q, rank, test, dense, sparse, fused FROM top WHERE rank <= {L.TOP_K}")
+def stored_index_topk(spark, sf):
+    """Every document against the stored index of the benchmark, which is built where it is missing or out of date."""
+    library = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    held = index.load(library, f"{storage.shared_folder(spark)}/library-index")
+    found = index.search(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), held)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(f"""WITH {_SCORES}, best AS (SELECT q, arg_max(struct_pack(test := test, dense := dense), dense - rank * 1e-9) AS b FROM top WHERE rank <= {L.TOP_K} GROUP BY 1),
   d AS (SELECT q, b.test AS test, b.dense AS dense, CASE WHEN b.dense >= {L.AMEND_AT} THEN 'Amendment' WHEN b.dense >= {L.NEW_AT} THEN 'New' ELSE 'No action' END AS change_type FROM best)
   SELECT q, test, dense, change_type, CASE change_type WHEN 'Amendment' THEN round(least(0.92, 0.45 + dense * 0.6), 2) WHEN 'New' THEN 0.66 ELSE 0.60 END AS confidence FROM d""")
