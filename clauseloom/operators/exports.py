@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions import lexicon as L
 from clauseloom.functions import text as T
+from clauseloom.sources.storage import remove, rename
 
 COLUMNS = 78
 
@@ -96,6 +99,76 @@ def vocabularies(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(lists)).select("column", "name", F.posexplode("values").alias("place", "value"))
 
 
-def missing_columns(written: DataFrame, expected: list[str]) -> list[str]:
-    """What a written dataset lacks of its expected columns, or ``rows`` if it has none."""
-    return [c for c in expected if c not in written.columns] or (["rows"] if written.isEmpty() else [])
+def _digest() -> list[Column]:
+    """Rows, and two sums over hashes of whole rows, whatever their order."""
+    row = F.to_json(F.struct(F.col("*")), {"ignoreNullFields": "false"})
+    total = lambda seed: F.coalesce(F.sum(F.xxhash64(F.lit(seed), row).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return [F.count(F.lit(1)).alias("rows"), F.concat_ws("/", total(1), total(2)).alias("digest")]
+
+
+_MANIFEST = "sheet string, columns array<string>, rows bigint, digest string"
+
+
+def write_release(sheets: dict[str, DataFrame], path: str) -> str:
+    """Write the sheets to a folder beside ``path`` and what was meant to be written as its manifest; returns the folder.
+
+    Rows and digest are observed in the pass that writes a sheet, not read from its files.
+    """
+    spark = next(iter(sheets.values())).sparkSession
+    draft = f"{path}.draft-{uuid.uuid4().hex}"
+    lines = []
+    for name, df in sheets.items():
+        seen = Observation()
+        df.observe(seen, *_digest()).write.parquet(f"{draft}/{name}")
+        lines.append((name, df.columns, seen.get["rows"], seen.get["digest"]))
+    spark.createDataFrame(lines, _MANIFEST).coalesce(1).write.parquet(f"{draft}/_manifest")
+    return draft
+
+
+def audit_release(spark: SparkSession, folder: str, expected: dict[str, list[str]]) -> list[str]:
+    """What a written release lacks or has wrong, read back from its files; empty if nothing.
+
+    ``expected`` names the columns of each sheet, which must be there in that order.  Files that
+    are damaged, missing, twice there or altered show by rows and digest.
+    """
+    try:
+        manifest = {r.sheet: r for r in spark.read.schema(_MANIFEST).parquet(f"{folder}/_manifest").collect()}
+    except Exception as e:  # a manifest that cannot be read is the finding
+        return [f"no manifest: {type(e).__name__}"]
+    found = []
+    for name, columns in expected.items():
+        if name not in manifest:
+            found.append(f"{name}: missing")
+            continue
+        held = manifest[name]
+        if held.columns != columns:
+            found.append(f"{name}: columns {[c for c in columns if c not in held.columns] or held.columns}")
+        try:
+            sheet = spark.read.parquet(f"{folder}/{name}")
+            if sheet.columns != held.columns:
+                found.append(f"{name}: written columns differ")
+                continue
+            got = sheet.agg(*_digest()).first()
+        except Exception as e:  # files that cannot be read are the finding
+            found.append(f"{name}: unreadable: {type(e).__name__}")
+            continue
+        if got.rows != held.rows:
+            found.append(f"{name}: {got.rows} rows instead of {held.rows}")
+        elif got.digest != held.digest:
+            found.append(f"{name}: rows differ")
+    return found
+
+
+def publish_release(sheets: dict[str, DataFrame], path: str, expected: dict[str, list[str]] | None = None) -> list[str]:
+    """Write, audit, and move to ``path`` only what passes; returns the problems.
+
+    ``path`` names a release and is never overwritten; a draft that fails is deleted.
+    """
+    spark = next(iter(sheets.values())).sparkSession
+    draft = write_release(sheets, path)
+    found = audit_release(spark, draft, expected or {name: df.columns for name, df in sheets.items()})
+    if not found and not rename(spark, draft, path):
+        found = ["the release exists already"]
+    if found:
+        remove(spark, draft)
+    return found

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clauseloom.sources.storage import shared_folder
+
 
 def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Add file_hash and duplicate_of (the first document with the same content, else null).
@@ -31,10 +33,22 @@ def outcomes(docs: DataFrame, processed: DataFrame | None = None) -> DataFrame:
     return rows.withColumn("outcome", outcome).drop("done")
 
 
-def reissues(docs: DataFrame, name_col: str = "filename", id_col: str = "doc_id") -> DataFrame:
-    """Add supersedes and superseded_by among top-level, ingested documents of one name, by id."""
-    order = Window.partitionBy(name_col).orderBy(id_col)
-    return docs.withColumn("supersedes", F.lag(id_col).over(order)).withColumn("superseded_by", F.lead(id_col).over(order))
+def reissues(docs: DataFrame, name_col: str = "filename", id_col: str = "doc_id", eligible: Column | None = None, width: int = 1 << 16) -> DataFrame:
+    """Add supersedes and superseded_by: the neighbours by id among the ``eligible`` documents of one name.
+
+    Eligible are usually top-level documents that were ingested to the end; others get nulls and
+    are nobody's neighbour.  A name is read by ranges of ``width`` ids (integers), so that one
+    that a third of the documents have is no single task's.
+    """
+    able = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
+    rows = docs.withColumn("__able__", able).withColumn("__range__", F.when(F.col("__able__"), F.expr(f"`{id_col}` div {width}")))
+    ends = rows.where("__able__").groupBy(name_col, "__range__").agg(F.min(id_col).alias("__low__"), F.max(id_col).alias("__high__"))
+    by_range = Window.partitionBy(name_col).orderBy("__range__")  # a row for each range
+    ends = ends.select(name_col, "__range__", F.lag("__high__").over(by_range).alias("__before__"), F.lead("__low__").over(by_range).alias("__after__"))
+    order = Window.partitionBy(name_col, "__range__").orderBy(id_col)
+    inner = rows.withColumn("__lag__", F.when(F.col("__able__"), F.lag(id_col).over(order))).withColumn("__lead__", F.when(F.col("__able__"), F.lead(id_col).over(order)))
+    out = inner.join(ends, [name_col, "__range__"], "left")
+    return out.select(*docs.columns, F.coalesce("__lag__", "__before__").alias("supersedes"), F.coalesce("__lead__", "__after__").alias("superseded_by"))
 
 
 def flatten_tree(nodes: DataFrame, depth: int = 3) -> DataFrame:
@@ -48,6 +62,38 @@ def flatten_tree(nodes: DataFrame, depth: int = 3) -> DataFrame:
     return out
 
 
+def recorded_tree(nodes: DataFrame, depth: int = 3) -> DataFrame:
+    """Rows (id, root, depth, file_hash, duplicate_of) of the documents of a forest that are recorded.
+
+    ``nodes`` has id, parent_id, name and text.  They arrive as one reads a tree: a document, then
+    its first child with all below it.  One with the content of a document recorded before it is
+    its duplicate, and what lies inside a duplicate is not recorded, at any depth, so it is nobody's
+    original either.  A child without text goes by its name.  Each round finds the duplicates among
+    what the last one left; the first document on which two rounds differ comes later every time.
+    """
+    text = F.when(F.coalesce("text", F.lit("")) != "", F.col("text")).when(F.col("parent_id").isNotNull(), F.col("name"))
+    held = nodes.select("id", "parent_id", F.sha2(F.coalesce(text, F.lit("")), 256).alias("file_hash"))
+    level = held.where("parent_id is null").select("id", "file_hash", F.array("id").alias("path"))
+    every = level
+    for _ in range(depth):
+        level = held.join(level.select(F.col("id").alias("parent_id"), "path"), "parent_id").select("id", "file_hash", F.concat("path", F.array("id")).alias("path"))
+        every = every.unionByName(level)
+    shared_folder(nodes.sparkSession)
+    every, gone = every.checkpoint(), None
+    while True:
+        left = every if gone is None else every.join(gone, "id", "left_anti")
+        first = left.groupBy("file_hash").agg(F.min("path").alias("first"))
+        found = left.join(first, "file_hash").withColumn("original", F.element_at("first", -1)).where("original <> id").select("id", "original")
+        above = every.select("id", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("up"))
+        now = above.join(found.select(F.col("id").alias("up")), "up", "left_semi").select("id").distinct().checkpoint()
+        same = gone is not None and now.join(gone, "id", "left_anti").isEmpty() and gone.join(now, "id", "left_anti").isEmpty()
+        gone = now
+        if same:
+            break
+    kept = every.join(gone, "id", "left_anti").join(found, "id", "left")
+    return kept.select("id", F.col("path")[0].alias("root"), (F.size("path") - 1).alias("depth"), "file_hash", F.col("original").alias("duplicate_of"))
+
+
 def human_touched(documents: DataFrame, clauses: DataFrame, proposals: DataFrame, approvals: DataFrame, revisions: DataFrame) -> DataFrame:
     """Documents that a person has decided on or edited: no rerun may alter them."""
     touched = approvals.select("proposal_id").union(revisions.select("proposal_id")).distinct()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,17 +21,81 @@ def next_state(status: Column, level: Column, decision: Column) -> Column:
     return F.when(first, after_first).when(second, after_second).otherwise(status)
 
 
-def current_status(events: DataFrame) -> DataFrame:
-    """Rows (proposal_id, status, accepted, ignored) from events (proposal_id, seq, level, decision)."""
-    log = events.groupBy("proposal_id").agg(F.array_sort(F.collect_list(F.struct("seq", "level", "decision"))).alias("log"))
-    start = F.struct(F.lit("Pending review").alias("status"), F.lit(0).alias("accepted"), F.lit(0).alias("ignored"))
+#: All that a proposal can be, the first of them at the start.
+STATUSES = ("Pending review", "Pending approval", "Approved", "Rejected", "Changes requested")
+
 
-    def step(state: Column, e: Column) -> Column:
-        takes = ((e["level"] == 1) & state["status"].isin("Pending review", "Changes requested")) | ((e["level"] == 2) & (state["status"] == "Pending approval"))
-        one = takes.cast("int")
-        return F.struct(next_state(state["status"], e["level"], e["decision"]).alias("status"), (state["accepted"] + one).alias("accepted"), (state["ignored"] + 1 - one).alias("ignored"))
+def moves(level: np.ndarray, decision: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(to, taken): for each event and each status before it, the status after it and whether it was accepted."""
+    waits, second = np.array([0, 4]), 1
+    to, taken = np.tile(np.arange(len(STATUSES)), (len(level), 1)), np.zeros((len(level), len(STATUSES)), np.int64)
+    yes, no = decision == "Approved", decision == "Rejected"
+    for at_level, before, approved in ((1, waits, 1), (2, np.array([second]), 2)):
+        rows = np.flatnonzero(level == at_level)
+        to[rows[:, None], before] = np.where(yes[rows], approved, np.where(no[rows], 3, 4))[:, None]
+        taken[rows[:, None], before] = 1
+    return to, taken
 
-    return log.select("proposal_id", F.aggregate("log", start, step).alias("s")).select("proposal_id", "s.*")
+
+def composed(start: np.ndarray, to: np.ndarray, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(to, taken) of each run of events as one: runs begin at ``start``, and neighbours are composed in pairs.
+
+    Functions from status to status compose associatively, so a run is halved until one is left.
+    """
+    run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(to))))
+    while len(run) > len(start):
+        begin = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        nth = np.arange(len(run)) - np.repeat(begin, np.diff(np.append(begin, len(run))))
+        first = np.flatnonzero(nth % 2 == 0)
+        paired = (first + 1 < len(run)) & (run[np.minimum(first + 1, len(run) - 1)] == run[first])
+        f, g = first[paired], first[paired] + 1
+        new_to, new_taken = to[first], taken[first]
+        new_taken[paired] = taken[f] + np.take_along_axis(taken[g], to[f], axis=1)
+        new_to[paired] = np.take_along_axis(to[g], to[f], axis=1)
+        run, to, taken = run[first], new_to, new_taken
+    return to, taken
+
+
+def current_status(events: DataFrame) -> DataFrame:
+    """Rows (proposal_id, status, accepted, ignored) from events (proposal_id, seq, level, decision).
+
+    Events go to ranges of (proposal, order), so a proposal with very many of them is spread over
+    tasks.  Each task makes one function of status to status of a proposal's events there; the few
+    functions of a proposal are then applied in turn.  Events of equal order go by level and decision.
+    """
+    order = ["proposal_id", "seq", "level", "decision"]
+    kind = dict(events.dtypes)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            key = pdf["proposal_id"].to_numpy()
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            to, taken = composed(start, *moves(pdf["level"].to_numpy(), pdf["decision"].to_numpy()))
+            made = pdf.iloc[start].assign(to=list(to), taken=list(taken), n=np.diff(np.append(start, len(pdf))))
+            if held is not None and held["proposal_id"].iloc[0] == key[0]:
+                pair = np.stack([held["to"].iloc[0], made["to"].iloc[0]]), np.stack([held["taken"].iloc[0], made["taken"].iloc[0]])
+                to, taken = composed(np.array([0]), *pair)
+                joined = held.assign(to=list(to), taken=list(taken), n=held["n"] + made["n"].iloc[0])
+                made = pd.concat([joined, made.iloc[1:]])
+            elif held is not None:
+                yield held
+            yield made.iloc[:-1]
+            held = made.iloc[-1:]
+        if held is not None:
+            yield held
+
+    ranged = events.select(*order).where("proposal_id is not null").repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = ranged.mapInPandas(fold, ", ".join(f"{c} {kind[c]}" for c in order) + ", `to` array<int>, taken array<bigint>, n bigint")
+    one = F.struct("seq", "level", "decision", "to", "taken", "n")
+    log = parts.groupBy("proposal_id").agg(F.array_sort(F.collect_list(one)).alias("log"))  # a row for each task that has the proposal
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("accepted"), F.lit(0).cast("long").alias("all"))
+    step = lambda s, e: F.struct(F.get(e["to"], s["at"]).alias("at"), (s["accepted"] + F.get(e["taken"], s["at"])).alias("accepted"), (s["all"] + e["n"]).alias("all"))
+    state = log.select("proposal_id", F.aggregate("log", start, step).alias("s"))
+    name = F.get(F.array(*map(F.lit, STATUSES)), F.col("s.at"))
+    return state.select("proposal_id", name.alias("status"), F.col("s.accepted").cast("int").alias("accepted"), (F.col("s.all") - F.col("s.accepted")).cast("int").alias("ignored"))
 
 
 def current_fields(proposals: DataFrame, revisions: DataFrame) -> DataFrame:

@@ -87,11 +87,11 @@ def week_mis(spark, sf):
 
 @query("""WITH s AS (SELECT l_suppkey AS key, l_shipdate AS a, l_shipdate + INTERVAL 3 DAY AS b FROM lineitem),
   r AS (SELECT *, max(b) OVER (PARTITION BY key ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
-  i AS (SELECT *, sum(CASE WHEN reach >= a THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM r),
+  i AS (SELECT *, sum(CASE WHEN reach >= a THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY a, b) AS island FROM r),
   m AS (SELECT key, min(a) AS a, max(b) AS b FROM i GROUP BY key, island)
   SELECT key, count(*) AS islands, CAST(sum(date_diff('day', a, b)) AS BIGINT) AS covered FROM m GROUP BY key""")
 def span_merge(spark, sf):
-    spans = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_shipdate").alias("a"), F.expr("l_shipdate + INTERVAL 3 DAY").alias("b"))
+    spans = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_shipdate").cast("date").alias("a"), F.date_add(F.col("l_shipdate").cast("date"), 3).alias("b"))
     merged = segment.merged_spans(spans, "key", "a", "b")
     return merged.groupBy("key").agg(F.count("*").alias("islands"), F.sum(F.datediff("end", "start").cast("long")).alias("covered"))
 

@@ -37,6 +37,14 @@ RELATIONS = {
         "concat(CASE WHEN c_custkey % 4 = 0 THEN 'bprd_' ELSE 'memo_' END, c_custkey, '.pdf') AS filename", "CASE WHEN c_custkey % 2 = 0 THEN '2021-03-12' END AS doc_date",
         "CASE WHEN c_custkey % 6 = 5 THEN 'duplicate' WHEN c_custkey % 6 = 4 THEN 'error' ELSE 'ingested' END AS status", "CASE WHEN c_custkey % 10 > 0 AND c_custkey % 3 = 0 THEN c_custkey - c_custkey % 10 END AS parent_id",
     ), "true"),
+    "nested": ("customer", (
+        "c_custkey AS id", "CASE WHEN c_custkey % 10 BETWEEN 1 AND 3 THEN c_custkey - c_custkey % 10 WHEN c_custkey % 10 > 3 THEN c_custkey - 3 END AS parent_id", "concat('part-', c_custkey % 7, '.docx') AS name",
+        "CASE WHEN c_custkey % 11 = 0 THEN '' ELSE concat('Text of ', c_nationkey, ' in ', c_mktsegment, CASE WHEN c_custkey % 4 = 0 THEN concat(' by ', c_custkey) ELSE '' END) END AS text",
+    ), "true"),
+    "arrived": ("customer", (
+        "c_custkey AS doc_id", "concat('memo_', c_nationkey, '.pdf') AS filename", "CASE WHEN c_custkey % 10 > 0 AND c_custkey % 3 = 0 THEN c_custkey - c_custkey % 10 END AS parent_id",
+        "CASE WHEN c_custkey % 6 = 5 THEN 'duplicate' WHEN c_custkey % 6 = 4 THEN 'error' ELSE 'ingested' END AS status", "c_custkey % 8 > 0 AS processed",
+    ), "true"),
     "reissued": ("customer", ("c_custkey AS old_id", "c_custkey + 1 AS new_id"), "c_custkey % 5 = 0"),
     "clauses": ("part", (
         "p_partkey AS id", "p_partkey % 50 AS document_id", "p_size AS sequence", "CASE p_partkey % 5 WHEN 0 THEN false WHEN 1 THEN NULL ELSE true END AS is_actionable",
@@ -446,3 +454,33 @@ def ordered_distinct_union(spark, sf):
     one = table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("id"), F.lit(0).alias("source"))
     two = table(spark, sf, "orders").where("o_totalprice > 200000").select(F.col("o_orderkey").alias("id"), F.lit(1).alias("source"))
     return one.unionByName(two).groupBy("id").agg(F.min("source").alias("source"))
+
+
+_HELD = "parent_id IS NULL AND status = 'ingested' AND processed"
+
+
+@query(f"""{_with('arrived')}, e AS (SELECT doc_id, lag(doc_id) OVER w AS supersedes, lead(doc_id) OVER w AS superseded_by FROM arrived WHERE {_HELD} WINDOW w AS (PARTITION BY filename ORDER BY doc_id))
+  SELECT doc_id, filename, supersedes, superseded_by FROM arrived LEFT JOIN e USING (doc_id)""")
+def reissue_links(spark, sf):
+    """Which document each top-level one that was read to the end replaces, among files of one name."""
+    found = intake.reissues(_rel(spark, sf, "arrived"), eligible=F.expr(_HELD), width=64)
+    return found.select("doc_id", "filename", "supersedes", "superseded_by")
+
+
+def _tree_sql(rounds: int) -> str:
+    """The duplicates of each round without what lay inside the duplicates of the round before."""
+    steps = ["g0 AS (SELECT id FROM every WHERE false)"]
+    for k in range(1, rounds + 1):
+        left = f"SELECT * FROM every WHERE id NOT IN (SELECT id FROM g{k - 1})"
+        steps.append(f"d{k} AS (SELECT id, original FROM (SELECT id, arg_min(id, path) OVER (PARTITION BY file_hash) AS original FROM ({left})) WHERE original <> id)")
+        steps.append(f"g{k} AS (SELECT DISTINCT id FROM (SELECT id, unnest(path[1:len(path) - 1]) AS up FROM every) WHERE up IN (SELECT id FROM d{k}))")
+    return ", ".join(steps)
+
+
+@query(f"""{_with('nested').replace('WITH ', 'WITH RECURSIVE ', 1)}, h AS (SELECT id, parent_id, sha256(CASE WHEN text <> '' THEN text WHEN parent_id IS NOT NULL THEN name ELSE '' END) AS file_hash FROM nested),
+  every AS (SELECT id, file_hash, [id] AS path FROM h WHERE parent_id IS NULL UNION ALL SELECT h.id, h.file_hash, list_append(path, h.id) FROM h JOIN every ON h.parent_id = every.id), {_tree_sql(8)}
+  SELECT id, path[1] AS root, len(path) - 1 AS depth, original AS duplicate_of FROM every LEFT JOIN d8 USING (id) WHERE id NOT IN (SELECT id FROM g8)""")
+def document_tree(spark, sf):
+    """Documents inside documents, without what lies in a duplicate at any depth."""
+    found = intake.recorded_tree(_rel(spark, sf, "nested"))
+    return found.select("id", "root", F.col("depth").cast("long").alias("depth"), "duplicate_of")

@@ -228,9 +228,17 @@ def _read(path: str, name: str, kind: str, raw: bytes, depth: int, parent: str |
             yield from _read(path, child, _kind(child, content), content, depth + 1, name)
 
 
+#: Only files of known kinds are opened; names that begin with a dot or ~$ are left out by the source or below.
+WANTED = "*.{" + ",".join(v for s in SUFFIXES for v in (s, s.upper())) + "}"
+
+
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each file in ``folder`` and each document inside it (SCHEMA)."""
-    files = spark.read.format("binaryFile").load(folder)
+    return read_contents(spark.read.format("binaryFile").option("pathGlobFilter", WANTED).load(folder))
+
+
+def read_contents(files: DataFrame) -> DataFrame:
+    """The same for rows (path, content) of files, of a table or a stream."""
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.element_at(F.split("path", r"\."), -1))
     wanted = files.select("path", name.alias("name"), suffix.alias("suffix"), "content").where(~F.col("name").rlike(r"^(\.|~\$)") & F.col("suffix").isin(*SUFFIXES))
