@@ -180,3 +180,45 @@ def search_held(queries: DataFrame, found: DataFrame, vocab: DataFrame, order: D
     asked = queries.where(F.trim("text") != "").select(F.col("id").alias("q"), tokens("text").alias("terms"))
     rows = asked.mapInPandas(run, f"q {kinds[0]}, rank int, test {kinds[1]}, dense double, sparse double, fused double")
     return rows.select("q", "rank", "test", *_shown())
+
+
+def _unit(vectors: list, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the vectors that have a direction and ``size`` numbers, those vectors with length 1)."""
+    held = [np.asarray(v, np.float64) if v is not None and len(v) == size and all(x is not None for x in v) else None for v in vectors]
+    good = np.array([v is not None and bool(np.isfinite(v).all()) and bool(v.any()) for v in held], bool)
+    m = np.stack([v for v, g in zip(held, good, strict=True) if g]) if good.any() else np.empty((0, size))
+    return np.flatnonzero(good), m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def nearest(asked: DataFrame, rows: DataFrame, k: int, block: int = 2_048, chunk: int = 16_384) -> DataFrame:
+    """Rows (q, rank, vec_id, score): the ``k`` other vectors of the greatest cosine; ties by vec_id.
+
+    Both sides have (vec_id, embedding).  Blocks of about ``block`` stated queries meet chunks of
+    about ``chunk`` rows, each pair in a group of its own: one matrix product, of which the ``k``
+    best of every query go on.  Norms are worked out once a vector and group.  Vectors that are
+    null, zero or not finite have no neighbours and are none; lengths only meet their own.
+    """
+    n_blocks, n_chunks = (-(-max(1, df.count()) // size) for df, size in ((asked, block), (rows, chunk)))
+    size = F.size("embedding").alias("size")
+    part = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("vec_id", "embedding", size, part(n_blocks, 1).alias("block"), every(n_chunks).alias("chunk"))
+    right = rows.select("vec_id", "embedding", size, part(n_chunks, 2).alias("chunk"), every(n_blocks).alias("block"))
+    kind = dict(rows.dtypes)["vec_id"]
+
+    def best(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"q": one["vec_id"].iloc[:0], "vec_id": two["vec_id"].iloc[:0], "score": np.empty(0)})]
+        if len(one) and len(two) and one["size"].iloc[0] > 0:
+            (qat, qm), (at, m) = (_unit(df["embedding"].tolist(), int(one["size"].iloc[0])) for df in (one, two))
+            ids, own = one["vec_id"].to_numpy()[qat], two["vec_id"].to_numpy()[at]
+            for q, row in zip(ids, np.round(qm @ m.T, 6), strict=True):
+                few = np.flatnonzero(row >= np.partition(row, len(row) - k - 1)[len(row) - k - 1]) if len(row) > k + 1 else np.arange(len(row))
+                few = few[own[few] != q]
+                few = few[np.lexsort((own[few], -row[few]))][:k]
+                out.append(pd.DataFrame({"q": q, "vec_id": own[few], "score": row[few]}))
+        return pd.concat(out)
+
+    keys = ["block", "chunk", "size"]
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"q {kind}, vec_id {kind}, score double")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    return parts.withColumn("rank", place).where(F.col("rank") <= k).select("q", "rank", "vec_id", "score")

@@ -22,7 +22,7 @@ def _terms(lib, lib_id):
   vocab AS (SELECT term, df, ln((n + 1) / (df + 1)) + 1 AS idf FROM (SELECT term, count(*) AS df FROM tt GROUP BY 1 ORDER BY df DESC, term LIMIT {L.VOCABULARY}), nn)"""
 
 
-def _scores(lib="benchmark", lib_id="item_id", ask="documents", ask_id="doc_id"):
+def scores_sql(lib="benchmark", lib_id="item_id", ask="documents", ask_id="doc_id"):
     return f"""{_terms(lib, lib_id)},
   dt AS (SELECT id, term, (1 + ln(tf)) * idf AS w FROM tt JOIN vocab USING (term)), dn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM dt GROUP BY 1),
   dense AS (SELECT id, term, w / norm AS wd FROM dt JOIN dn USING (id)),
@@ -40,7 +40,7 @@ def _scores(lib="benchmark", lib_id="item_id", ask="documents", ask_id="doc_id")
   top AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY round(fused, 12) DESC, test) AS rank, test, round(dense, 3) AS dense, round(sparse, 3) AS sparse, round(fused, 5) AS fused FROM fused)"""
 
 
-_TERMS, _SCORES = _terms("benchmark", "item_id"), _scores()
+_TERMS, _SCORES = _terms("benchmark", "item_id"), scores_sql()
 
 
 def _search(spark, sf):
@@ -60,7 +60,7 @@ def rrf_topk(spark, sf):
     return _search(spark, sf).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"WITH {_scores('documents', 'doc_id', 'benchmark', 'item_id')} SELECT q, rank, test, dense, sparse, fused FROM top WHERE rank <= {L.TOP_K}")
+@query(f"WITH {scores_sql('documents', 'doc_id', 'benchmark', 'item_id')} SELECT q, rank, test, dense, sparse, fused FROM top WHERE rank <= {L.TOP_K}")
 def rrf_topk_large_library(spark, sf):
     """The other way round: every benchmark item against all documents, a library beyond the vocabulary's size."""
     items, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
@@ -151,13 +151,6 @@ def text_search(spark, sf):
     return table(spark, sf, "documents").where(F.col("text").rlike("(?i)apache|gnu")).select("doc_id", "lang")
 
 
-@query()
-def noise_rule_histogram(spark, sf):
-    """Lines of all documents by the noise rule that takes them; content has the rule null."""
-    rows = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
-    return rows.groupBy(T.noise_rule("line").alias("rule")).agg(F.count("*").alias("n"))
-
-
 @query()
 def clause_split(spark, sf):
     """Clauses of all documents, with offsets into the cleaned text."""

@@ -1,84 +1,52 @@
-"""Language semantics on small corpora of our own, run through both engines."""
+"""Duties of clauses and decisions on withdrawals, on texts made from the parts."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clauseloom.functions import lexicon as L
 from clauseloom.functions import text as T
-from clauseloom.operators import decide
+from clauseloom.operators import decide, retrieve
 
+from .documents import scores_sql
 from .registry import Registry
+from .state import RELATIONS, _q, _rel, _with
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
 
-DUTIES = [
-    (1, "Each branch shall keep a signed register of visitors at the door, and shall hand it to the auditor on request without any delay"),
-    (2, "The officer must count the drawer twice every evening; must note the count in the ledger kept for that purpose, shall report any gap to the manager"),
-    (3, "Branches shall reconcile daily and shall file the sheet"),
-    (4, "A short one shall be, shall it"),
-]
-REFERENCES = [
-    (1, "As told in BRXD Circular No. 7 of 2020, the rules of circular letter no.03 of 2019 shall stand withdrawn."),
-    (2, "CIRCULAR LETTER NO. 12 OF 2018 is superseded."),
-    (3, "Nothing is cited here, yet it is no longer applicable."),
-    (4, "Keep Circular No. 5 of 2021 at hand."),
-]
-LIBRARY = [
-    ("T-1", "Check that the old rule is kept.", "Circular Letter No. 3 of 2019", True),
-    ("T-2", "Check that the second old rule is kept.", "circular letter no 003 of 2019", True),
-    ("T-0", "Check that a closed rule is kept.", "Circular Letter No. 12 of 2018", False),
-]
-DECISIONS = [
-    (1, "amendment", "T-1", "Check that a is kept.", "Check that b is kept.", "0.8"), (2, "merge", "T-1", None, "x", "0.9"), (3, "Amendment", "T-9", "a", "b", "high"),
-    (4, "New", "T-9", None, "Check that c is kept.", "2"), (5, "Deletion", None, None, None, "-1"), (6, "Amendment", " t-2 ", "Check that d.", "check  that d", "0.7"), (7, "NO_ACTION", None, None, None, None),
-]
+RELATIONS["library"] = ("part", ("concat('T-', p_partkey) AS code", "concat('Check that every ', p_name, ' of ', p_brand, ' is kept as circular letter no ', p_size, ' of 2019 says.') AS text"), "p_partkey % 5 < 2")
+RELATIONS["answers"] = ("part", ("p_partkey AS id", """concat('[{"code": "T-', p_size, '", "score": ', p_size % 7, '}, {"code": "', p_brand, '", "score": null}, {"score": ', p_partkey, '}]') AS reply"""), "p_partkey % 3 > 0")
 
 
-def _values(rows):
-    lit = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
-
-
-@query(f"""WITH c(id, text) AS (VALUES {_values(DUTIES)}),
-  m AS (SELECT id, text, regexp_replace(text, '(,\\s*and|;\\s*and|,|;)\\s+(shall|must|may not|is required to|are required to)\\b', '@@\\2', 'gi') AS marked FROM c),
-  p AS (SELECT id, text, list_filter(list_transform(string_split(marked, '@@'), lambda x: trim(x, ' ,;')), lambda x: x <> '') AS parts, trim(string_split(string_split(text, ' shall')[1], ' must')[1]) AS s0 FROM m),
+@query(rf"""{_with('duties')}, l AS (SELECT id, trim(text) AS whole, string_split(trim(text), chr(10)) AS ls FROM duties),
+  c AS (SELECT id, whole, trim(ls[1]) AS text, list_filter(list_transform(ls[2:], lambda x: trim(x)), lambda x: x <> '') AS attached FROM l),
+  m AS (SELECT *, regexp_replace(text, '(,\s*and|;\s*and|,|;)\s+(shall|must|may not|is required to|are required to)\b', '@@\2', 'gi') AS marked FROM c),
+  p AS (SELECT *, list_filter(list_transform(string_split(marked, '@@'), lambda x: trim(x, ' ,;')), lambda x: x <> '') AS parts, trim(regexp_replace(trim(string_split(string_split(text, ' shall')[1], ' must')[1]), {_q(L.LIST_ITEM)}, '')) AS s0 FROM m),
   s AS (SELECT *, CASE WHEN length(s0) > 60 THEN '' ELSE s0 END AS subject FROM p),
-  f AS (SELECT id, text, parts, list_filter(list_concat([parts[1]], list_transform(parts[2:], lambda x: trim(subject || ' ' || x))), lambda x: length(x) >= 40) AS full_parts FROM s),
-  e AS (SELECT id, CASE WHEN len(parts) < 2 OR len(full_parts) < 2 THEN [text] ELSE full_parts[1:6] END AS d FROM f)
+  f AS (SELECT *, list_filter(list_concat([parts[1]], list_transform(parts[2:], lambda x: trim(subject || ' ' || x))), lambda x: length(x) >= {L.MIN_DUTY}) AS full_parts FROM s),
+  e AS (SELECT id, CASE WHEN len(parts) < 2 OR len(full_parts) < 2 THEN [whole] ELSE list_transform(full_parts[1:{L.MAX_DUTIES}], lambda x: array_to_string(list_concat([x], attached), chr(10))) END AS d FROM f)
   SELECT id, generate_subscripts(d, 1) AS nth, unnest(d) AS duty FROM e""")
 def split_duties(spark, sf):
-    rows = spark.createDataFrame(DUTIES, "id long, text string")
-    return rows.select("id", F.posexplode(T.duties("text")).alias("nth", "duty")).select("id", (F.col("nth") + 1).cast("long").alias("nth"), "duty")
-
-
-@query(f"""WITH c(id, text) AS (VALUES {_values(REFERENCES)}), x AS (SELECT id, regexp_extract_all(text, '(?i)Circular(?:\\s+Letter)?\\s*No\\.?\\s*\\d+\\s+of\\s+\\d{{4}}') AS r FROM c)
-  SELECT id, generate_subscripts(r, 1) AS nth, trim(regexp_replace(regexp_replace(regexp_replace(lower(unnest(r)), '[^a-z0-9 ]', ' ', 'g'), '\\bno\\s*0*(\\d+)', 'no \\1', 'g'), '\\s+', ' ', 'g')) AS reference FROM x""")
-def cited_refs(spark, sf):
-    rows = spark.createDataFrame(REFERENCES, "id long, text string")
-    bare = lambda x: F.regexp_replace(T.normal_reference(x), "^.*?(?=circular)", "")
-    each = rows.select("id", F.posexplode(T.cited_references("text")).alias("nth", "reference"))
-    return each.select("id", (F.col("nth") + 1).cast("long").alias("nth"), bare("reference").alias("reference"))
-
-
-@query("""SELECT * FROM (VALUES (1, 'source match', 'T-1', 1, 0.85), (2, 'subject only', NULL, 0, 0.30), (3, 'unnamed', NULL, 0, 0.45)) AS t(id, tier, target, others, confidence)""".replace("0.85", "0.85::DOUBLE").replace("0.30", "0.30::DOUBLE").replace("0.45", "0.45::DOUBLE"))
-def deletion_targets(spark, sf):
-    clauses = spark.createDataFrame(REFERENCES, "id int, text string")
-    library = spark.createDataFrame(LIBRARY, "test_code string, test_description string, source_reference string, is_active boolean")
-    return decide.withdrawal_targets(clauses, library).select("id", "tier", "target", F.col("others").cast("int").alias("others"), "confidence")
-
-
-@query("""SELECT * FROM (VALUES (1, 'Amendment', 'T-1', 0.8::DOUBLE, NULL), (2, 'No action', NULL, 0.5, 'unknown_type'), (3, 'No action', NULL, 0.5, 'invented_code'), (4, 'New', NULL, 1.0, 'stray_code'),
-  (5, 'No action', NULL, 0.0, 'missing_target'), (6, 'No action', NULL, 0.5, 'empty_change'), (7, 'No action', NULL, 0.6, NULL)) AS t(id, change_type, code, confidence, correction)""")
-def grounding_gate(spark, sf):
-    rows = spark.createDataFrame(DECISIONS, "id int, change_type string, code string, existing string, proposed string, confidence string")
-    codes = spark.createDataFrame([(r[0],) for r in LIBRARY], "code string")
-    return decide.ground(rows, codes).select("id", "change_type", "code", "confidence", "correction")
-
-
-@query("""SELECT * FROM (VALUES (1, 'Check that each branch keep a signed register of visitors at the door, and shall hand it to the auditor on request without any delay.', 'Process / Procedure Gap', 'Medium'),
-  (2, 'Check that the officer count the drawer twice every evening; must note the count in the ledger kept for that purpose, shall report any gap to the manager.', 'Implementation Gap', 'High'),
-  (3, 'Check that branches reconcile daily and shall file the sheet.', 'Implementation Gap', 'Medium'), (4, 'Check that a short one shall be, shall it.', 'Implementation Gap', 'Medium')) AS t(id, proposed, root_cause, risk)""")
-def draft_test(spark, sf):
-    rows = spark.createDataFrame(DUTIES, "id int, text string")
-    return rows.select("id", T.draft_test("text").alias("proposed"), T.root_cause("text").alias("root_cause"), T.risk("text").alias("risk"))
+    """The duties of clauses of all kinds, each with the lines attached to its clause."""
+    each = _rel(spark, sf, "duties").select("id", F.posexplode(T.duties("text")).alias("nth", "duty"))
+    return each.select("id", (F.col("nth") + 1).cast("long").alias("nth"), "duty")
+
+
+@query(f"""{_with('cited', 'library')}, {scores_sql('library', 'code', 'cited', 'id')}, best AS (SELECT q, arg_max(struct_pack(test := test, dense := dense), dense - rank * 1e-9) AS b FROM top WHERE rank <= {L.TOP_K} GROUP BY 1),
+  d AS (SELECT q, b.test AS test, b.dense AS dense, CASE WHEN regexp_matches(text, {_q(L.SUPERSESSION)}) THEN 'Deletion' WHEN b.dense >= {L.AMEND_AT} THEN 'Amendment' WHEN b.dense >= {L.NEW_AT} THEN 'New' ELSE 'No action' END AS change_type FROM best JOIN cited ON cited.id = q)
+  SELECT q, test, dense, change_type, CASE change_type WHEN 'Amendment' THEN round(least(0.92, 0.45 + dense * 0.6), 2) WHEN 'New' THEN 0.66 WHEN 'No action' THEN 0.60 END AS confidence FROM d""")
+def decisions_with_withdrawals(spark, sf):
+    """The ladder over clauses some of which withdraw earlier rules: these ask for a Deletion, whatever they resemble."""
+    asked = _rel(spark, sf, "cited")
+    best = decide.best_by_cosine(retrieve.search(asked, _rel(spark, sf, "library").withColumnRenamed("code", "id")))
+    rows = best.join(asked, F.col("q") == F.col("id"))
+    change = decide.ladder(F.col("dense"), F.col("text").rlike(L.SUPERSESSION))
+    return rows.withColumn("change_type", change).withColumn("confidence", decide.ladder_confidence(F.col("change_type"), F.col("dense"))).select("q", "test", "dense", "change_type", "confidence")
+
+
+@query(f"""{_with('answers')}, e AS (SELECT id, unnest(CAST(json_extract(reply, '$[*]') AS JSON[])) AS x FROM answers)
+  SELECT id, json_extract_string(x, '$.code') AS code, CAST(json_extract_string(x, '$.score') AS BIGINT) AS score FROM e""")
+def json_arrays(spark, sf):
+    """Each object of a JSON array as a row, with nulls for what it lacks."""
+    return _rel(spark, sf, "answers").select("id", F.inline(F.from_json("reply", "array<struct<code:string,score:bigint>>"))).select("id", "code", "score")

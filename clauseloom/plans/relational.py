@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions import text as T
-from clauseloom.operators import review, segment
+from clauseloom.operators import retrieve, review, segment
 
 from .registry import Registry, table
 
@@ -145,14 +145,8 @@ def sessions(spark, sf):
   r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM s) SELECT q, rank, vec_id, score FROM r WHERE rank <= 8""")
 def cosine_topk_embeddings(spark, sf):
     """Eight nearest vectors of a stated query set, against all rows."""
-    rows = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("e").alias("eq"))
-    met = rows.join(asked, F.col("vec_id") != F.col("q"))
-    dot = F.aggregate(F.zip_with("e", "eq", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = met.select("q", "vec_id", F.round(dot / (norm(F.col("e")) * norm(F.col("eq"))), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank.cast("long")).where("rank <= 8").select("q", "rank", "vec_id", "score")
+    rows = table(spark, sf, "embeddings")
+    return retrieve.nearest(rows.where("vec_id % 20 = 0"), rows, 8).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id AS proposal_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k,

@@ -139,11 +139,6 @@ def annexure_rows(spark, sf):
     return exports.annexure(_rel(spark, sf, "props"))
 
 
-@query("WITH v(\"column\", name, vals) AS (VALUES " + ", ".join(f"({k}, {_q(n)}, [{', '.join(map(_q, v))}])" for k, (n, v) in enumerate(L.VOCABULARIES, 1)) + ") SELECT \"column\", name, generate_subscripts(vals, 1) - 1 AS place, unnest(vals) AS value FROM v")
-def vocabulary_columns(spark, sf):
-    return exports.vocabularies(spark).select(F.col("column").cast("long").alias("column"), "name", F.col("place").cast("long").alias("place"), "value")
-
-
 @query(f"""{_with('props')} SELECT id, CASE change_type WHEN 'Deletion' THEN concat('Remove — ', coalesce(existing_test, '(test wording not recorded)')) ELSE proposed_test END AS cell,
   CASE change_type WHEN 'New' THEN concat('New test ', sr_no) WHEN 'Amendment' THEN 'Covered in ' || target_code || ' — amended' WHEN 'Deletion' THEN concat('Deletion — ', coalesce(nullif(target_code, ''), 'affected tests'), ' withdrawn') ELSE 'Information' END AS note,
   {_RISK} AS risk, {_KIND} AS kind FROM props""")
@@ -312,10 +307,22 @@ def _heading(t):
     return f"({t} <> '' AND NOT regexp_matches({t}, {_q(L.SENTENCE_END)}) AND len(regexp_extract_all({t}, {_WORDS})) <= {L.HEADING_WORDS} AND {shape})"
 
 
-@query(f"""{_with('lines')}, t AS (SELECT id, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS t FROM lines), n AS (SELECT *, len(string_split(t, ' ')) AS n, regexp_replace(regexp_extract(t, {_q(L.CONTENTS_ENTRY)}, 1), ':+\\s*$', '') AS head FROM t)
-  SELECT id, CASE WHEN length(t) < {L.MIN_FRAGMENT} THEN 'too short' WHEN regexp_matches(t, {_q(L.EMAIL_HEADER)}) AND n <= 20 THEN 'email header' WHEN regexp_matches(t, {_q(L.PAGE_FURNITURE)}) THEN 'page number' WHEN regexp_matches(t, {_q(L.SIGNATURE)}) THEN 'signature'
-    WHEN regexp_matches(t, {_q(L.SALUTATION)}) AND n <= 6 THEN 'salutation' WHEN regexp_matches(t, {_q(L.SIGN_OFF)}) THEN 'sign-off' WHEN regexp_matches(t, {_q(L.CONTENTS_ENTRY)}) AND {_heading('head')} THEN 'contents entry' WHEN {_heading('t')} THEN 'heading' END AS rule,
-    {_heading('t')} AS heading, len(regexp_extract_all(t, {_WORDS})) AS words FROM n""")
+_NOISE = f"""CASE WHEN length(t) < {L.MIN_FRAGMENT} THEN 'too short' WHEN regexp_matches(t, {_q(L.EMAIL_HEADER)}) AND n <= 20 THEN 'email header' WHEN regexp_matches(t, {_q(L.PAGE_FURNITURE)}) THEN 'page number' WHEN regexp_matches(t, {_q(L.SIGNATURE)}) THEN 'signature'
+    WHEN regexp_matches(t, {_q(L.SALUTATION)}) AND n <= 6 THEN 'salutation' WHEN regexp_matches(t, {_q(L.SIGN_OFF)}) THEN 'sign-off' WHEN regexp_matches(t, {_q(L.CONTENTS_ENTRY)}) AND {_heading('head')} THEN 'contents entry' WHEN {_heading('t')} THEN 'heading' END"""
+
+
+def _flat_lines(source: str) -> str:
+    return f"t AS (SELECT id, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS t FROM {source}), n AS (SELECT *, len(string_split(t, ' ')) AS n, regexp_replace(regexp_extract(t, {_q(L.CONTENTS_ENTRY)}, 1), ':+\\s*$', '') AS head FROM t)"
+
+
+@query(f"WITH x AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line FROM documents), {_flat_lines('x')} SELECT {_NOISE} AS rule, count(*) AS n FROM n GROUP BY 1")
+def noise_rule_histogram(spark, sf):
+    """Lines of all documents by the noise rule that takes them; content has the rule null."""
+    rows = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return rows.groupBy(T.noise_rule("line").alias("rule")).agg(F.count("*").alias("n"))
+
+
+@query(f"{_with('lines')}, {_flat_lines('lines')} SELECT id, {_NOISE} AS rule, {_heading('t')} AS heading, len(regexp_extract_all(t, {_WORDS})) AS words FROM n")
 def noise_rules(spark, sf):
     """Every rule that makes a line structural noise, on lines of all kinds."""
     return _rel(spark, sf, "lines").select("id", T.noise_rule("line").alias("rule"), T.looks_like_heading(T.flat("line")).alias("heading"), T.word_count(T.flat("line")).cast("long").alias("words"))

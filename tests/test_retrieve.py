@@ -82,3 +82,16 @@ def test_stored_index(spark, tmp_path):
 def test_searched_fields(spark):
     df = spark.createDataFrame([("a", None, "c", "d", "e", "no")], "test_description string, exception_description string, strata string, department string, source_reference string, other string")
     assert df.select(index.searchable(df.columns).alias("t")).first().t.split() == ["a", "c", "d", "e"]
+
+
+def test_nearest_in_blocks(spark):
+    rng = Random(8)
+    rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(6)]) for i in range(200)] + [(200, None), (201, [0.0] * 6), (202, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (203, [float("nan")] * 6), (204, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in retrieve.nearest(df.where("vec_id % 3 = 0"), df, 5, 16, 32).orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append((r.vec_id, r.score))
+    good = {i: v for i, v in rows if v and len(v) == 6 and None not in v and any(v) and not any(map(math.isnan, v))}
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a)) / math.sqrt(sum(x * x for x in b)), 6)
+    want = {q: sorted(((i, cos(v, good[q])) for i, v in good.items() if i != q), key=lambda x: (-x[1], x[0]))[:5] for q in good if q % 3 == 0}
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
