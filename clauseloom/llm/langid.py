@@ -14,20 +14,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import texts_of
 
 SEGMENT = 1024
-_GAP = re.compile(r"[\W\d_]+")
+#: Between the words of a text in ASCII, and a word of any other: letters, with the marks that stand on them.
+_GAP, _WORD = re.compile(r"[\W\d_]+"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Letters are numbered from 1; 0 stands for a letter no training text has.
 _NONE = -1
 
 
 def letters(text: str | None) -> str:
-    """Lower-case letters; everything between two words becomes one space."""
-    return _GAP.sub(" ", (text or "").lower()).strip()
+    """Lower-case words, with one space between two: letters (L*) and the marks (M*) that follow them in a word.
+
+    Numbers of any kind (digits, fractions, Roman numeral signs) are no letters.
+    """
+    low = (text or "").lower()
+    return _GAP.sub(" ", low).strip() if low.isascii() else " ".join(_WORD.findall(low))
 
 
 class SuffixAutomaton:

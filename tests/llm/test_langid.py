@@ -65,3 +65,11 @@ def test_odd_rows(spark):
     none = docs.limit(0)
     assert L.identify(none, L.train(none)).collect() == []
     assert {r.lang_pred for r in L.identify(docs, L.train(none)).collect()} == {"und"}
+
+
+def test_numbers_are_no_letters_and_marks_stay_in_words():
+    assert [L.letters(t) for t in ("½ ②", "Ⅷ", "1_2", "́ ́")] == [""] * 4
+    assert L.letters("हिन्दी भाषा, 12!") == "हिन्दी भाषा" and L.letters("ภาษาไทยที่นี่ ๕๖") == "ภาษาไทยที่นี่"
+    assert L.letters("Don't_stop ²x É́a") == "don t stop x é́a" and L.letters("ABC-def 9") == "abc def"
+    model = L.LanguageModel({"hi": ["हिन्दी भाषा में"], "th": ["ภาษาไทย"], "en": ["plain words"]})
+    assert [p[0] for p in model.predict(["½ ②", "Ⅷ", "", None, "भाषा हिन्दी", "ไทยภาษา", "words"])] == ["und"] * 4 + ["hi", "th", "en"]
