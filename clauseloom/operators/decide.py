@@ -82,7 +82,9 @@ def propose(obligations: DataFrame, library: DataFrame, day: str) -> DataFrame:
     """A proposal row for each obligation (id, text): decision, wording, routing, serial and candidates.
 
     ``library`` has test_code, test_description, source_reference, strata, department,
-    exception_code, is_active, and exception_description if it is to be searched; ``day`` dates the serials, which run within each subject.
+    exception_code, is_active, and exception_description if it is to be searched; the test that a
+    proposal acts on is shown as it stands now (``existing``, ``before``), and only if it is on the
+    shortlist that was weighed.  ``day`` dates the serials, which run within each subject.
     """
     tests = library.where("is_active").select(F.col("test_code").alias("id"), index.searchable(library.columns).alias("text"))
     found = retrieve.search(obligations.select("id", "text"), tests)
@@ -92,16 +94,20 @@ def propose(obligations: DataFrame, library: DataFrame, day: str) -> DataFrame:
     rows = obligations.join(best, obligations["id"] == best["q"], "left").drop("q").join(shown, obligations["id"] == shown["q"], "left").join(targets, F.col("id") == F.col("w"), "left")
     change = ladder(F.coalesce("dense", F.lit(0.0)), F.col("w").isNotNull(), F.col("test").isNotNull())
     rows = rows.withColumn("change_type", change).withColumn("code", F.when(change == "Deletion", F.coalesce("target", "test")).when(change == "Amendment", F.col("test")))
-    known = library.select(F.col("test_code").alias("code"), F.col("test_description").alias("existing"), F.col("exception_code").alias("exception_code"), F.col("department").alias("owner"))
-    rows = rows.join(known, "code", "left")
+    frozen = [c for c in ("exception_code", "exception_description", "strata", "department", "risk_rating", "source_reference") if c in library.columns]
+    known = library.groupBy(F.col("test_code").alias("code")).agg(F.max_by(F.struct("test_description", *frozen), F.struct(*frozen, "test_description")).alias("held"))
+    rows = rows.join(known, "code", "left").withColumn("held", F.when(F.exists("candidates", lambda c: c["test"] == F.col("code")), F.col("held")))
+    owners = library.groupBy(F.col("test_code").alias("test")).agg(F.max("department").alias("owner"))
+    rows = rows.join(owners, "test", "left")
     subject = T.strata("text")
     proposed = F.when(F.col("change_type").isin("Amendment", "New"), T.draft_test("text"))
     index = F.dense_rank().over(Window.partitionBy(subject).orderBy("id"))
     return rows.select(
-        "id", T.serial(F.lit(day).cast("date"), index, subject).alias("sr_no"), "change_type", "code", "existing", "exception_code",
+        "id", T.serial(F.lit(day).cast("date"), index, subject).alias("sr_no"), "change_type", "code", F.col("held.test_description").alias("existing"), F.col("held.exception_code").alias("exception_code"),
         proposed.alias("proposed"), T.exception_wording(proposed).alias("proposed_exception"), subject.alias("strata"),
         T.department(subject, F.col("owner")).alias("department"), T.risk("text").alias("risk"), T.root_cause("text").alias("root_cause"),
         F.coalesce("confidence", ladder_confidence(F.col("change_type"), F.col("dense"))).alias("confidence"), F.slice("candidates", 1, 6).alias("candidates"),
+        F.struct(*(F.col(f"held.{c}").alias(c) for c in frozen)).alias("before"),
     )
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions import lexicon as L
 from clauseloom.functions import text as T
-from clauseloom.operators import decide, retrieve
+from clauseloom.operators import decide, diagnose, exports, retrieve
 
 from .documents import scores_sql
-from .registry import Registry
-from .state import RELATIONS, _q, _rel, _with
+from .registry import Registry, table
+from .state import ORACLES as ORACLES_OF_STATE
+from .state import RELATIONS, _q, _rel, _with, grounded_decisions
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -19,13 +20,16 @@ RELATIONS["library"] = ("part", ("concat('T-', p_partkey) AS code", "concat('Che
 RELATIONS["answers"] = ("part", ("p_partkey AS id", """concat('[{"code": "T-', p_size, '", "score": ', p_size % 7, '}, {"code": "', p_brand, '", "score": null}, {"score": ', p_partkey, '}]') AS reply"""), "p_partkey % 3 > 0")
 
 
-@query(rf"""{_with('duties')}, l AS (SELECT id, trim(text) AS whole, string_split(trim(text), chr(10)) AS ls FROM duties),
+_DUTIES = rf"""{_with('duties')}, l AS (SELECT id, trim(text) AS whole, string_split(trim(text), chr(10)) AS ls FROM duties),
   c AS (SELECT id, whole, trim(ls[1]) AS text, list_filter(list_transform(ls[2:], lambda x: trim(x)), lambda x: x <> '') AS attached FROM l),
   m AS (SELECT *, regexp_replace(text, '(,\s*and|;\s*and|,|;)\s+(shall|must|may not|is required to|are required to)\b', '@@\2', 'gi') AS marked FROM c),
   p AS (SELECT *, list_filter(list_transform(string_split(marked, '@@'), lambda x: trim(x, ' ,;')), lambda x: x <> '') AS parts, trim(regexp_replace(trim(string_split(string_split(text, ' shall')[1], ' must')[1]), {_q(L.LIST_ITEM)}, '')) AS s0 FROM m),
   s AS (SELECT *, CASE WHEN length(s0) > 60 THEN '' ELSE s0 END AS subject FROM p),
   f AS (SELECT *, list_filter(list_concat([parts[1]], list_transform(parts[2:], lambda x: trim(subject || ' ' || x))), lambda x: length(x) >= {L.MIN_DUTY}) AS full_parts FROM s),
-  e AS (SELECT id, CASE WHEN len(parts) < 2 OR len(full_parts) < 2 THEN [whole] ELSE list_transform(full_parts[1:{L.MAX_DUTIES}], lambda x: array_to_string(list_concat([x], attached), chr(10))) END AS d FROM f)
+  e AS (SELECT id, CASE WHEN len(parts) < 2 OR len(full_parts) < 2 THEN [whole] ELSE list_transform(full_parts[1:{L.MAX_DUTIES}], lambda x: array_to_string(list_concat([x], attached), chr(10))) END AS d FROM f)"""
+
+
+@query(f"""{_DUTIES}
   SELECT id, generate_subscripts(d, 1) AS nth, unnest(d) AS duty FROM e""")
 def split_duties(spark, sf):
     """The duties of clauses of all kinds, each with the lines attached to its clause."""
@@ -50,3 +54,29 @@ def decisions_with_withdrawals(spark, sf):
 def json_arrays(spark, sf):
     """Each object of a JSON array as a row, with nulls for what it lacks."""
     return _rel(spark, sf, "answers").select("id", F.inline(F.from_json("reply", "array<struct<code:string,score:bigint>>"))).select("id", "code", "score")
+
+
+@query(f"""{_DUTIES}, v AS (SELECT id, len(regexp_extract_all(text, {_q(L.OBLIGATION)})) AS verbs FROM duties) SELECT id, verbs FROM v JOIN e USING (id) WHERE verbs > 1 AND len(d) = 1""")
+def missed_joins(spark, sf):
+    """Clauses with several duty verbs in which only one duty was found."""
+    return diagnose.missed_joins(_rel(spark, sf, "duties"))
+
+
+@query(f"SELECT correction, count(*) AS n FROM ({ORACLES_OF_STATE['grounded_decisions']}) GROUP BY 1")
+def correction_histogram(spark, sf):
+    """How often each kind of correction was made to a decision."""
+    return grounded_decisions(spark, sf).groupBy("correction").agg(F.count("*").alias("n"))
+
+
+@query(f"{_with('props')} SELECT clause_id, max(id) AS id, arg_max(change_type, id) AS change_type, arg_max(status, id) AS status FROM props GROUP BY 1")
+def last_proposal_of_clause(spark, sf):
+    """The proposal that stands for a clause: the last one made."""
+    last = F.max_by(F.struct("id", "change_type", "status"), "id").alias("p")
+    return _rel(spark, sf, "props").groupBy("clause_id").agg(last).select("clause_id", "p.*")
+
+
+@query("SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 8 AS BIGINT) AS batch FROM orders")
+def batches_of_eight(spark, sf):
+    """Batches over the whole stream of orders, numbered by ranges of keys."""
+    rows = exports.numbered(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 0)
+    return rows.select("o_orderkey", F.floor(F.col("number") / 8).cast("bigint").alias("batch"))

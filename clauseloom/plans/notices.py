@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clauseloom.functions import text as T
-from clauseloom.operators import segment
+from clauseloom.operators import diagnose, segment
 
 from .registry import Registry
 from .state import RELATIONS, _rel, _with
@@ -65,15 +65,29 @@ _TEMPLATES = [
     (f"concat('NOTICE ', p_size, ' TO ALL OFFICES OF ', upper(p_brand), {_GAP}, 'Page 7')",
      [("NULL", "concat('NOTICE ', p_size, ' TO ALL OFFICES OF ', upper(p_brand))", "concat('NOTICE ', p_size, ' TO ALL OFFICES OF ', upper(p_brand))", "none", None)],
      [("concat('NOTICE ', p_size, ' TO ALL OFFICES OF ', upper(p_brand))", "heading"), ("'Page 7'", "too short")]),
+    # a marked table that the clause above points to, and what follows it
+    (f"concat('1. Branches shall keep the ', p_name, ' limits given below:', {_NL}, '[table]', {_NL}, '[row 1] Town | ', p_size, {_NL}, '[row 2] Village | 7', {_NL}, '[/table]', {_NL}, 'They are checked each day.')",
+     [("'1'", f"concat('1. Branches shall keep the ', p_name, ' limits given below:', {_NL}, 'Town | ', p_size, {_NL}, 'Village | 7', {_NL}, 'They are checked each day.')", "text", "obligation", None)], []),
+    # one that nothing points to, with a cell of two lines
+    (f"concat('The ', p_name, ' register is kept in the vault of the branch.', {_GAP}, '[table]', {_NL}, '[row 1] Town branches | ', p_size, {_NL}, '[row 2] Village branches', {_NL}, 'and agents | 7', {_NL}, '[/table]', {_GAP}, 'Staff must sign the ', p_name, ' register.')",
+     [("NULL", "concat('The ', p_name, ' register is kept in the vault of the branch.')", "concat('The ', p_name, ' register is kept in the vault of the branch.')", "none", None),
+      ("'table'", f"concat('Town branches | ', p_size, {_NL}, 'Village branches and agents | 7')", f"concat('Town branches | ', p_size, {_NL}, '[row 2] Village branches', {_NL}, 'and agents | 7')", "none", None),
+      ("NULL", "concat('Staff must sign the ', p_name, ' register.')", "concat('Staff must sign the ', p_name, ' register.')", "obligation", None)], []),
+    # a table of requirements is a clause for each row
+    (f"concat('[table]', {_NL}, '[row 1] A-1 | Every branch of the town shall report its ', p_name, ' to the office at once | 01-Oct', {_NL}, '[row 2] Second | Staff must count the cash of the day in the evening before they go home | ', p_size, {_NL}, '[/table]', {_NL}, 'Loans of the ', p_name, ' are made by the branches.')",
+     [("'A-1'", "concat('A-1 | Every branch of the town shall report its ', p_name, ' to the office at once | 01-Oct')", "concat('A-1 | Every branch of the town shall report its ', p_name, ' to the office at once | 01-Oct')", "obligation", None),
+      ("'row 2'", "concat('Second | Staff must count the cash of the day in the evening before they go home | ', p_size)", "concat('Second | Staff must count the cash of the day in the evening before they go home | ', p_size)", "obligation", None),
+      ("NULL", "concat('Loans of the ', p_name, ' are made by the branches.')", "concat('Loans of the ', p_name, ' are made by the branches.')", "none", None)], []),
     # and a document of which nothing is left
     (f"concat('Page ', p_size)", [], [("concat('Page ', p_size)", "too short")]),
 ]
 
 RELATIONS["notices"] = ("part", ("p_partkey AS doc_id", f"CASE p_partkey % {len(_TEMPLATES)} " + " ".join(f"WHEN {k} THEN {t[0]}" for k, t in enumerate(_TEMPLATES)) + " END AS text", "p_name", "p_brand", "p_size"), "true")
 
+_ROUGH = next(k for k, t in enumerate(_TEMPLATES) if "TO ALL OFFICES" in t[0])
 _S = lambda v: "NULL" if v is None else f"'{v}'"
 _CLAUSES = " UNION ALL ".join(
-    f"SELECT doc_id, {n} AS sequence, {ref} AS clause_ref, {text} AS text, {source} AS source, {_S(verdict)} AS verdict, {_S(rescued)} AS rescued_by, '{'obligation-lines' if k == 10 else 'structure'}' AS rung FROM notices WHERE doc_id % {len(_TEMPLATES)} = {k}"
+    f"SELECT doc_id, {n} AS sequence, {ref} AS clause_ref, {text} AS text, {source} AS source, {_S(verdict)} AS verdict, {_S(rescued)} AS rescued_by, '{'obligation-lines' if k == _ROUGH else 'structure'}' AS rung FROM notices WHERE doc_id % {len(_TEMPLATES)} = {k}"
     for k, (_, found, _) in enumerate(_TEMPLATES)
     for n, (ref, text, source, verdict, rescued) in enumerate(found, 1)
 )
@@ -115,3 +129,31 @@ def notice_duties(spark, sf):
     _, found, _ = _found(spark, sf)
     rows = segment.obligations(found)
     return rows.select("doc_id", F.col("clause").cast("long").alias("clause"), F.col("sequence").cast("long").alias("sequence"), "text")
+
+
+_SPANS = f"""c AS ({_CLAUSES}), s AS (SELECT doc_id, strpos(n.text, source) - 1 AS a, strpos(n.text, source) - 1 + length(source) AS b FROM c JOIN notices n USING (doc_id)),
+  r AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+  i AS (SELECT *, sum(CASE WHEN reach >= a THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY a, b) AS island FROM r), m AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM i GROUP BY doc_id, island)"""
+
+
+@query(f"""{_with('notices')}, {_SPANS}, k AS (SELECT doc_id, sum(b - a) AS covered FROM m GROUP BY 1)
+  SELECT doc_id, length(text) AS size, CAST(coalesce(covered, 0) AS BIGINT) AS covered, round(100.0::DOUBLE * coalesce(covered, 0) / greatest(length(text), 1), 1) AS percent FROM notices LEFT JOIN k USING (doc_id)""")
+def notice_coverage(spark, sf):
+    """How much of each notice ended up inside a clause."""
+    docs, found, _ = _found(spark, sf)
+    return diagnose.captured(docs.select("doc_id", T.clean("text").alias("text")), found)
+
+
+@query(f"""{_with('notices')}, {_SPANS}, g AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM m UNION ALL SELECT doc_id, coalesce(e, 0), length(text) FROM notices LEFT JOIN (SELECT doc_id, max(b) AS e FROM m GROUP BY 1) USING (doc_id)),
+  t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y - x DESC, x) AS rank FROM g WHERE y - x > 6)
+  SELECT doc_id, rank, x AS char_start, y AS char_end, replace(substring(text, x + 1, least(y - x, 120)), chr(10), ' / ') AS excerpt FROM t JOIN notices USING (doc_id) WHERE rank <= 5""")
+def notice_gaps(spark, sf):
+    """The longest stretches of each notice that became no clause."""
+    docs, found, _ = _found(spark, sf)
+    return diagnose.gaps(docs.select("doc_id", T.clean("text").alias("text")), found, least=6)
+
+
+@query(f"{_with('notices')}, d AS ({_DROPS}) SELECT doc_id, rule, count(*) AS n FROM d GROUP BY ALL")
+def notice_drop_histogram(spark, sf):
+    """What each noise rule took of each notice."""
+    return diagnose.by_rule(_found(spark, sf)[2])
