@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import settle
 
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
+#: A text with a quoted line.
+QUOTES = r"(?:^|[\r\n])[ \t]*>"
 #: Endings of the line that introduces a quotation.
 ATTRIBUTION = r"(?i)^.{0,300}\b(wrote|writes|schrieb|a écrit|escribió) ?:[ \t]*$"
 
@@ -24,8 +26,8 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(plain, r"^[ .,;:!?…]+|[ .,;:!?…]+$", "")
 
 
-def _hash(text: Column) -> Column:
-    return F.when(normalised(text) != "", F.xxhash64(normalised(text), F.length(normalised(text))))
+def _hash(normal: Column) -> Column:
+    return F.when(normal != "", F.xxhash64(normal, F.length(normal)))
 
 
 def _held(df: DataFrame, **columns: Column) -> DataFrame:
@@ -33,11 +35,14 @@ def _held(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
-def passages(messages: DataFrame) -> DataFrame:
-    """Add ``__passages__``: array of (nth, level, body, lines) in order; level -1 introduces a quotation."""
+def passages(messages: DataFrame, quoting_only: bool = False) -> DataFrame:
+    """Add ``__passages__``: array of (nth, level, body, lines) in order; level -1 introduces a quotation.
+
+    With ``quoting_only`` a text without quoted lines is not cut up: it has one empty passage.
+    """
     line, levels, bodies, starts = (F.col(c) for c in ("__lines__", "__levels__", "__bodies__", "__starts__"))
     level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), "[^>]", ""))
-    out = _held(messages, __lines__=F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n"), "\n"))
+    out = _held(messages, __lines__=F.split(F.regexp_replace(F.coalesce(F.when(F.col("text").rlike(QUOTES), F.col("text")) if quoting_only else "text", F.lit("")), r"\r\n?", "\n"), "\n"))
     out = _held(out, __levels__=F.transform(line, level), __bodies__=F.transform(line, lambda x: F.regexp_replace(x, MARKS, "")))
     intro = lambda x, i: (levels[i] == 0) & (F.get(levels, i + 1) > 0) & x.rlike(ATTRIBUTION)
     out = _held(out, __kinds__=F.transform(line, lambda x, i: F.when(F.coalesce(intro(x, i), F.lit(False)), -1).otherwise(levels[i])))
@@ -60,12 +65,16 @@ def quote_links(messages: DataFrame) -> DataFrame:
     says most of its lines by length (ties: the later).  ``original_turn`` is null where no
     earlier message does.  Rows of one conv_id and turn are parts of one message.
     """
-    cut = passages(messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", "text"))
+    named = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", "text")
+    quoting = named.where(F.col("text").rlike(QUOTES)).select("conv_id").distinct()  # only these conversations can link
+    cut = passages(named.join(quoting, "conv_id", "left_semi"))
     each = cut.select("conv_id", "turn", F.explode("__passages__").alias("p")).select("conv_id", "turn", "p.*")
-    keyed = each.withColumn("whole", _hash(F.col("body"))).withColumn(
+    line = lambda x: F.struct(normalised(x).alias("normal"), F.length(x).alias("size"))
+    each = _held(each, whole=_hash(normalised(F.col("body"))), normals=F.transform("lines", line))
+    keyed = each.withColumn(
         "keys",
         F.array_append(
-            F.transform(F.filter("lines", lambda x: normalised(x) != ""), lambda x: F.struct(_hash(x).alias("key"), F.length(x).alias("size"), F.lit(False).alias("all"))),
+            F.transform(F.filter("normals", lambda x: x["normal"] != ""), lambda x: F.struct(_hash(x["normal"]).alias("key"), x["size"].alias("size"), F.lit(False).alias("all"))),
             F.struct(F.col("whole").alias("key"), F.length("body").alias("size"), F.lit(True).alias("all")),
         ),
     )
@@ -85,7 +94,8 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     ``reply_to`` is the turn this message quotes most at its lowest linked level (ties: the
     later), ``thread`` the first message up that chain and ``depth`` the replies up to it.
     Sorted by (conv_id, thread, turn), each reply follows its original.  A null text stays null,
-    rows with a null conv_id or turn reply to nothing, and an empty table gives none.
+    rows with a null conv_id or turn reply to nothing, texts of any length are read whole, and an
+    empty table gives none.
     """
     links = settle(quote_links(messages))
     counts = links.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"), F.count("original_turn").alias("n_linked"))
@@ -103,8 +113,9 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     own = ["reply_to", "thread", "depth", "n_quotes", "n_linked"]
     kept = [c for c in messages.columns if c not in own]
     body = F.array_join(F.transform(F.filter("__passages__", lambda p: p["level"] == 0), lambda p: p["body"]), "\n")
-    body = F.when(F.col("text").isNotNull(), F.regexp_replace(F.regexp_replace(body, r"\n{3,}", "\n\n"), r"^\s+|\s+$", ""))
-    plain = passages(messages.select(*kept)).withColumn("text", body).drop("__passages__")
+    body = F.when(F.col("text").rlike(QUOTES), body).otherwise(F.regexp_replace("text", r"\r\n?", "\n"))
+    body = F.regexp_replace(F.regexp_replace(body, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    plain = passages(messages.select(*kept), quoting_only=True).withColumn("text", body).drop("__passages__")
     right = counts.join(up, ["conv_id", "turn"], "left").select(F.col("conv_id").alias("__c__"), F.col("turn").alias("__t__"), "reply_to", "up", "depth", "n_quotes", "n_linked")
     out = plain.join(right, (F.col("conv_id") == F.col("__c__")) & (F.col("turn") == F.col("__t__")), "left")
     zero = F.lit(0).cast("long")
