@@ -26,8 +26,8 @@ from .common import connected_components, group_bounds, map_slices, settle, stor
 SEED = 42
 #: Odd multipliers that derive further 64-bit families from one shingle hash.
 _STEP = 0x9E3779B97F4A7C15
-#: Keys of two min-hashes by which large families of near copies are joined first.
-MINS = 3
+#: Keys of two min-hashes: texts of similarity 0.8 share one of them with a probability of 1 - (1 - 0.8 ** 2) ** MINS, 0.994.
+MINS = 5
 #: Bins of a set's sketch, two bytes each, whatever the length of the text.
 BINS = 256
 
@@ -82,7 +82,7 @@ def sketch(hashes: np.ndarray, family: int) -> bytes:
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     """Whether the sets of sketches ``a`` and ``b`` (rows of BINS) may have that Jaccard similarity.
 
-    The share of equal bins, one shingle of the union drawn from each, estimates it; four
+    The share of equal bins, one shingle of the union drawn from each, estimates it; three
     standard deviations less will do.
     """
     out = np.zeros(len(a), bool)
@@ -91,7 +91,7 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
         either = np.maximum(((x > 0) | (y > 0)).sum(axis=1), 1)
         share = ((x == y) & (x > 0)).sum(axis=1) / either
         union = -BINS * np.log1p(-np.minimum(either, BINS - 0.5) / BINS)  # shingles that fill so many bins
-        out[k : k + 4_096] = share >= similarity - 4 * np.sqrt(similarity * (1 - similarity) * np.maximum(1 / either - 1 / union, 0))
+        out[k : k + 4_096] = share >= similarity - 3 * np.sqrt(similarity * (1 - similarity) * np.maximum(1 / either - 1 / union, 0))
     return out
 
 
@@ -230,18 +230,17 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 2) -> Da
     return fps.join(whole, "fp", "left")
 
 
-#: Blocks of 31 bits, two in each family's word; a group up to SMALL is compared in full at once, a crowd by cells of about 2 * _SIDE members.
+#: Blocks of 31 bits, two in each family's word; an anchor's group up to SMALL is compared in full, a group of a min-hash key by cells of about 2 * _SIDE members.
 _BLOCK, SMALL, _SIDE = 31, 8, 512
 
 
 def _candidates(classes: DataFrame, families: int) -> DataFrame:
-    """Rows (a, b, crowd): pairs of classes (id, fp array, label) that share an anchor in some block and look alike.
+    """Rows (a, b): pairs of classes (id, fp array, label) that share an anchor in some block and look alike.
 
     Only classes of different labels are paired.  Alike: at most 22 of 64 bits of another family
-    differ.  In a group beyond SMALL, a crowd, each member is paired with the first and with its
-    neighbours in the order of that word, so a large family of copies gives links in proportion
-    to its size; rows with ``crowd`` hold up to _SIDE of its members (a: key, b: number of the
-    row, crowd: ids), whose other pairs :func:`_across` compares.
+    differ.  In a group beyond SMALL each member is paired with the first and with its neighbours
+    in the order of that word, so the pairs of an anchor are in proportion to its members, however
+    many meet there by chance in a large corpus.
     """
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,24 +271,22 @@ def _candidates(classes: DataFrame, families: int) -> DataFrame:
                 order = s + np.argsort(other[s : s + n], kind="stable")
                 a += [np.full(n - 1, s), order[:-1], order[:-2]]
                 b += [np.arange(s + 1, s + n), order[1:], order[2:]]
-                crowd = [ids[k : min(k + _SIDE, s + n)] for k in range(s, s + n, _SIDE)]
-                yield pd.DataFrame({"a": pdf["key"].iloc[s], "b": np.arange(len(crowd)), "crowd": crowd})
             if a:
                 i, j = np.concatenate(a), np.concatenate(b)
                 near = (np.bitwise_count(other[i] ^ other[j]) <= 22) & (label[i] != label[j])
                 one, two = ids[i[near]], ids[j[near]]
-                yield pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two)}).drop_duplicates().assign(crowd=None)
+                yield pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two)}).drop_duplicates()
 
     rows = classes.select("id", "fp", "label").mapInPandas(spread, "key bigint, other bigint, id bigint, label bigint")
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInPandas(pair, "a bigint, b bigint, crowd array<bigint>").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInPandas(pair, "a bigint, b bigint").distinct()
 
 
 def _across(members: DataFrame, most: int, similarity: float) -> DataFrame:
-    """Rows (a, b): pairs in a crowd, members (key, id, fp, sketch, component), of two components that look alike.
+    """Rows (a, b): pairs in a group, members (key, id, fp, sketch, component), of two components that look alike.
 
     Alike: at most ``most`` bits of their words differ, and their sketches do not exclude the
-    ``similarity``.  A crowd is cut into parts by a hash, and every two parts meet in a task of their own.
-    Crowds that are one component already are left out.
+    ``similarity``.  A group is cut into parts by a hash, and every two parts meet in a task of their own.
+    Groups that are one component already are left out.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     parts = F.ceil(F.col("n") / _SIDE).cast("int")
@@ -320,22 +317,21 @@ def _across(members: DataFrame, most: int, similarity: float) -> DataFrame:
 def near_duplicate_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, families: int = 4) -> DataFrame:
     """Rows (doc_id, component_id): documents linked by a Jaccard similarity of their shingles.
 
-    Texts that share two min-hashes are compared with the first of them, which joins large
+    Texts that share a key of two min-hashes are compared with the first of them, which joins large
     families of near copies with as many comparisons as members.  Then anchors of the blocks of
-    ``families`` SimHash words propose pairs, the whole words and the sketches of the sets drop
-    those that are clearly apart, and exact Jaccard similarity on sets of ``words``-word
-    shingles decides.  Texts with equal sets of shingles are one class.  Null and empty
-    texts are one group; repeated rows stay rows; an empty table gives none.
+    ``families`` SimHash words propose pairs.  What is still apart and shares a min-hash key is
+    compared in full, as the first of many texts of one template need not be like any other.
+    Whole words and sketches of the sets drop pairs that are clearly apart, and exact Jaccard
+    similarity on sets of ``words``-word shingles decides.  Texts with equal sets of shingles are one class.  Null
+    and empty texts are one group; texts of any length are read whole; repeated rows stay rows;
+    other columns are ignored; an empty table gives none.
     """
     fps = stored(simhash(docs, words, families, sets=True))
     classes = settle(fps.groupBy("shingles").agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.first("fp").alias("fp"), F.first("mins").alias("mins"), F.first("sketch").alias("sketch")).where("id is not null"))
     keyed = classes.select("id", F.explode("mins").alias("key"))
     leaders = stored(keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"))
     early = keyed.join(leaders, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    so_far = settle(_similar(docs, stored(early), words, similarity))
-    labels = connected_components(so_far)
-    labelled = classes.join(labels, F.col("id") == labels.node, "left").select("id", "fp", F.coalesce("component", "id").alias("label"))
-    proposed = stored(_candidates(labelled, families))
+    links = settle(_similar(docs, stored(early), words, similarity))
 
     @F.pandas_udf("boolean")
     def likely(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -346,17 +342,20 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, similarity: float
     apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     expected = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = int(64 * families * (expected + 4 * math.sqrt(expected * (1 - expected) / (64 * families))))
-    near = proposed.where("crowd is null").join(one, "a").join(two, "b").where(apart <= most).where(likely("sa", "sb")).select("a", "b")
-    links = so_far.union(_similar(docs, stored(near), words, similarity))
-    crowds = proposed.where("crowd is not null").select(F.col("a").alias("key"), F.explode("crowd").alias("id"))
-    if not crowds.isEmpty():
-        links = settle(links)
+    labels = connected_components(links)
+    labelled = classes.join(labels, F.col("id") == labels.node, "left").select("id", "fp", F.coalesce("component", "id").alias("label"))
+    proposed = _candidates(labelled, families)
+    near = proposed.join(one, "a").join(two, "b").where(apart <= most).where(likely("sa", "sb")).select("a", "b")
+    links = settle(links.union(_similar(docs, stored(near), words, similarity)))
+    labels = connected_components(links)
+    shared = keyed.join(leaders.select("key"), "key")
+    members = shared.join(classes.select("id", "fp", "sketch"), "id").join(labels, F.col("id") == labels.node, "left")
+    members = stored(members.select("key", "id", "fp", "sketch", F.coalesce("component", "id").alias("component")))
+    left = stored(_across(members, most, similarity))
+    if not left.isEmpty():
+        links = settle(links.union(_similar(docs, left, words, similarity)))
         labels = connected_components(links)
-        members = crowds.join(classes.select("id", "fp", "sketch"), "id").join(labels, F.col("id") == labels.node, "left")
-        members = stored(members.select("key", "id", "fp", "sketch", F.coalesce("component", "id").alias("component")))
-        links = links.union(_similar(docs, stored(_across(members, most, similarity)), words, similarity))
-    found = connected_components(links)
-    whole = classes.join(found, F.col("id") == found.node, "left").select("shingles", F.coalesce("component", "id").alias("component_id"))
+    whole = classes.join(labels, F.col("id") == labels.node, "left").select("shingles", F.coalesce("component", "id").alias("component_id"))
     return fps.join(whole, "shingles", "left").select("doc_id", "component_id")
 
 

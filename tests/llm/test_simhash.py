@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import xxhash
 
 from clauseloom.llm import simhash as S
@@ -85,18 +86,57 @@ def test_copies_among_many_texts_of_one_template(spark):
     rng.shuffle(order)
     df = spark.createDataFrame([(order[k], t) for k, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in S.near_duplicate_components(df).collect()}
-    want = 0
+    pairs, found = 0, 0
     for k in range(0, len(texts), 2):
-        sets = [np.unique(S.shingle_hashes(t, 5)) for t in texts[k : k + 2]]
-        fps = np.array([[S.majority(S._mixed(h, f)) for f in range(4)] for h in sets], np.uint64)
-        meet = False
-        for block in range(8):
-            row, anchor = S.anchors(fps[:, block // 2] >> np.uint64(32 * (block % 2)) & np.uint64((1 << 31) - 1), 31)
-            meet |= len(np.intersect1d(anchor[row == 0], anchor[row == 1])) > 0
-        if meet and np.bitwise_count(fps[0] ^ fps[1]).max() <= 22 and np.bitwise_count(fps[0] ^ fps[1]).sum() <= 60:
-            want += 1
-            assert got[order[k]] == got[order[k + 1]] == min(order[k : k + 2])
-    assert want > 300
+        one, two = (np.unique(S.shingle_hashes(t, 5)) for t in texts[k : k + 2])
+        both = len(np.intersect1d(one, two))
+        assert 0.80 <= both / (len(one) + len(two) - both) < 0.85  # every pair counts, whatever it shares
+        pairs += 1
+        found += got[order[k]] == got[order[k + 1]] == min(order[k : k + 2])
+    assert pairs == 600 and found >= 0.97 * pairs
+
+
+def test_chance_groups_of_anchors_stay_linear(spark, monkeypatch):
+    """With only a few anchors, groups are as crowded as in a huge corpus: pairs grow with members, and copies are found."""
+    rng = random.Random(6)
+    words = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    real = S.anchors
+    monkeypatch.setattr(S, "anchors", lambda x, bits, spare=False: (lambda r, a: (r, a & np.uint64(7)))(*real(x, bits, spare)))
+    rows, n = [], 0
+    classes = [(i, [rng.getrandbits(63) for _ in range(4)], i) for i in range(1_500)]
+    frame = next(iter(_local_pairs(S, classes)))
+    assert len(frame) < 8 * 8 * 3 * len(classes)
+    for _ in range(150):
+        base = words(200)
+        rows += [(n, " ".join(base)), (n + 1, " ".join(base[:190] + words(10)))]
+        n += 2
+    got = {r.doc_id: r.component_id for r in S.near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == i - i % 2 for i in got) >= 0.99 * len(got)
+
+
+def _local_pairs(S, classes):
+    """The pairs that one task makes of all anchors' members."""
+
+    class Frame:
+        def __init__(self, pdf):
+            self.pdf = pdf
+
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, f, schema):
+            return Frame(pd.concat(list(f(iter([self.pdf])))))
+
+        def repartition(self, *keys):
+            return self
+
+        def sortWithinPartitions(self, *keys):
+            return Frame(self.pdf.sort_values(list(keys)))
+
+        def distinct(self):
+            return self
+
+    yield S._candidates(Frame(pd.DataFrame(classes, columns=["id", "fp", "label"])), 4).pdf
 
 
 def test_sketches_exclude_no_pair_of_the_similarity():
@@ -116,5 +156,5 @@ def test_sketches_exclude_no_pair_of_the_similarity():
                 kept += found.tolist()
             elif n >= 9:
                 assert not found.any()
-    assert np.mean(kept) >= 0.998
+    assert np.mean(kept) >= 0.995
     assert not S.alike(np.zeros((1, S.BINS), np.uint16), np.ones((1, S.BINS), np.uint16), 0.8).any()
