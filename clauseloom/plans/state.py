@@ -6,7 +6,9 @@ rules under test are written apart: as Spark operators here and as SQL beside th
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions import lexicon as L
@@ -45,6 +47,8 @@ RELATIONS = {
         "c_custkey AS doc_id", "concat('memo_', c_nationkey, '.pdf') AS filename", "CASE WHEN c_custkey % 10 > 0 AND c_custkey % 3 = 0 THEN c_custkey - c_custkey % 10 END AS parent_id",
         "CASE WHEN c_custkey % 6 = 5 THEN 'duplicate' WHEN c_custkey % 6 = 4 THEN 'error' ELSE 'ingested' END AS status", "c_custkey % 8 > 0 AS processed",
     ), "true"),
+    "docs_state": ("customer", ("c_custkey AS document_id", "c_custkey % 9 AS ocr_pages", "CASE WHEN c_custkey % 5 = 0 THEN c_custkey + 1 END AS superseded_by", "CASE WHEN c_custkey % 7 = 0 THEN 'one clause for a long document' END AS segment_warning"), "true"),
+    "clause_state": ("part", ("p_partkey AS id", "p_partkey % 13 = 0 AS model_input_truncated", "CASE WHEN p_partkey % 17 = 0 THEN 'heading' END AS rescued_by", "p_partkey % 19 = 0 AS table_unattached"), "true"),
     "reissued": ("customer", ("c_custkey AS old_id", "c_custkey + 1 AS new_id"), "c_custkey % 5 = 0"),
     "clauses": ("part", (
         "p_partkey AS id", "p_partkey % 50 AS document_id", "p_size AS sequence", "CASE p_partkey % 5 WHEN 0 THEN false WHEN 1 THEN NULL ELSE true END AS is_actionable",
@@ -208,6 +212,8 @@ _PROPOSAL_COUNTS = {
     "assessed": "true", "proposals": _LIVE, "no_action": "change_type = 'No action'", "withdrawn": "status = 'Withdrawn (superseded)'",
     "approved": f"status = 'Approved' AND {_LIVE}", "pending": f"status NOT IN ('Approved', 'Rejected') AND {_LIVE}",
 }
+_DOC_STATE_COUNTS = {"superseded": "superseded_by IS NOT NULL", "flagged_splits": "segment_warning IS NOT NULL"}
+_CLAUSE_STATE_COUNTS = {"truncated_for_model": "model_input_truncated", "rescued": "rescued_by IS NOT NULL", "unattached_tables": "table_unattached"}
 _CLAUSE_COUNTS = {"clauses": "true", "actionable": "is_actionable", "provisional": "is_actionable IS NULL"}
 
 
@@ -215,7 +221,9 @@ def _counts_sql(relation, counts):
     return f"SELECT unnest([{', '.join(map(_q, counts))}]) AS figure, unnest([{', '.join(f'count(*) FILTER (WHERE {c})' for c in counts.values())}]) AS n FROM {relation}"
 
 
-@query(f"""{_with('docs', 'props', 'clauses', 'obligations')} {_counts_sql('docs', _COUNTS)} UNION ALL {_counts_sql('props', _PROPOSAL_COUNTS)} UNION ALL {_counts_sql('clauses', _CLAUSE_COUNTS)}
+@query(f"""{_with('docs', 'props', 'clauses', 'obligations', 'docs_state', 'clause_state')} {_counts_sql('docs', _COUNTS)} UNION ALL {_counts_sql('docs_state', _DOC_STATE_COUNTS)} UNION ALL {_counts_sql('clause_state', _CLAUSE_STATE_COUNTS)}
+  UNION ALL SELECT 'ocr_pages', CAST(coalesce(sum(ocr_pages), 0) AS BIGINT) FROM docs_state UNION ALL SELECT 'dropped', count(*) FROM documents WHERE length(text) < 40
+   UNION ALL {_counts_sql('props', _PROPOSAL_COUNTS)} UNION ALL {_counts_sql('clauses', _CLAUSE_COUNTS)}
   UNION ALL SELECT 'obligations', count(*) FROM obligations UNION ALL SELECT 'multi_obligation_clauses', count(*) FROM (SELECT clause_id FROM obligations GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'tests', count(*) FROM part""")
 def headline_counts(spark, sf):
     """The figures of the dashboards: one pass over each relation."""
@@ -226,8 +234,9 @@ def headline_counts(spark, sf):
     per_clause = _rel(spark, sf, "obligations").groupBy("clause_id").agg(F.count("*").alias("m"))
     duties = per_clause.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("obligations"), F.count_if(F.col("m") > 1).alias("multi_obligation_clauses"))
     duties = duties.select(F.inline(F.array(*(F.struct(F.lit(k).alias("figure"), F.col(k).alias("n")) for k in duties.columns))))
-    parts = [figures(_rel(spark, sf, name), counts) for name, counts in (("docs", _COUNTS), ("props", _PROPOSAL_COUNTS), ("clauses", _CLAUSE_COUNTS))]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(duties)
+    parts = [figures(_rel(spark, sf, name), counts) for name, counts in (("docs", _COUNTS), ("props", _PROPOSAL_COUNTS), ("clauses", _CLAUSE_COUNTS), ("docs_state", _DOC_STATE_COUNTS), ("clause_state", _CLAUSE_STATE_COUNTS))]
+    pages = _rel(spark, sf, "docs_state").agg(F.coalesce(F.sum("ocr_pages"), F.lit(0)).cast("long").alias("n")).select(F.lit("ocr_pages").alias("figure"), "n")
+    out = reduce(DataFrame.unionByName, [*parts, duties, pages, figures(table(spark, sf, "documents").where("length(text) < 40"), {"dropped": "true"})])
     return out.unionByName(figures(table(spark, sf, "part"), {"tests": "true"}))
 
 
