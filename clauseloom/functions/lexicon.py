@@ -68,6 +68,10 @@ NO_TITLE = ("confidential", "for bank", "internal use", "page ", "table of conte
 TITLE_LINES, DATE_CHARS = 25, 2500
 CARRYING = r"(?i)\b(shall|must|required to|advised|should|will be)\b"
 DUTY_VERB = r"(?i)\b(?:shall|must|are required to|is required to|are advised)\b"
+DRAFT_MARK, DRAFT_NUMBER = r"^\s*\(?(?:\d+(?:\.\d+)*|[ivxIVX]{1,5}|[a-z])\)?[.):]?\s+", r"^\s*\(?[\divxIVX]+[.)]\s*"
+PLURAL = r"(?i)((?<!s)s|records|forms|documents)[.,]*$"
+NOT_BE, NOT, BE = r"^not\s+(be|been)\s+", r"^not\s+", r"^(be|been)\s+"
+DRAFT_SHORT, DRAFT_LONG = 45, 240
 SYSTEM_GAP, POLICY_GAP, PROCESS_GAP = "system|automat|configur", "polic(y|ies)|framework|regulation", "register|record|maintain|document"
 HIGH_RISK = "fraud|forged|sanction|money launder|penal|prohibit|shall not|must not|immediately|without delay"
 TEST_TYPES = {"New": "New", "Amendment": "Amendment ", "Deletion": "Deletion", "Tagged to different EP strata": "Tagged to different EP strata"}

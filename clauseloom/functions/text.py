@@ -195,26 +195,26 @@ def draft_test(text: Column | str) -> Column:
     carrying = F.filter(cells, lambda s: s.rlike(L.CARRYING))
     longest = F.array_max(F.transform(cells, lambda s, i: F.struct(F.length(s).alias("n"), (-i).alias("i"), s.alias("s"))))["s"]
     body = F.when(raw.contains("|"), F.coalesce(F.get(carrying, F.lit(0)), longest, F.lit(""))).otherwise(raw)
-    body = flat(F.regexp_replace(body, r"^\s*\(?(?:\d+(?:\.\d+)*|[ivxIVX]{1,5}|[a-z])\)?[.):]?\s+", ""))
+    body = flat(F.regexp_replace(body, L.DRAFT_MARK, ""))
     halves = F.split(body, L.DUTY_VERB, 2)
     who = F.regexp_replace(F.trim(halves[0]), ",+$", "")
-    plural = who.rlike(r"(?i)((?<!s)s|records|forms|documents)[.,]*$")
+    plural = who.rlike(L.PLURAL)
     duty = F.trim(F.get(halves, F.lit(1)))
     be, do = F.when(plural, "are").otherwise("is"), F.when(plural, "do").otherwise("does")
     rest = lambda pattern: F.regexp_replace(duty, pattern, "")
     duty = (
-        F.when(duty.rlike(r"^not\s+(be|been)\s+"), F.concat(be, F.lit(" not "), rest(r"^not\s+(be|been)\s+")))
-        .when(duty.rlike(r"^not\s+"), F.concat(do, F.lit(" not "), rest(r"^not\s+")))
-        .when(duty.rlike(r"^(be|been)\s+"), F.concat(be, F.lit(" "), rest(r"^(be|been)\s+")))
+        F.when(duty.rlike(L.NOT_BE), F.concat(be, F.lit(" not "), rest(L.NOT_BE)))
+        .when(duty.rlike(L.NOT), F.concat(do, F.lit(" not "), rest(L.NOT)))
+        .when(duty.rlike(L.BE), F.concat(be, F.lit(" "), rest(L.BE)))
         .otherwise(duty)
     )
     said = F.when((F.size(halves) > 1) & (who != ""), F.concat(lower_first(who), F.lit(" "), duty)).otherwise(lower_first(body))
     ended = lambda s: F.regexp_replace(s, r"\.+$", "")
     sentence = ended(F.trim(F.split(F.concat(F.lit("Check that "), said), r"\. ")[0]))
-    fuller = F.regexp_replace(flat(F.regexp_replace(raw, r"\|", " ")), r"^\s*\(?[\divxIVX]+[.)]\s*", "")
-    sentence = F.when(F.length(sentence) < 45, ended(F.concat(F.lit("Check that "), lower_first(fuller)))).otherwise(sentence)
-    short = F.concat(F.regexp_replace(F.substring(sentence, 1, 237), r" [^ ]*$", ""), F.lit("…"))
-    sentence = F.concat(F.when(F.length(sentence) > 240, short).otherwise(sentence), F.lit("."))
+    fuller = F.regexp_replace(flat(F.regexp_replace(raw, r"\|", " ")), L.DRAFT_NUMBER, "")
+    sentence = F.when(F.length(sentence) < L.DRAFT_SHORT, ended(F.concat(F.lit("Check that "), lower_first(fuller)))).otherwise(sentence)
+    short = F.concat(F.regexp_replace(F.substring(sentence, 1, L.DRAFT_LONG - 3), r" [^ ]*$", ""), F.lit("…"))
+    sentence = F.concat(F.when(F.length(sentence) > L.DRAFT_LONG, short).otherwise(sentence), F.lit("."))
     attached = F.filter(F.transform(F.slice(lines, 2, 2**30), F.trim), lambda x: x != "")
     return F.array_join(F.concat(F.array(sentence), attached), "\n")
 

@@ -101,9 +101,9 @@ def propose(obligations: DataFrame, library: DataFrame, day: str) -> DataFrame:
     rows = rows.join(owners, "test", "left")
     subject = T.strata("text")
     proposed = F.when(F.col("change_type").isin("Amendment", "New"), T.draft_test("text"))
-    index = F.dense_rank().over(Window.partitionBy(subject).orderBy("id"))
+    nth = F.dense_rank().over(Window.partitionBy(subject).orderBy("id"))
     return rows.select(
-        "id", T.serial(F.lit(day).cast("date"), index, subject).alias("sr_no"), "change_type", "code", F.col("held.test_description").alias("existing"), F.col("held.exception_code").alias("exception_code"),
+        "id", T.serial(F.lit(day).cast("date"), nth, subject).alias("sr_no"), "change_type", "code", F.col("held.test_description").alias("existing"), F.col("held.exception_code").alias("exception_code"),
         proposed.alias("proposed"), T.exception_wording(proposed).alias("proposed_exception"), subject.alias("strata"),
         T.department(subject, F.col("owner")).alias("department"), T.risk("text").alias("risk"), T.root_cause("text").alias("root_cause"),
         F.coalesce("confidence", ladder_confidence(F.col("change_type"), F.col("dense"))).alias("confidence"), F.slice("candidates", 1, 6).alias("candidates"),

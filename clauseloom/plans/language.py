@@ -11,7 +11,7 @@ from clauseloom.operators import decide, diagnose, exports, retrieve
 from .documents import scores_sql
 from .registry import Registry, table
 from .state import ORACLES as ORACLES_OF_STATE
-from .state import RELATIONS, _q, _rel, _with, grounded_decisions
+from .state import _REFS, _STRATA_SQL, _TARGETS, RELATIONS, _q, _rel, _with, grounded_decisions
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -80,3 +80,20 @@ def batches_of_eight(spark, sf):
     """Batches over the whole stream of orders, numbered by ranges of keys."""
     rows = exports.numbered(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 0)
     return rows.select("o_orderkey", F.floor(F.col("number") / 8).cast("bigint").alias("batch"))
+
+
+_DEPARTMENT = "CASE strata " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in L.DEPARTMENT_OF_STRATA.items()) + " END"
+
+
+@query(f"""{_with('claims', 'catalogue')}, cited AS (SELECT * FROM claims), tests AS (SELECT * FROM catalogue), lib AS (SELECT test_code AS code, concat_ws(' ', test_description, strata, department, source_reference) AS text FROM catalogue WHERE is_active),
+  {scores_sql('lib', 'code', 'claims', 'id')}, {_REFS}, {_TARGETS}, best AS (SELECT q, arg_max(struct_pack(test := test, dense := dense), dense - rank * 1e-9) AS b FROM top WHERE rank <= {L.TOP_K} GROUP BY 1),
+  x AS (SELECT claims.id, text, {_STRATA_SQL} AS strata, b.test AS test, b.dense AS dense, targets.id IS NOT NULL AS gone, target, confidence FROM claims LEFT JOIN best ON q = claims.id LEFT JOIN targets ON targets.id = claims.id),
+  y AS (SELECT *, CASE WHEN gone THEN 'Deletion' WHEN dense >= {L.AMEND_AT} THEN 'Amendment' WHEN test IS NULL OR dense >= {L.NEW_AT} THEN 'New' ELSE 'No action' END AS change_type FROM x),
+  z AS (SELECT *, CASE change_type WHEN 'Deletion' THEN coalesce(target, test) WHEN 'Amendment' THEN test END AS code FROM y)
+  SELECT z.id, change_type, z.code, test_description AS existing, exception_code, z.strata, {_DEPARTMENT.replace('strata', 'z.strata', 1)} AS department,
+    coalesce(confidence, CASE change_type WHEN 'Amendment' THEN round(least(0.92, 0.45 + dense * 0.6), 2) WHEN 'New' THEN 0.66 WHEN 'No action' THEN 0.60 END) AS confidence
+  FROM z LEFT JOIN (SELECT q, test AS code FROM top WHERE rank <= {L.TOP_K}) s ON s.q = z.id AND s.code = z.code LEFT JOIN catalogue ON test_code = s.code""")
+def proposals(spark, sf):
+    """A proposal for each clause: decision, withdrawal target, the test as it stands if it was on the shortlist, routing."""
+    found = decide.propose(_rel(spark, sf, "claims"), _rel(spark, sf, "catalogue"), "2025-09-17")
+    return found.select("id", "change_type", "code", "existing", "exception_code", "strata", "department", "confidence")

@@ -80,6 +80,15 @@ RELATIONS = {
         "concat('T-', p_partkey) AS test_code", "concat('Check that ', p_name, ' is kept.') AS test_description",
         "CASE p_partkey % 3 WHEN 0 THEN concat('Circular Letter No. ', p_size, ' of 2019') WHEN 1 THEN concat('circular letter no 0', p_size, ' of 2018') ELSE concat('OPS&D circular letter no. ', p_size, ' of 2021') END AS source_reference", "p_partkey % 4 > 0 AS is_active",
     ), "true"),
+    "catalogue": ("part", (
+        "concat('T-', p_partkey) AS test_code", "concat('Check that every ', p_name, ' of ', p_brand, ' is kept in the ', p_type, ' register.') AS test_description",
+        "CASE p_partkey % 3 WHEN 0 THEN concat('Circular Letter No. ', p_size, ' of 2019') WHEN 1 THEN concat('circular letter no 0', p_size, ' of 2018') ELSE concat('OPS&D circular letter no. ', p_size, ' of 2021') END AS source_reference",
+        "CASE p_partkey % 2 WHEN 0 THEN 'Credit' ELSE 'Cash & Teller' END AS strata", "CASE p_partkey % 3 WHEN 0 THEN 'MA' ELSE 'RR' END AS department", "concat('E-', p_partkey) AS exception_code", "p_partkey % 4 > 0 AS is_active",
+    ), "true"),
+    "claims": ("part", (
+        "p_partkey AS id", """CASE p_partkey % 5 WHEN 0 THEN concat('Branches shall keep every ', p_name, ' of ', p_brand, ' in the ', p_type, ' register.') WHEN 1 THEN concat('The rules of circular letter no.0', p_size, ' of 2019 on loans shall stand withdrawn.')
+        WHEN 2 THEN concat('The ', p_name, ' of the agent is no longer applicable.') WHEN 3 THEN concat('Staff must report zebra ', p_name, ' to the regulator without delay') ELSE concat('Nothing like it is known, ', p_size) END AS text""",
+    ), "true"),
     "decisions": ("part", (
         "p_partkey AS id", "CASE p_partkey % 8 WHEN 0 THEN 'amendment' WHEN 1 THEN 'merge' WHEN 2 THEN 'Amendment' WHEN 3 THEN 'New' WHEN 4 THEN 'Deletion' WHEN 5 THEN 'NO_ACTION' WHEN 6 THEN NULL ELSE ' Amendment! ' END AS change_type",
         "CASE p_partkey % 5 WHEN 0 THEN concat(' t-', p_size, ' ') WHEN 1 THEN 'T-none' WHEN 2 THEN NULL WHEN 3 THEN '  ' ELSE concat('T-', p_size) END AS code", "CASE WHEN p_partkey % 3 = 0 THEN concat('Check that  ', p_name, '.', chr(10), 'x') ELSE 'Check that a' END AS existing",
@@ -395,10 +404,13 @@ def cited_prefixes(spark, sf):
     return each.select("id", (F.col("nth") + 1).cast("long").alias("nth"), "reference", T.normal_reference("reference").alias("normal"))
 
 
-@query(f"""{_with('cited', 'tests')}, {_REFS}, w AS (SELECT * FROM r WHERE regexp_matches(text, {_q(L.SUPERSESSION)})), c AS (SELECT id, generate_subscripts(refs, 1) AS nth, unnest(refs) AS reference FROM w),
+_TARGETS = f"""w AS (SELECT * FROM r WHERE regexp_matches(text, {_q(L.SUPERSESSION)})), c AS (SELECT id, generate_subscripts(refs, 1) AS nth, unnest(refs) AS reference FROM w),
   t AS (SELECT test_code, {_NORMAL.format('source_reference')} AS norm FROM tests WHERE is_active), m AS (SELECT id, nth, reference, min(test_code) AS target, count(*) AS n FROM c JOIN t ON norm = {_NORMAL.format('reference')} GROUP BY ALL),
-  f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY nth) = 1)
-  SELECT w.id, CASE WHEN target IS NOT NULL THEN 'source match' WHEN len(refs) > 0 THEN 'subject only' ELSE 'unnamed' END AS tier, coalesce(reference, refs[1]) AS reference, target, coalesce(n, 1) - 1 AS others, CASE WHEN target IS NOT NULL THEN 0.85 WHEN len(refs) > 0 THEN 0.30 ELSE 0.45 END AS confidence FROM w LEFT JOIN f USING (id)""")
+  f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY nth) = 1),
+  targets AS (SELECT w.id, CASE WHEN target IS NOT NULL THEN 'source match' WHEN len(refs) > 0 THEN 'subject only' ELSE 'unnamed' END AS tier, coalesce(reference, refs[1]) AS reference, target, coalesce(n, 1) - 1 AS others, CASE WHEN target IS NOT NULL THEN 0.85 WHEN len(refs) > 0 THEN 0.30 ELSE 0.45 END AS confidence FROM w LEFT JOIN f USING (id))"""
+
+
+@query(f"{_with('cited', 'tests')}, {_REFS}, {_TARGETS} SELECT * FROM targets")
 def withdrawal_targets(spark, sf):
     return decide.withdrawal_targets(_rel(spark, sf, "cited"), _rel(spark, sf, "tests"))
 
