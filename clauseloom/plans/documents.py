@@ -43,9 +43,9 @@ def scores_sql(lib="benchmark", lib_id="item_id", ask="documents", ask_id="doc_i
 _TERMS, _SCORES = _terms("benchmark", "item_id"), scores_sql()
 
 
-def _search(spark, sf):
+def _search(spark, sf, most=None):
     asked = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return retrieve.search(asked, table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    return retrieve.search(asked, table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"), most=most)
 
 
 @query(f"WITH {_TERMS} SELECT term, df, round(idf, 6) AS idf FROM vocab")
@@ -80,9 +80,9 @@ def stored_index_topk(spark, sf):
 @query(f"""WITH {_SCORES}, best AS (SELECT q, arg_max(struct_pack(test := test, dense := dense), dense - rank * 1e-9) AS b FROM top WHERE rank <= {L.TOP_K} GROUP BY 1),
   d AS (SELECT q, b.test AS test, b.dense AS dense, CASE WHEN b.dense >= {L.AMEND_AT} THEN 'Amendment' WHEN b.dense >= {L.NEW_AT} THEN 'New' ELSE 'No action' END AS change_type FROM best)
   SELECT q, test, dense, change_type, CASE change_type WHEN 'Amendment' THEN round(least(0.92, 0.45 + dense * 0.6), 2) WHEN 'New' THEN 0.66 ELSE 0.60 END AS confidence FROM d""")
-def decision_ladder(spark, sf):
+def decision_ladder(spark, sf, most=None):
     """Every document against the whole library: fused top 8, best cosine, change type."""
-    best = decide.best_by_cosine(_search(spark, sf))
+    best = decide.best_by_cosine(_search(spark, sf, most))
     change = decide.ladder(F.col("dense"), F.lit(False))
     return best.withColumn("change_type", change).withColumn("confidence", decide.ladder_confidence(F.col("change_type"), F.col("dense")))
 
