@@ -1,13 +1,20 @@
 """Stages against brute force on documents with planted cases."""
 
 import random
+from functools import lru_cache
 
 import corpus_pipeline as C
 from clauseloom.llm import simhash as S
 
 
+@lru_cache(maxsize=None)
+def shingles(text):
+    words = text.lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
 def jaccard(a, b):
-    x, y = ({tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    x, y = shingles(a), shingles(b)
     return len(x & y) / len(x | y)
 
 
