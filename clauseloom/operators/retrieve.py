@@ -89,9 +89,12 @@ def search(queries: DataFrame, library: DataFrame, k: int = L.TOP_K, most: int |
     """Rows (q, rank, test, dense, sparse, fused): the ``k`` best tests of each query that is not blank.
 
     Each channel ranks all tests of the library (id, text) by (score, test) downwards, and the sum
-    of 1 / (FUSION + rank) over both decides; equal sums go by test.
+    of 1 / (FUSION + rank) over both decides; equal sums go by test.  ``most`` bytes of postings
+    are held by each task, none by default.
     """
     found, vocab = postings(library)
+    if not most:  # one job of joins; to hold postings that are not stored, they would be worked out first
+        return search_joined(queries, found, vocab, order_of(library), k)
     size = library.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return search_postings(queries, found, vocab, order_of(library), POSTING * size // 4, k, most)
 
