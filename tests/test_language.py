@@ -40,6 +40,17 @@ def test_withdrawal_targets(spark):
     assert {(r.id, r.tier, r.target, r.others, r.confidence) for r in got} == {(1, "source match", "T-1", 1, 0.85), (2, "subject only", None, 0, 0.30), (3, "unnamed", None, 0, 0.45)}
 
 
+def test_many_tests_of_one_reference_meet_as_one_row(spark):
+    """300 clauses and 3,000 tests that cite one circular: the largest table is a row for each of either, no pairs."""
+    library = spark.range(3_000).selectExpr("format_string('T-%04d', id) AS test_code", "'Circular Letter No. 3 of 2019' AS source_reference", "true AS is_active")
+    clauses = spark.range(300).selectExpr("id", "'The rules of circular letter no.03 of 2019 shall stand withdrawn.' AS text")
+    found = decide.withdrawal_targets(clauses, library)
+    assert {tuple(r)[1:] for r in found.collect()} == {("source match", "circular letter no.03 of 2019", "T-0000", 2_999, 0.85)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.rindex("Join Inner") :]  # the tests are counted before they meet the clauses
+    assert "min(test_code" in below and "count(1)" in below
+
+
 def test_grounding_gate(spark):
     rows = spark.createDataFrame(DECISIONS, "id int, change_type string, code string, existing string, proposed string, confidence string")
     got = decide.ground(rows, spark.createDataFrame([(r[0],) for r in LIBRARY], "code string")).collect()
