@@ -56,6 +56,25 @@ def test_both_ways_are_exact(spark, monkeypatch):
     assert retrieve.search(a, b.limit(0)).collect() == [] and retrieve.search(a.limit(0), b).collect() == []
 
 
+def test_blocks_and_chunks_are_exact(spark):
+    """Many copies, ties within and across chunks, tests below the first places of both channels, no row for a pair."""
+    rng = Random(5)
+    words = [f"word{i}" for i in range(60)]
+    library = [(i, " ".join(["common", *(rng.choice(words) for _ in range(rng.randrange(0, 6)))])) for i in range(250)]
+    library += [(250 + i, library[i % 90][1]) for i in range(250)] + [(500, ""), (501, "-")]
+    queries = [(i, " ".join(rng.choice([*words, "common"]) for _ in range(rng.randrange(1, 5)))) for i in range(40)] + [(40 + i, "common") for i in range(5)] + [(45, "unknown"), (46, " ")]
+    a, b = spark.createDataFrame(queries, "id long, text string"), spark.createDataFrame(library, "id long, text string")
+    want = plain(queries, library, 8, L.VOCABULARY)
+    named = b.withColumn("id", F.format_string("t%03d", "id"))
+    for chunk in (70, 1000):
+        for tests in (b, named):
+            frame = retrieve.search_joined(a, *retrieve.postings(tests), retrieve.order_of(tests), chunk=chunk, block=9)
+            got = {}
+            for r in frame.orderBy("q", "rank").collect():
+                got.setdefault(r.q, []).append(int(str(r.test).strip("t")))
+            assert got == want
+
+
 def test_stored_index(spark, tmp_path):
     path = f"file://{tmp_path}/ix"
     library = spark.createDataFrame([(f"T-{i}", f"the register number{i % 7} of vault{i}") for i in range(40)], "id string, text string")
