@@ -83,3 +83,11 @@ def test_labels_and_names(spark):
         T.page_number(F.lit(250), F.lit(1000), F.lit(4)).alias("page"), T.department(F.lit("Credit")).alias("dept"),
     ).first()
     assert row.asDict() == {"week": "38 (15.09.2025 - 21.09.2025)", "name": "A_b_c_d_pdf", "c": "No action", "nan": 0.0, "high": 0.6, "same": True, "page": 2, "dept": "RR"}
+
+
+def test_tasks_split_no_more_than_their_share_of_text(spark):
+    """Copies of one line compress to nothing, and yet no task gets all of them."""
+    docs = spark.range(4_000).selectExpr("id AS doc_id", "repeat('Staff must keep the register in the vault. ', 5) AS text")
+    found, _ = segment.clauses(docs)
+    assert segment.dealt(docs, 100_000).rdd.getNumPartitions() == -(-4_000 * 5 * 43 // 100_000)
+    assert found.count() == 4_000
