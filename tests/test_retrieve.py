@@ -1,9 +1,11 @@
 """Exact ranks by both ways of searching, and the stored index."""
 
 import math
+import tracemalloc
 from collections import Counter
 from random import Random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from clauseloom.functions import lexicon as L
@@ -114,3 +116,14 @@ def test_nearest_in_blocks(spark):
     cos = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a)) / math.sqrt(sum(x * x for x in b)), 6)
     want = {q: sorted(((i, cos(v, good[q])) for i, v in good.items() if i != q), key=lambda x: (-x[1], x[0]))[:5] for q in good if q % 3 == 0}
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+def test_few_products_exist_at_a_time():
+    rng = np.random.default_rng(3)
+    one, two = rng.normal(size=(1_000, 8)), rng.normal(size=(4_000, 8))
+    tracemalloc.start()
+    total = sum(float(row.sum()) for row in retrieve._products(one, two))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert abs(total - float(np.round(one @ two.T, 6).sum())) < 1e-3
+    assert peak < 8 * 1_000 * 4_000 / 4  # of all products at once
