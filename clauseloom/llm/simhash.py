@@ -28,8 +28,8 @@ SEED = 42
 _STEP = 0x9E3779B97F4A7C15
 #: Keys of two min-hashes: texts of similarity 0.8 share one of them with a probability of 1 - (1 - 0.8 ** 2) ** MINS, 0.994.
 MINS = 5
-#: Bins of a set's sketch, two bytes each, whatever the length of the text.
-BINS = 256
+#: Bins of a set's sketch, two bytes each, whatever the length of the text, and bits of its parity.
+BINS, PARITY = 256, 512
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -99,28 +99,73 @@ def _sketches(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(-1, BINS)
 
 
-def simhash(docs: DataFrame, words: int = 3, families: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
+def common_shingles(docs: DataFrame, words: int, texts: int = 10_000, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, how many texts have each) of the ``most`` widespread shingles of about ``texts`` texts.
+
+    They only say in which order :func:`prefix` takes shingles; no result depends on them.
+    """
+    share = int(min(1.0, texts / max(1, docs.count())) * (1 << 20))
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"h": np.concatenate([np.unique(shingle_hashes(t, words)) for t in pdf["text"]]).view(np.int64)})
+
+    counted = map_slices(some, run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(most).toArrow()
+    h, n = counted["h"].to_numpy().view(np.uint64), counted["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest of different ``hashes``, so many that sets of the Jaccard ``similarity`` share one of theirs.
+
+    All sets take their shingles in one order, by (texts of the sample that have it, hash).
+    """
+    values, counts = common
+    spread = np.zeros(len(hashes), np.int64)
+    if len(values):
+        at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
+        spread = np.where(values[at] == hashes, counts[at], 0)
+    most = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1 if len(hashes) else 0
+    return hashes[np.lexsort((hashes, spread))[:most]]
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """A bit for each of PARITY bins of the hashes: whether it holds an odd number of them."""
+    bins = (hashes >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(bins, minlength=PARITY).astype(np.uint8) & 1).tobytes()
+
+
+def simhash(
+    docs: DataFrame, words: int = 3, families: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False, similarity: float = 0.8, common: tuple[np.ndarray, np.ndarray] | None = None
+) -> DataFrame:
     """Rows (doc_id, fp array<long>): one 64-bit fingerprint for each family.
 
     A null or empty text has the zero fingerprint; other columns are ignored.  With ``sets``
     each different shingle votes once, and there are columns ``shingles``, a 128-bit digest of
-    their set, ``mins``, keys of two min-hashes each, which near copies share, and ``sketch``.
+    their set, ``mins``, keys of two min-hashes each, which near copies share, ``sketch``, the set's
+    size ``n``, its ``rare`` shingles (:func:`prefix` for ``similarity``) and its ``parity``.
     """
-    extra = ", shingles binary, mins array<bigint>, sketch binary" if sets else ""
+    extra = ", shingles binary, mins array<bigint>, sketch binary, n int, rare array<bigint>, parity binary" if sets else ""
+    sent = docs.sparkSession.sparkContext.broadcast(common or (np.empty(0, np.uint64), np.empty(0, np.int64))) if sets else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fps, digests, mins, sketches = [], [], [], []
+            fps, digests, mins, sketches, sizes, rare, odd = [], [], [], [], [], [], []
             for text in pdf["t"]:
                 h = shingle_hashes(text, words)
                 if sets:
                     h = np.unique(h)
                     digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                     sketches.append(sketch(h, families + 2 * MINS))
+                    sizes.append(len(h))
+                    rare.append(prefix(h, similarity, sent.value).view(np.int64))
+                    odd.append(parity(h))
                     low = [_mixed(h, k).min() if len(h) else np.uint64(0) for k in range(families, families + 2 * MINS)]
                     mins.append(np.array([(int(a) * 3 + int(b)) % 2**64 for a, b in zip(low[::2], low[1::2], strict=True)], np.uint64).view(np.int64))
                 fps.append(np.array([majority(_mixed(h, k)) for k in range(families)], np.uint64).view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["i"], "fp": fps} | ({"shingles": digests, "mins": mins, "sketch": sketches} if sets else {}))
+            yield pd.DataFrame({"doc_id": pdf["i"], "fp": fps} | ({"shingles": digests, "mins": mins, "sketch": sketches, "n": sizes, "rare": rare, "parity": odd} if sets else {}))
 
     kind = dict(docs.dtypes)[id_col]
     return map_slices(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), run, f"doc_id {kind}, fp array<bigint>{extra}")
@@ -230,7 +275,7 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 2) -> Da
     return fps.join(whole, "fp", "left")
 
 
-#: Blocks of 31 bits, two in each family's word; an anchor's group up to SMALL is compared in full, a group of a min-hash key by cells of about 2 * _SIDE members.
+#: Blocks of 31 bits, two in each family's word; an anchor's group up to SMALL is compared in full, a group of a rare shingle by cells of about 2 * _SIDE members.
 _BLOCK, SMALL, _SIDE = 31, 8, 512
 
 
@@ -281,35 +326,51 @@ def _candidates(classes: DataFrame, families: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "id").mapInPandas(pair, "a bigint, b bigint").distinct()
 
 
-def _across(members: DataFrame, most: int, similarity: float) -> DataFrame:
-    """Rows (a, b): pairs in a group, members (key, id, fp, sketch, component), of two components that look alike.
+def _across(classes: DataFrame, similarity: float) -> DataFrame:
+    """Rows (a, b): all pairs of classes (id, n, rare, parity, label) of different labels that may have the ``similarity``.
 
-    Alike: at most ``most`` bits of their words differ, and their sketches do not exclude the
-    ``similarity``.  A group is cut into parts by a hash, and every two parts meet in a task of their own.
-    Groups that are one component already are left out.
+    Sets of that similarity share a rare shingle, have sizes in that proportion, enough shingles from
+    the first shared one on, and parities that differ in no more bits than they have shingles of their
+    own.  These bounds hold for every pair, so none of the similarity is left out.  The group of a
+    shingle is cut into parts by a hash, and every two parts meet in a group of their own; shingles of one
+    label only are left out.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    parts = F.ceil(F.col("n") / _SIDE).cast("int")
-    dealt = members.join(sizes.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), "part", "id", "fp", "sketch", "component")
+    members = classes.select("id", "n", "label", F.posexplode("rare").alias("pos", "key"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    dealt = members.join(sizes.select("key", F.ceil(F.col("many") / _SIDE).cast("int").alias("parts")), "key")
+    dealt = stored(dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+    dealt = dealt.join(classes.select("id", "parity"), "id").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), "part", "id", "n", "pos", "parity", "label")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, ["key", "x", "y"]):
-            ids, label, part = (pdf[k].to_numpy(np.int64) for k in ("id", "component", "part"))
-            fp, x, y = np.stack(pdf["fp"]).astype(np.int64).view(np.uint64), pdf["x"].to_numpy(), pdf["y"].to_numpy()
-            drawn = _sketches(pdf["sketch"])
-            for s, n in zip(*(v.tolist() for v in group_bounds(pdf, ["key", "x", "y"])), strict=True):
-                rows = np.arange(s, s + n)
-                one, two = rows[part[s : s + n] == x[s]], rows[part[s : s + n] == y[s]]
-                far = np.zeros((len(one), len(two)), np.int64)
-                for k in range(fp.shape[1]):
-                    far += np.bitwise_count(fp[one, k][:, None] ^ fp[two, k][None, :])
-                i, j = np.nonzero((far <= most) & (label[one][:, None] != label[two][None, :]))
-                i, j = one[i], two[j]
-                near = alike(drawn[i], drawn[j], similarity)
-                a, b = ids[i[near]], ids[j[near]]
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            ids, label, part, n, pos, x, y = (pdf[k].to_numpy(np.int64) for k in ("id", "label", "part", "n", "pos", "x", "y"))
+            odd = np.frombuffer(b"".join(pdf["parity"]), np.uint64).reshape(len(pdf), -1)
+
+            def able(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                least = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9)
+                held = (label[i] != label[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+                i, j, least = i[held], j[held], least[held]
+                near = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j] - 2 * least
+                one, two = ids[i[near]], ids[j[near]]
+                return np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0)
+
+            start, size = group_bounds(pdf, ["key", "x", "y"])
+            found, same = [], x[start] == y[start]
+            for k in range(2, SMALL + 1):
+                at = start[same & (size == k)]
+                one, two = np.triu_indices(k, 1)
+                found += [able((at[g : g + 10_000, None] + one).ravel(), (at[g : g + 10_000, None] + two).ravel()) for g in range(0, len(at), 10_000)]
+            for s, k, alone in zip(*(v[~same | (size > SMALL)].tolist() for v in (start, size, same)), strict=True):
+                rows = np.arange(s, s + k)
+                if alone:
+                    one, two = np.triu_indices(k, 1)
+                    found.append(able(s + one, s + two))
+                else:
+                    one, two = rows[part[rows] == x[s]], rows[part[rows] == y[s]]
+                    found.append(able(np.repeat(one, len(two)), np.tile(two, len(one))))
+            if found:
+                yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
 
     return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(compare, "a bigint, b bigint").distinct()
 
@@ -319,15 +380,16 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, similarity: float
 
     Texts that share a key of two min-hashes are compared with the first of them, which joins large
     families of near copies with as many comparisons as members.  Then anchors of the blocks of
-    ``families`` SimHash words propose pairs.  What is still apart and shares a min-hash key is
-    compared in full, as the first of many texts of one template need not be like any other.
-    Whole words and sketches of the sets drop pairs that are clearly apart, and exact Jaccard
+    ``families`` SimHash words propose pairs, of which whole words and sketches of the sets drop those
+    that are clearly apart.  Last, all texts that are still apart and share one of their rarest shingles are
+    compared, which leaves out no pair of the ``similarity`` (:func:`_across`).  Exact Jaccard
     similarity on sets of ``words``-word shingles decides.  Texts with equal sets of shingles are one class.  Null
     and empty texts are one group; texts of any length are read whole; repeated rows stay rows;
     other columns are ignored; an empty table gives none.
     """
-    fps = stored(simhash(docs, words, families, sets=True))
-    classes = settle(fps.groupBy("shingles").agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.first("fp").alias("fp"), F.first("mins").alias("mins"), F.first("sketch").alias("sketch")).where("id is not null"))
+    fps = stored(simhash(docs, words, families, sets=True, similarity=similarity, common=common_shingles(docs, words)))
+    of_class = [F.first(c).alias(c) for c in ("fp", "mins", "sketch", "n", "rare", "parity")]
+    classes = stored(fps.groupBy("shingles").agg(F.min(F.col("doc_id").cast("long")).alias("id"), *of_class).where("id is not null"))
     keyed = classes.select("id", F.explode("mins").alias("key"))
     leaders = stored(keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"))
     early = keyed.join(leaders, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
@@ -348,10 +410,8 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, similarity: float
     near = proposed.join(one, "a").join(two, "b").where(apart <= most).where(likely("sa", "sb")).select("a", "b")
     links = settle(links.union(_similar(docs, stored(near), words, similarity)))
     labels = connected_components(links)
-    shared = keyed.join(leaders.select("key"), "key")
-    members = shared.join(classes.select("id", "fp", "sketch"), "id").join(labels, F.col("id") == labels.node, "left")
-    members = stored(members.select("key", "id", "fp", "sketch", F.coalesce("component", "id").alias("component")))
-    left = stored(_across(members, most, similarity))
+    apart = classes.join(labels, F.col("id") == labels.node, "left").select("id", "n", "rare", "parity", F.coalesce("component", "id").alias("label"))
+    left = stored(_across(stored(apart), similarity))
     if not left.isEmpty():
         links = settle(links.union(_similar(docs, left, words, similarity)))
         labels = connected_components(links)
@@ -365,7 +425,7 @@ def _similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "held": [np.unique(shingle_hashes(t, words).astype(np.uint32)).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"id": pdf["id"], "held": [np.unique(shingle_hashes(t, words)).tobytes() for t in pdf["text"]]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(involved, "id", "left_semi")
     held = stored(map_slices(texts, sets, "id bigint, held binary").groupBy("id").agg(F.min("held").alias("held")))
@@ -374,7 +434,7 @@ def _similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(both / max(1, len(x) + len(y) - both))
         return pd.Series(out, dtype="float64")

@@ -158,3 +158,33 @@ def test_sketches_exclude_no_pair_of_the_similarity():
                 assert not found.any()
     assert np.mean(kept) >= 0.995
     assert not S.alike(np.zeros((1, S.BINS), np.uint16), np.ones((1, S.BINS), np.uint16), 0.8).any()
+
+
+def test_no_pair_of_the_similarity_is_left_out(spark):
+    """Pairs of similarity 0.8, of which estimates and min-hashes miss some in the hundred, are all found."""
+    rng = random.Random(8)
+    words = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for _ in range(3_000):
+        own = words(8)
+        rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join([*own, *words(1)]))]  # 4 and 5 shingles, 4 shared
+    template = words(150)
+    for k in range(200):
+        own = words(30)
+        rows += [(len(rows), " ".join(template + own)), (len(rows) + 1, " ".join(template + own[:-1] + words(1)))]
+    got = {r.doc_id: r.component_id for r in S.near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [np.unique(S.shingle_hashes(t, 5)) for _, t in rows]
+    links, first = {i: i for i, _ in rows}, len(rows) - 400
+
+    def root(i):
+        while links[i] != i:
+            i = links[i]
+        return i
+
+    for i, j in [(k, k + 1) for k in range(0, first, 2)] + [(i, j) for i in range(first, len(rows)) for j in range(i + 1, len(rows))]:
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
+            a, b = sorted((root(i), root(j)))
+            links[b] = a
+    assert all(links[k + 1] == k for k in range(0, first, 2))
+    assert [i for i in got if got[i] != root(i)] == []
