@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import stored, texts_of
 
 #: Families of identity terms whose members are swapped for each other.
 IDENTITY_TERMS = {
@@ -169,11 +169,12 @@ def fit(rows: list[tuple[np.ndarray, int]], swap_weight: float = 10.0, l2: float
     return ToxicityModel(dict(zip(chosen.tolist(), w[:-1].tolist(), strict=True)), float(w[-1]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> list[tuple[np.ndarray, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_z: float = 4.0, families: dict[str, tuple[str, ...]] = IDENTITY_TERMS) -> list[tuple[np.ndarray, int]]:
     """At most about ``max_rows`` labelled texts, chosen by a hash of doc_id, as word buckets.
 
     Rows with a null doc_id or label are left out; a doc_id labelled more than once counts as
-    toxic if any of its rows says so.
+    toxic if any of its rows says so.  Buckets are counted where the texts are, and those that
+    :func:`objective` drops by these counts are left out, so the driver holds no whole text's words.
     """
     wanted = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     wanted = wanted.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
@@ -188,7 +189,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) ->
 
     # the chosen rows are bounded by max_rows, so they may be sent to every executor
     own = texts_of(docs).select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    return [(np.frombuffer(r["b"], np.int32), r["toxic"]) for r in own.mapInPandas(run, "b binary, toxic int").collect()]
+    rows = stored(own.mapInPandas(run, "b binary, toxic int"))
+    n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, hits = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for pdf in batches:
+            for b, t in zip(pdf["b"], pdf["toxic"], strict=True):  # a text's buckets differ
+                b = np.frombuffer(b, np.int32)
+                seen[b] += 1
+                hits[b] += t
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"bucket": at, "seen": seen[at], "hits": hits[at]})
+
+    p = pos / max(1, n)
+    mean, terms = F.col("seen") * p, sorted({bucket(f) for g in families.values() for t in g for f in words_of(t)})
+    apart = F.abs(F.col("hits") - mean) / F.sqrt(F.greatest(mean * (1 - p), F.lit(1e-9))) >= min_z - 1e-6  # the objective decides
+    counts = rows.mapInPandas(count, "bucket bigint, seen bigint, hits bigint").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("hits").alias("hits"))
+    told = counts.where((F.col("seen") >= 2) & apart).select("bucket").toArrow()["bucket"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(np.union1d(told, terms).astype(np.int32))
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            held = (np.frombuffer(b, np.int32) for b in pdf["b"])
+            yield pd.DataFrame({"b": [b[np.isin(b, sent.value)].tobytes() for b in held], "toxic": pdf["toxic"]})
+
+    return [(np.frombuffer(r["b"], np.int32), r["toxic"]) for r in rows.mapInPandas(keep, "b binary, toxic int").collect()]
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, prefix: str = "") -> DataFrame:
@@ -211,4 +237,4 @@ def score_documents(docs: DataFrame, model: ToxicityModel, prefix: str = "") ->
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, swap_weight: float = 10.0, families: dict[str, tuple[str, ...]] = IDENTITY_TERMS) -> ToxicityModel:
     """A model of at most ``max_rows`` labelled texts; ``families`` lists the terms that are swapped for each other."""
-    return fit(training_rows(docs, labels, max_rows), swap_weight, families=families)
+    return fit(training_rows(docs, labels, max_rows, families=families), swap_weight, families=families)

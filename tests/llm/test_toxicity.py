@@ -105,3 +105,18 @@ def test_odd_rows(spark):
     got = T.score_documents(docs, T.train(docs, labels)).collect()
     assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
     assert T.score_documents(docs.limit(0), T.train(docs.limit(0), labels.limit(0))).collect() == []
+
+
+def test_the_driver_gets_only_words_that_tell_and_the_same_model(spark):
+    """Words that the fit drops stay where the texts are; the model is that of all words."""
+    rng = random.Random(12)
+    texts = [(i, " ".join(["women"] * (i % 3 == 0) + ["vile"] * (i % 4 == 0) + [f"w{rng.choice('abcdefgh')}{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(60)]), int(i % 4 == 0)) for i in range(600)]
+    docs = spark.createDataFrame([x[:2] for x in texts], "doc_id long, text string")
+    rows = T.training_rows(docs, spark.createDataFrame([(i, t) for i, _, t in texts], "doc_id long, toxic int"))
+    learned = [x for x in texts if zlib.crc32(str(x[0]).encode()) % 5]
+    whole = [(np.unique([T.bucket(w) for w in T.words_of(text)]).astype(np.int32), toxic) for _, text, toxic in learned]
+    assert len(rows) == len(whole) and sum(t for _, t in rows) == sum(t for _, t in whole)
+    assert sum(len(b) for b, _ in rows) < sum(len(b) for b, _ in whole) / 10
+    one, two = T.fit(rows, rounds=50), T.fit(whole, rounds=50)
+    assert one.weights.keys() == two.weights.keys() and T.bucket("vile") in one.weights
+    assert abs(one.bias - two.bias) < 1e-6 and all(abs(w - two.weights[b]) < 1e-6 for b, w in one.weights.items())
