@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,7 +79,7 @@ def spread_metadata(meta: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Rows:
-    """Features of some documents: shapes, metadata, and words as (row, bucket) pairs."""
+    """Features of some documents: shapes, metadata, and words as (row, bucket) pairs in order of rows."""
 
     shape: np.ndarray
     meta: np.ndarray
@@ -89,31 +89,41 @@ class Rows:
     @classmethod
     def of(cls, shape: list[bytes], words: list[bytes], meta: list[bytes]) -> Rows:
         held = [np.frombuffer(w, np.uint16) for w in words]
-        row = np.repeat(np.arange(len(held)), [len(w) for w in held])
+        row = np.repeat(np.arange(len(held), dtype=np.int32), [len(w) for w in held])
         rows = lambda raw, n: np.frombuffer(b"".join(raw), np.float32).reshape(-1, n).astype(float)
-        return cls(rows(shape, SHAPE), spread_metadata(rows(meta, 3)), row, np.concatenate([*held, np.empty(0, np.uint16)]).astype(int))
+        return cls(rows(shape, SHAPE), spread_metadata(rows(meta, 3)).astype(np.float32), row, np.concatenate([*held, np.empty(0, np.uint16)]))
 
     def take(self, at: np.ndarray) -> Rows:
-        place = np.full(len(self.shape), -1)
+        place = np.full(len(self.shape), -1, np.int32)
         place[at] = np.arange(len(at))
         used = place[self.row] >= 0
         return Rows(self.shape[at], self.meta[at], place[self.row[used]], self.word[used])
 
     def __add__(self, other: Rows) -> Rows:
         join = lambda a, b: np.concatenate([a, b])
-        return Rows(join(self.shape, other.shape), join(self.meta, other.meta), join(self.row, other.row + len(self.shape)), join(self.word, other.word))
+        return Rows(join(self.shape, other.shape), join(self.meta, other.meta), join(self.row, other.row + np.int32(len(self.shape))), join(self.word, other.word))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-3, rounds: int = 30) -> np.ndarray:
-    """Newton's method on [x, 1]; the last weight is the constant."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    weight = np.ones(len(x)) if weight is None else weight
-    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], l2 * max(1.0, weight.sum()))
+#: Rows of a design matrix that exist at once while a model is fitted.
+BLOCK = 2_000
+
+
+def logistic(x: np.ndarray | Callable[[int, int], np.ndarray], y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-3, rounds: int = 30) -> np.ndarray:
+    """Newton's method on [x, 1]; the last weight is the constant.  ``x`` may be a function that makes its rows from one place to another."""
+    part = x if callable(x) else lambda s, e: x[s:e]
+    weight = np.ones(len(y)) if weight is None else weight
+    width = part(0, 0).shape[1] + 1
+    w, ridge = np.zeros(width), np.full(width, l2 * max(1.0, weight.sum()))
     ridge[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - y)) + ridge * w
-        step = np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(ridge), grad)
+        grad, curve = ridge * w, np.diag(ridge)
+        for s in range(0, len(y), BLOCK):
+            e = min(s + BLOCK, len(y))
+            rows = np.hstack([part(s, e), np.ones((e - s, 1))])
+            p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+            grad += rows.T @ (weight[s:e] * (p - y[s:e]))
+            curve += (rows * (weight[s:e] * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ rows
+        step = np.linalg.solve(curve, grad)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
@@ -133,23 +143,29 @@ class View:
     @classmethod
     def fit(cls, rows: Rows, y: np.ndarray, weight: np.ndarray, words: bool, min_z: float = 3.0, most: int = 400) -> View:
         dense = rows.shape if words else rows.meta
-        mean, scale = dense.mean(axis=0), dense.std(axis=0) + 1e-6
-        x, of_word = (dense - mean) / scale, np.zeros(BUCKETS)
-        chosen = np.empty(0, int)
+        mean, scale = dense.mean(axis=0, dtype=float), dense.std(axis=0, dtype=float) + 1e-6
+        of_word, chosen = np.zeros(BUCKETS), np.empty(0, int)
+        at, column = np.empty(0, np.int32), np.empty(0, np.int16)
         if words:
-            seen, hits = np.bincount(rows.word, minlength=BUCKETS), np.bincount(rows.word, weights=y[rows.row], minlength=BUCKETS)
+            seen, hits = np.bincount(rows.word, minlength=BUCKETS), np.bincount(rows.word[(y > 0)[rows.row]], minlength=BUCKETS)
             p = y.mean()
             z = np.abs(hits - seen * p) / np.sqrt(np.maximum(seen * p * (1 - p), 1e-9))
             z[seen < 5] = 0
             chosen = np.argsort(-z, kind="stable")[:most]
             chosen = chosen[z[chosen] >= min_z]
-            place = np.full(BUCKETS, -1)
+            place = np.full(BUCKETS, -1, np.int16)
             place[chosen] = np.arange(len(chosen))
-            has = np.zeros((len(y), len(chosen)))
-            used = place[rows.word] >= 0
-            has[rows.row[used], place[rows.word[used]]] = 1
-            x = np.hstack([x, has])
-        w = logistic(x, y, weight)
+            column = place[rows.word]
+            at, column = rows.row[column >= 0], column[column >= 0]
+
+        def part(s: int, e: int) -> np.ndarray:
+            x = np.zeros((e - s, dense.shape[1] + len(chosen)))
+            x[:, : dense.shape[1]] = (dense[s:e] - mean) / scale
+            first, last = np.searchsorted(at, [s, e])
+            x[at[first:last] - s, dense.shape[1] + column[first:last]] = 1
+            return x
+
+        w = logistic(part, y, weight)
         of_word[chosen] = w[dense.shape[1] : -1]
         return cls(words, mean, scale, np.append(w[: dense.shape[1]], w[-1]), of_word)
 
@@ -272,7 +288,10 @@ def train(seen: DataFrame, labels: DataFrame, max_rows: int = 20_000, rounds: in
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)  # bounded by max_rows, so it may go to every executor
     got = seen.join(F.broadcast(some), "doc_id").select("shape", "words", "meta", "quality", "fold").collect()
     y, aside = np.array([r["quality"] for r in got], float), np.array([r["fold"] == 1 for r in got], bool)
-    free = seen.where("doc_id is not null").join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
+    own = Rows.of(*([r[c] for r in got] for c in ("shape", "words", "meta")))
+    del got
+    labelled = labels.select("doc_id").distinct().hint("merge")  # it grows with the corpus, so it is never sent to every executor
+    free = seen.where("doc_id is not null").join(labelled, "doc_id", "left_anti")
     taken: set = set()
     good = int(np.ceil(picks * (y.mean() if len(y) else 0.5)))
 
@@ -285,7 +304,7 @@ def train(seen: DataFrame, labels: DataFrame, max_rows: int = 20_000, rounds: in
             out.append((Rows.of(*([r[c] for r in mine] for c in ("shape", "words", "meta"))), np.array([r["label"] for r in mine], float)))
         return out
 
-    return co_train(Rows.of(*([r[c] for r in got] for c in ("shape", "words", "meta"))), y, aside, ask, rounds)
+    return co_train(own, y, aside, ask, rounds)
 
 
 def score_documents(seen: DataFrame, model: QualityModel) -> DataFrame:

@@ -86,3 +86,23 @@ def test_odd_rows(spark):
     assert len(C.score_documents(seen, C.train(seen, labels)).collect()) == 5
     none = C.features(docs.limit(0))
     assert C.score_documents(none, C.train(none, labels.limit(0))).collect() == []
+
+
+def test_a_fit_holds_few_rows_of_its_matrix():
+    """The design matrix is made by blocks: the peak stays far below its size, and the weights are those of the whole."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    n, kinds = 20_000, 400
+    y = rng.integers(0, 2, n).astype(float)
+    words = [np.unique(np.append(rng.integers(1_000, 1_000 + 2 * kinds, 20), rng.integers(1_000, 1_000 + kinds, 8) * 2 - 1_000 + int(y[i]))).astype(np.uint16) for i in range(n)]
+    rows = C.Rows.of([rng.random(C.SHAPE).astype(np.float32).tobytes() for _ in range(n)], [w.tobytes() for w in words], [C.metadata("a", "b", 10.0).tobytes()] * n)
+    tracemalloc.start()
+    view = C.View.fit(rows, y, np.ones(n), words=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    chosen = np.flatnonzero(view.of_word)
+    assert len(chosen) > 300 and peak < 8 * n * (C.SHAPE + len(chosen)) / 1.2
+    x = np.hstack([(rows.shape - view.mean) / view.scale, np.stack([np.isin(chosen, w) for w in words]).astype(float)])
+    whole = C.logistic(x, y)
+    assert np.abs(whole[C.SHAPE : -1] - view.of_word[chosen]).max() < 1e-5
