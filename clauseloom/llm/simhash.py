@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, group_bounds, map_slices, settle, stored, whole_groups
+from .common import connected_components, discard, group_bounds, map_slices, settle, stored, whole_groups
 
 SEED = 42
 #: Odd multipliers that derive further 64-bit families from one shingle hash.
@@ -327,7 +327,7 @@ def _candidates(classes: DataFrame, families: int) -> DataFrame:
 
 
 def _across(classes: DataFrame, similarity: float) -> DataFrame:
-    """Rows (a, b): all pairs of classes (id, n, rare, parity, label) of different labels that may have the ``similarity``.
+    """Rows (a, b): all pairs of classes (id, n, rare, parity, label; stored) of different labels that may have the ``similarity``.
 
     Sets of that similarity share a rare shingle, have sizes in that proportion, enough shingles from
     the first shared one on, and parities that differ in no more bits than they have shingles of their
@@ -339,20 +339,17 @@ def _across(classes: DataFrame, similarity: float) -> DataFrame:
     sizes = members.groupBy("key").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     dealt = members.join(sizes.select("key", F.ceil(F.col("many") / _SIDE).cast("int").alias("parts")), "key")
     dealt = stored(dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
-    dealt = dealt.join(classes.select("id", "parity"), "id").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), "part", "id", "n", "pos", "parity", "label")
+    spread = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    spread = spread.select("key", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), "part", "id", "n", "pos", "label")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, ["key", "x", "y"]):
             ids, label, part, n, pos, x, y = (pdf[k].to_numpy(np.int64) for k in ("id", "label", "part", "n", "pos", "x", "y"))
-            odd = np.frombuffer(b"".join(pdf["parity"]), np.uint64).reshape(len(pdf), -1)
 
             def able(i: np.ndarray, j: np.ndarray) -> np.ndarray:
                 least = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9)
                 held = (label[i] != label[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
-                i, j, least = i[held], j[held], least[held]
-                near = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j] - 2 * least
-                one, two = ids[i[near]], ids[j[near]]
+                one, two = ids[i[held]], ids[j[held]]
                 return np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0)
 
             start, size = group_bounds(pdf, ["key", "x", "y"])
@@ -372,7 +369,17 @@ def _across(classes: DataFrame, similarity: float) -> DataFrame:
             if found:
                 yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
 
-    return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(compare, "a bigint, b bigint").distinct()
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        one, two = (np.frombuffer(b"".join(v), np.uint64).reshape(-1, PARITY // 64) for v in (a, b))
+        both = (n + m).to_numpy(np.int64)
+        return pd.Series(np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) <= both - 2 * np.ceil(similarity / (1 + similarity) * both - 1e-9))
+
+    pairs = stored(spread.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(compare, "a bigint, b bigint").distinct())
+    one, two = (classes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}")) for k in ("a", "b"))
+    left = stored(pairs.join(one, "a").join(two, "b").where(near("pa", "pb", "na", "nb")).select("a", "b"))
+    discard(dealt, pairs)
+    return left
 
 
 def near_duplicate_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, families: int = 4) -> DataFrame:
@@ -389,11 +396,14 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, similarity: float
     """
     fps = stored(simhash(docs, words, families, sets=True, similarity=similarity, common=common_shingles(docs, words)))
     of_class = [F.first(c).alias(c) for c in ("fp", "mins", "sketch", "n", "rare", "parity")]
+    own = stored(fps.select("doc_id", "shingles"))
     classes = stored(fps.groupBy("shingles").agg(F.min(F.col("doc_id").cast("long")).alias("id"), *of_class).where("id is not null"))
+    discard(fps)
     keyed = classes.select("id", F.explode("mins").alias("key"))
     leaders = stored(keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"))
     early = keyed.join(leaders, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    links = settle(_similar(docs, stored(early), words, similarity))
+    links = settle(_similar(docs, early, words, similarity))
+    discard(leaders)
 
     @F.pandas_udf("boolean")
     def likely(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -408,24 +418,29 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, similarity: float
     labelled = classes.join(labels, F.col("id") == labels.node, "left").select("id", "fp", F.coalesce("component", "id").alias("label"))
     proposed = _candidates(labelled, families)
     near = proposed.join(one, "a").join(two, "b").where(apart <= most).where(likely("sa", "sb")).select("a", "b")
-    links = settle(links.union(_similar(docs, stored(near), words, similarity)))
+    links = settle(links.union(_similar(docs, near, words, similarity)))
     labels = connected_components(links)
     apart = classes.join(labels, F.col("id") == labels.node, "left").select("id", "n", "rare", "parity", F.coalesce("component", "id").alias("label"))
-    left = stored(_across(stored(apart), similarity))
+    apart = stored(apart)
+    left = _across(apart, similarity)
+    discard(apart)
     if not left.isEmpty():
         links = settle(links.union(_similar(docs, left, words, similarity)))
         labels = connected_components(links)
     whole = classes.join(labels, F.col("id") == labels.node, "left").select("shingles", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(whole, "shingles", "left").select("doc_id", "component_id")
+    out = stored(own.join(whole, "shingles", "left").select("doc_id", "component_id"))
+    discard(own, classes, left)
+    return out
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) of documents whose sets of shingles have the Jaccard ``similarity``."""
+    """The ``pairs`` (a, b) of documents whose sets of shingles, as 40 bits of each hash, have the Jaccard ``similarity``."""
+    pairs = stored(pairs)
     involved = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())  # Spark broadcasts few ids, and knows their size
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "held": [np.unique(shingle_hashes(t, words)).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"id": pdf["id"], "held": [np.unique(shingle_hashes(t, words) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for t in pdf["text"]]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(involved, "id", "left_semi")
     held = stored(map_slices(texts, sets, "id bigint, held binary").groupBy("id").agg(F.min("held").alias("held")))
@@ -434,13 +449,15 @@ def _similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            x, y = (np.pad(np.frombuffer(v, np.uint8).reshape(-1, 5), ((0, 0), (0, 3))).view(np.uint64).ravel() for v in (x, y))
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(both / max(1, len(x) + len(y) - both))
         return pd.Series(out, dtype="float64")
 
     first, second = held.select(F.col("id").alias("a"), F.col("held").alias("ha")), held.select(F.col("id").alias("b"), F.col("held").alias("hb"))
-    return pairs.join(first, "a").join(second, "b").where(jaccard("ha", "hb") >= similarity).select("a", "b")
+    found = stored(pairs.join(first, "a").join(second, "b").where(jaccard("ha", "hb") >= similarity).select("a", "b"))
+    discard(pairs, involved, held)
+    return found
 
 
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
