@@ -77,6 +77,30 @@ def test_blocks_and_chunks_are_exact(spark):
             assert got == want
 
 
+def test_texts_are_read_twice(spark):
+    """Chunks, small and large vocabularies of the queries and odd texts, exact; a text of the library is cut into words twice."""
+    rng = Random(6)
+    words = [f"word{i}" for i in range(90)]
+    library = [(i, " ".join(["common", *(rng.choice(words) for _ in range(rng.randrange(0, 9)))])) for i in range(300)]
+    library += [(300 + i, library[i % 50][1]) for i in range(100)] + [(400, ""), (401, "the of - a"), (402, "Word7, WORD7\tword8word9 x1")]
+    queries = [(i, " ".join(rng.choice([*words, "common"]) for _ in range(rng.randrange(1, 5)))) for i in range(30)] + [(30, "unknown"), (31, " \n")]
+    a, b = spark.createDataFrame(queries, "id long, text string"), spark.createDataFrame(library, "id long, text string")
+    want, read = plain(queries[:31], library, 8, L.VOCABULARY), spark.sparkContext.accumulator(0)
+    want[31] = want[30]  # nothing is found, by no words as by unknown ones
+
+    def look(text):
+        read.add(1)
+        return text
+
+    looked = b.select("id", F.udf(look, "string").asNondeterministic()("text").alias("text")).repartition(3)
+    for chunk, most in ((60, 1 << 10), (1000, 1 << 10), (60, 20)):
+        got, before = {}, read.value
+        for r in retrieve.search_texts(a, looked, chunk=chunk, block=9, most=most).orderBy("q", "rank").collect():
+            got.setdefault(r.q, []).append(r.test)
+        assert got == want
+        assert most < len(words) or read.value - before <= 2 * len(library)
+
+
 def test_stored_index(spark, tmp_path):
     path = f"file://{tmp_path}/ix"
     library = spark.createDataFrame([(f"T-{i}", f"the register number{i % 7} of vault{i}") for i in range(40)], "id string, text string")
