@@ -99,6 +99,9 @@ def test_texts_are_read_twice(spark):
             got.setdefault(r.q, []).append(r.test)
         assert got == want
         assert most < len(words) or read.value - before <= 2 * len(library)
+    again = b.union(b.where("id % 7 = 0").withColumn("text", F.lit("word3 common word5")))  # two texts of one test
+    one, two = (sorted(map(tuple, f.collect())) for f in (retrieve.search_texts(a, again), retrieve.search_joined(a, *retrieve.postings(again), retrieve.order_of(again))))
+    assert one == two and one
 
 
 def test_stored_index(spark, tmp_path):
