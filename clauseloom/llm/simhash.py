@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ SEED = 42
 _STEP = 0x9E3779B97F4A7C15
 #: Keys of two min-hashes: texts of similarity 0.8 share one of them with a probability of 1 - (1 - 0.8 ** 2) ** MINS, 0.994.
 MINS = 5
-#: Bins of a set's sketch, two bytes each, whatever the length of the text, and bits of its parity.
+#: Bins of a set's sketch, two bytes each, whatever the length of the text, and bits of its parity at least.
 BINS, PARITY = 256, 512
 
 
@@ -99,19 +100,22 @@ def _sketches(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(-1, BINS)
 
 
-def common_shingles(docs: DataFrame, words: int, texts: int = 10_000, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, how many texts have each) of the ``most`` widespread shingles of about ``texts`` texts.
+def common_shingles(docs: DataFrame, words: int, texts: int = 10_000, most: int = 1 << 18, share: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, how many texts have each) of the ``most`` widespread shingles of about ``texts`` texts or that ``share`` of all.
 
-    They only say in which order :func:`prefix` takes shingles; no result depends on them.
+    They only say in which order :func:`prefix` takes shingles; no result depends on them.  From a fixed
+    number of texts, shingles of ever more texts would pass for rare ones, and pairs grow with the square.
     """
-    share = int(min(1.0, texts / max(1, docs.count())) * (1 << 20))
+    share = int(min(1.0, max(share, texts / max(1, docs.count()))) * (1 << 20))
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"h": np.concatenate([np.unique(shingle_hashes(t, words)) for t in pdf["text"]]).view(np.int64)})
 
-    counted = map_slices(some, run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(most).toArrow()
+    found = stored(map_slices(some, run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(most))
+    counted = found.toArrow()
+    discard(found)
     h, n = counted["h"].to_numpy().view(np.uint64), counted["n"].to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
@@ -132,9 +136,28 @@ def prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.n
 
 
 def parity(hashes: np.ndarray) -> bytes:
-    """A bit for each of PARITY bins of the hashes: whether it holds an odd number of them."""
-    bins = (hashes >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64)
-    return np.packbits(np.bincount(bins, minlength=PARITY).astype(np.uint8) & 1).tobytes()
+    """A bit for each bin of the different hashes, whether it holds an odd number of them; no fewer bins than hashes.
+
+    Bins go by the low bits, so the two halves of a parity, put together by XOR, are that of half as many bins.
+    """
+    bins = 1 << max(PARITY - 1, len(hashes) - 1).bit_length()
+    return np.packbits(np.bincount((hashes & np.uint64(bins - 1)).astype(np.int64), minlength=bins).astype(np.uint8) & 1).tobytes()
+
+
+def odd_bins(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """In how many bins the parities differ, each pair over the bins of the smaller one."""
+    one, two = list(a), list(b)
+    size = np.array([(len(x), len(y)) for x, y in zip(one, two, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(one), np.int64)
+    for pair in np.unique(size, axis=0):
+        rows = np.flatnonzero((size == pair).all(axis=1))
+        for k in range(0, len(rows), 1_000):
+            part = rows[k : k + 1_000].tolist()
+            x, y = (np.frombuffer(b"".join(v[i] for i in part), np.uint64).reshape(len(part), -1) for v in (one, two))
+            least = min(x.shape[1], y.shape[1])
+            x, y = (np.bitwise_xor.reduce(v.reshape(len(part), -1, least), axis=1) for v in (x, y))
+            out[part] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def simhash(
@@ -277,6 +300,8 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 2) -> Da
 
 #: Blocks of 31 bits, two in each family's word; an anchor's group up to SMALL is compared in full, a group of a rare shingle by cells of about 2 * _SIDE members.
 _BLOCK, SMALL, _SIDE = 31, 8, 512
+#: Parts of the shingles, taken one after another, that :func:`_across` looks for in other texts.
+PASSES = 4
 
 
 def _candidates(classes: DataFrame, families: int) -> DataFrame:
@@ -336,9 +361,13 @@ def _across(classes: DataFrame, similarity: float) -> DataFrame:
     label only are left out.
     """
     members = classes.select("id", "n", "label", F.posexplode("rare").alias("pos", "key"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    dealt = members.join(sizes.select("key", F.ceil(F.col("many") / _SIDE).cast("int").alias("parts")), "key")
-    dealt = stored(dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+    shared = []
+    for k in range(PASSES):  # the members of all shingles are many times those of shared ones, and on disk only for a part of them at a time
+        some = members.where(F.pmod("key", F.lit(PASSES)) == k)
+        sizes = some.groupBy("key").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        held = some.join(sizes.select("key", F.ceil(F.col("many") / _SIDE).cast("int").alias("parts")), "key")
+        shared.append(stored(held.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))))
+    dealt = reduce(DataFrame.unionByName, shared)
     spread = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spread = spread.select("key", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), "part", "id", "n", "pos", "label")
 
@@ -371,14 +400,13 @@ def _across(classes: DataFrame, similarity: float) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        one, two = (np.frombuffer(b"".join(v), np.uint64).reshape(-1, PARITY // 64) for v in (a, b))
         both = (n + m).to_numpy(np.int64)
-        return pd.Series(np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) <= both - 2 * np.ceil(similarity / (1 + similarity) * both - 1e-9))
+        return pd.Series(odd_bins(a, b) <= both - 2 * np.ceil(similarity / (1 + similarity) * both - 1e-9))
 
     pairs = stored(spread.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(compare, "a bigint, b bigint").distinct())
     one, two = (classes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}")) for k in ("a", "b"))
     left = stored(pairs.join(one, "a").join(two, "b").where(near("pa", "pb", "na", "nb")).select("a", "b"))
-    discard(dealt, pairs)
+    discard(*shared, pairs)
     return left
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseloom.llm import langid, packing, passages, simhash, toxicity
-from clauseloom.llm.common import stored, table
+from clauseloom.llm.common import discard, stored, table
 
 #: Phrases a letter beyond which no learned language describes a text (most letters are phrases of their own).
 MOST_PHRASES = 0.6
@@ -67,8 +67,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each stage's result written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents table, each stage's result written and read again, and deleted after the next one."""
+    docs, former = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        discard(*former)
+        former = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

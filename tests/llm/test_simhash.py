@@ -188,3 +188,26 @@ def test_no_pair_of_the_similarity_is_left_out(spark):
             links[b] = a
     assert all(links[k + 1] == k for k in range(0, first, 2))
     assert [i for i in got if got[i] != root(i)] == []
+
+
+def test_parities_leave_out_long_texts_of_their_own_and_no_pair_of_the_similarity(spark):
+    """Texts of 3,000 words that share some rare shingles and nothing else are no pairs, whose sets would be sent to each other."""
+    rng = random.Random(9)
+    words = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    shared = words(60)
+    texts = [" ".join(words(3_000) + shared) for _ in range(12)]
+    base = words(3_000)
+    texts += [" ".join(base), " ".join(base[:2_900] + words(20))]
+    rows = S.simhash(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 4, sets=True)
+    classes = S.stored(rows.selectExpr("doc_id AS id", "n", "rare", "parity", "doc_id AS label"))
+    assert {(r.a, r.b) for r in S._across(classes, 0.8).collect()} == {(12, 13)}
+
+
+def test_odd_bins_are_no_more_than_the_shingles_of_one_set():
+    rng = np.random.default_rng(7)
+    for n, m, both in ((0, 0, 0), (0, 3, 0), (5, 4, 4), (513, 512, 500), (1_100, 1_000, 950), (5_000, 4_000, 3_990)):
+        h = np.unique(rng.integers(0, 2**63, n + m, dtype=np.int64)).view(np.uint64)[: n + m - both]
+        one, two = h[:n], np.concatenate([h[:both], h[n:]])
+        odd = S.odd_bins(pd.Series([S.parity(one)]), pd.Series([S.parity(two)]))[0]
+        assert odd <= n + m - 2 * both and (odd - n - m) % 2 == 0
+        assert len(S.parity(one)) * 8 >= max(n, S.PARITY)
